@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import block_naming, pivotal_mixing
-from lorekeep.llm.common import join_decisions, keep_rows, save, table
+from lorekeep.llm import block_naming, covering_simhash, nnls_packing, pivotal_mixing, pu_toxicity
+from lorekeep.llm.common import crc_mod, join_decisions, keep_rows, save, table
+from lorekeep.llm.queries import TOKENIZER
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    classifier = pu_toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return pu_toxicity.reject(docs, classifier)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +25,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keep_rows(docs, rows.where("__kept").select("doc_id", "__rows"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays, that with the smallest id."""
+    found = save(covering_simhash.near_duplicates(docs), "pipeline-near")
+    rows = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("component_id").alias("__first")
+    )
+    return keep_rows(docs, rows.where("doc_id <=> __first").select("doc_id", "__rows"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows under one id share the larger decision."""
     copies = pivotal_mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
@@ -25,9 +41,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in sequences of 1024 tokens."""
+    return nnls_packing.pack(docs, TOKENIZER)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
     ("source mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Drawn copies, trained scores and token ids are beyond SQL.
