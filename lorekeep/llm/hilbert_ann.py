@@ -186,7 +186,8 @@ def nearest(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return _best(pairs["vec_id"].to_numpy(), _matrix(pairs["v"]), rows["row_id"].to_numpy(), _matrix(rows["w"]), k)
 
-    at = F.floor(F.col("rank") / bucket).cast("long")
+    own_rank = F.col("rank") - F.col("ordering") * n  # each ordering has all n rows
+    at = F.col("ordering") * (n // bucket + 3) + 1 + F.floor(own_rank / bucket).cast("long")
     asked = ranked.where("is_query").select(
         F.explode(F.array(at - 1, at, at + 1)).alias("bucket"), "vec_id", "v"
     )
