@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import (
     block_naming,
+    compact_windows,
     covering_simhash,
     ftrl_langid,
     hilbert_ann,
     license_scan,
+    line_dedup,
     nnls_packing,
     pivotal_mixing,
     pu_toxicity,
@@ -30,6 +32,10 @@ def op1_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.substring_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,10 +64,15 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pu_toxicity,
+        op2_compact_windows,
         op3_exact_dedup,
         op4_covering_simhash,
         op5_license_scan,
@@ -69,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_hilbert_neighbours,
         op8_nnls_packing,
         op9_source_mixing,
+        op10_line_dedup,
     )
 }
 
