@@ -35,7 +35,7 @@ def index_tokens(text: Column | str) -> Column:
     """Tokens that documents are found by: lower-case words; single and paired CJK characters."""
 
     def cjk(run: Column) -> Column:
-        single = F.split(run, "(?!^)")
+        single = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(1)))
         return F.when(F.length(run) > 1, F.concat(single, _bigrams(run))).otherwise(single)
 
     return _expand(text, cjk)

@@ -26,15 +26,15 @@ def census_diff(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame
     return side(missing, "missing").join(side(extra, "unexpected"))
 
 
-def not_increasing(rows: DataFrame, member: str, position: str, key: str) -> DataFrame:
-    """Rows whose key does not exceed the one before, per member and position."""
-    before = F.lag(key).over(Window.partitionBy(member).orderBy(position))
+def not_increasing(rows: DataFrame, member: str, position: list[str], key: str) -> DataFrame:
+    """Rows whose key does not exceed the one before, per member; ``position`` must be a total order."""
+    before = F.lag(key).over(Window.partitionBy(member).orderBy(*position))
     return rows.withColumn("previous", before).where(F.col(key) <= F.col("previous"))
 
 
-def overlaps(ranges: DataFrame, start: str, end: str, group: str) -> DataFrame:
-    """Ranges that begin before the furthest end so far."""
-    w = Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+def overlaps(ranges: DataFrame, start: str, end: str, group: str, tie: str) -> DataFrame:
+    """Ranges that begin before the furthest end so far; ``tie`` orders equal ranges."""
+    w = Window.partitionBy(group).orderBy(start, end, tie).rowsBetween(Window.unboundedPreceding, -1)
     return ranges.withColumn("furthest", F.max(end).over(w)).where(F.col(start) <= F.col("furthest"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.lineage import save
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 8
@@ -62,17 +63,21 @@ def title_scores(titles: DataFrame, query: str, k: int) -> DataFrame:
 def full_text(articles: DataFrame, query: str, k: int, project: str | None = None) -> DataFrame:
     """Articles by weighted BM25 over title (8) and body (1); any query term is enough.
 
-    Terms' frequencies and the lengths are counted in one pass, of which a single
-    row reaches the driver; the second pass scores and keeps the top k.
+    One pass over the texts keeps each article's length and its places of query
+    terms; of that narrow table one row of statistics reaches the driver, and the
+    top k are scored.
     """
     if project is not None:
         articles = articles.where(F.col("project") == project)
     terms = query_terms(articles.sparkSession, query)
     width = len(terms)
     tokens = articles.select("project", "page_id", T.index_tokens("title").alias("tt"), T.index_tokens("text").alias("bt"))
-    found = tokens.select(
-        "project", "page_id", (F.size("tt") + F.size("bt")).alias("length"),
-        *(F.filter(c, lambda w: w.isin(terms)).alias(c) for c in ("tt", "bt")),
+    found = save(
+        tokens.select(
+            "project", "page_id", (F.size("tt") + F.size("bt")).alias("length"),
+            *(F.filter(c, lambda w: w.isin(terms)).alias(c) for c in ("tt", "bt")),
+        ),
+        "term-places",
     )
     counted = found.select(
         "project", "page_id", "length",
@@ -126,7 +131,13 @@ def bm25_blocks(blocks: DataFrame, query: str, k: int) -> DataFrame:
     tokens = blocks.select(
         "block_id", T.index_tokens("text").alias("w"), T.index_tokens(F.coalesce("heading", F.lit(""))).alias("h")
     )
-    found = tokens.select("block_id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(terms)).alias("w"), "h")
+    found = save(
+        tokens.select(
+            "block_id", F.size("w").alias("length"),
+            *(F.filter(c, lambda x: x.isin(terms)).alias(c) for c in ("w", "h")),
+        ),
+        "term-places",
+    )
     rows = found.select(
         "block_id", "length",
         F.array(*(_count("w", t) for t in terms)).cast("array<int>").alias("f"),

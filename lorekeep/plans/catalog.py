@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.plans import graph_state_queries, html_stream_queries, relational_queries, search_queries
+
+_FAMILIES = (search_queries, relational_queries, graph_state_queries, html_stream_queries)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for family in _FAMILIES:
+    QUERIES |= family.QUERIES
+    ORACLE_SQL |= family.ORACLE_SQL

@@ -35,15 +35,15 @@ def census_counts_by_shard(spark, sf_dir):
 
 def order_violations(spark, sf_dir):
     """Order lines whose part doesn't exceed the one before in its order."""
-    lines = A.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return audit.not_increasing(lines, "l_orderkey", "l_linenumber", "l_partkey")
+    lines = A.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return audit.not_increasing(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_partkey")
 
 
 def shard_overlaps(spark, sf_dir):
     """Page ranges that overlap an earlier one: the parts that each supplier's order lines span."""
     ranges = A.read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("start"), F.max("l_partkey").alias("end"))
     nation = A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return audit.overlaps(ranges.join(nation, "l_suppkey"), "start", "end", "s_nationkey").select("l_suppkey", "s_nationkey", "start", "end", "furthest")
+    return audit.overlaps(ranges.join(nation, "l_suppkey"), "start", "end", "s_nationkey", "l_suppkey").select("l_suppkey", "s_nationkey", "start", "end", "furthest")
 
 
 def shard_membership(spark, sf_dir):
@@ -265,10 +265,11 @@ ORACLE_SQL = {
                coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM u ORDER BY id LIMIT 12)), '') AS unexpected_ids""",
     "census_counts_by_shard": """SELECT id // 1000 AS shard, count(*) AS n, min(id) AS first, max(id) AS last, max(id) - min(id) + 1 - count(*) AS gaps
         FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem) GROUP BY 1""",
-    "order_violations": """SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS previous
+    "order_violations": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS previous
         FROM lineitem QUALIFY l_partkey <= previous""",
     "shard_overlaps": """WITH r AS (SELECT l_suppkey, min(l_partkey) AS start, max(l_partkey) AS "end" FROM lineitem GROUP BY 1)
-        SELECT l_suppkey, s_nationkey, start, "end", max("end") OVER (PARTITION BY s_nationkey ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest
+        SELECT l_suppkey, s_nationkey, start, "end", max("end") OVER (PARTITION BY s_nationkey ORDER BY start, "end", l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest
         FROM r JOIN supplier ON s_suppkey = l_suppkey QUALIFY start <= furthest""",
     "shard_membership": """SELECT l_orderkey // 1000 AS shard, count(*) AS outside FROM lineitem
         WHERE l_orderkey % 1000 < 10 OR l_orderkey % 1000 > 900 GROUP BY 1""",
