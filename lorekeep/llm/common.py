@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.lineage import save, scratch_dir
+
+__all__ = ["SPACE", "crc_mod", "join_decisions", "keep_rows", "save", "scratch_dir", "table", "text_or_empty"]
+
 #: Runs of these characters separate words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,32 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``.
-
-    Only a local session, which has no other machine that would have to see the
-    files, falls back to a folder of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints/lorekeep"
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
-
-    Rows that got an id or an ordinal from their place in a partition keep it
-    from here on, whichever executors are lost later.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
