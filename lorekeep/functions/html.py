@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -120,3 +121,63 @@ def summarize(pages: DataFrame) -> DataFrame:
 
     kinds = "page_id long, headings int, blocks int, tables int, links int, references int, visuals int"
     return pages.select("page_id", "url", "html").mapInPandas(run, kinds)
+
+
+# Elements and attributes that sanitised text may keep.
+ALLOWED = {
+    "a", "abbr", "b", "blockquote", "br", "caption", "cite", "code", "dd", "dl", "dt", "em", "figcaption", "figure", "h1", "h2", "h3",
+    "h4", "h5", "h6", "hr", "i", "img", "li", "ol", "p", "pre", "q", "small", "span", "strong", "sub", "sup", "table", "tbody", "td",
+    "tfoot", "th", "thead", "tr", "ul",
+}
+ALLOWED_ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "width", "height"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan", "scope"}}
+DROPPED = {"script", "style", "iframe", "object", "embed", "noscript", "template", "form"}
+VOID = {"br", "hr", "img"}
+SAFE_URL = re.compile(r"^(https?:|/|#|\.{0,2}/|[^:]*$)", re.I)
+
+
+class _Sanitizer(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.open: list[str] = []
+        self.dropped = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in DROPPED:
+            self.dropped += tag != "embed"
+        elif tag in ALLOWED and not self.dropped:
+            kept = [(k, v or "") for k, v in attrs if k in ALLOWED_ATTRIBUTES.get(tag, ())]
+            kept = [(k, v) for k, v in kept if k not in ("href", "src") or SAFE_URL.match(v.strip())]
+            self.out.append(f"<{tag}" + "".join(f' {k}="{escape(v)}"' for k, v in kept) + ">")
+            if tag not in VOID:
+                self.open.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in DROPPED:
+            self.dropped = max(0, self.dropped - 1)
+        elif tag in self.open and not self.dropped:
+            while (last := self.open.pop()) != tag:
+                self.out.append(f"</{last}>")
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data: str) -> None:
+        if not self.dropped:
+            self.out.append(escape(data, quote=False))
+
+
+def sanitize(html: str | None) -> str:
+    """Allowed elements and attributes only, properly nested; scripts and unsafe addresses go."""
+    s = _Sanitizer()
+    s.feed(html or "")
+    s.close()
+    return "".join(s.out) + "".join(f"</{t}>" for t in reversed(s.open))
+
+
+def sanitize_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, html): each page's sanitised text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"page_id": b.page_id, "html": [sanitize(h) for h in b.html]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, html string")

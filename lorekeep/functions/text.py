@@ -156,3 +156,11 @@ def media_file_name(url: Column | str) -> Column:
     thumb = F.array_contains(parts, "thumb")
     name = F.when(thumb, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
     return F.when(F.parse_url(u, F.lit("HOST")) == "upload.wikimedia.org", decode_title(name))
+
+
+def id_list_digest(ids: Column, prefix: str = "") -> Column:
+    """SHA-256 of a prefix, the count and the sorted distinct ids, each in eight bytes: one digest for one set."""
+    own = F.array_sort(F.array_distinct(ids))
+    eight = F.transform(own, lambda i: F.lpad(F.hex(i.cast("long")), 16, "0"))
+    head = F.concat(F.encode(F.lit(prefix), "UTF-8"), big_endian(F.size(own)))
+    return F.sha2(F.concat(head, F.unhex(F.array_join(eight, ""))), 256)

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorekeep.functions import html
+from lorekeep.functions import text as T
 from lorekeep.lineage import scratch_dir
-from lorekeep.operators import evaluate
+from lorekeep.operators import evaluate, graph
 from lorekeep.plans import adapters as A
 from lorekeep.sources import dumps
 from lorekeep.streaming import stream
@@ -73,14 +74,36 @@ def streamed_windows(spark, sf_dir):
     return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+def sanitized_pages(spark, sf_dir):
+    return html.sanitize_pages(A.read(spark, sf_dir, "pages"))
+
+
+def strata_cover(spark, sf_dir):
+    """Per project, labelled pages chosen greedily until all strata (source and quality) are covered."""
+    labels = A.read(spark, sf_dir, "labels").select((F.col("doc_id") + 1).alias("page_id"), "quality", "toxic")
+    source = A.read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("page_id"), "source")
+    strata = F.array(F.concat(F.lit("q"), F.col("quality").cast("string")), F.concat(F.lit("t"), F.col("toxic").cast("string")), F.col("source"))
+    rows = A.articles(spark, sf_dir).drop("text", "title").join(labels, "page_id").join(source, "page_id")
+    return graph.greedy_cover(rows.withColumn("strata", strata), "project", 17).select("project", "page_id", "round")
+
+
+def topic_digest(spark, sf_dir):
+    """One digest of each nation's members, whatever their order."""
+    _, _, members = A.category_graph(spark, sf_dir)
+    return members.groupBy("name").agg(T.id_list_digest(F.collect_set("page_id"), "topic/v1").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         visual_inventory, extracted_blocks, page_structure, page_hosts, render_fidelity, checksum_inventory, search_reply_hits, streamed_windows,
+        sanitized_pages, strata_cover, topic_digest,
     )
 }
 
 ORACLE_SQL = {
+    "topic_digest": f"""WITH {A.GRAPH} SELECT name, sha256(encode('topic/v1') || unhex(lpad(to_hex(count(DISTINCT page_id)), 16, '0'))
+        || unhex(string_agg(DISTINCT lpad(to_hex(page_id), 16, '0'), '' ORDER BY lpad(to_hex(page_id), 16, '0')))) AS digest FROM members GROUP BY 1""",
     "page_hosts": r"""SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host,
         coalesce(string_split(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/')[2], '') AS segment, count(*) AS pages, min(page_id) AS first FROM pages GROUP BY 1, 2""",
     "render_fidelity": """WITH n AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'N') AS n,

@@ -206,6 +206,20 @@ def test_html(spark):
     assert blocks == [("h1", "A", "A"), ("p", "A", "one two"), ("h2", "A > B", "B"), ("li", "A > B", "x")]
 
 
+def test_sanitize():
+    page = '<p onclick="x">a <b>b<script>x()</script></p><a href="javascript:x">c</a><img src="/i.png" alt="&lt;"><custom>d</custom> & e'
+    assert html.sanitize(page) == '<p>a <b>b</b></p><a>c</a><img src="/i.png" alt="&lt;">d &amp; e'
+    assert html.sanitize(None) == ""
+
+
+def test_greedy_cover(spark):
+    rows = [("p", 1, 1, ["a"]), ("p", 2, 1, ["a", "b"]), ("p", 3, 1, ["c"]), ("q", 4, 1, ["a"])]
+    c = spark.createDataFrame(rows, "project string, page_id long, revision_id long, strata array<string>")
+    assert sorted((r["project"], r["page_id"], r["round"]) for r in graph.greedy_cover(c, "project", 1).collect()) == [
+        ("p", 2, 1), ("p", 3, 2), ("q", 4, 1),
+    ]
+
+
 def test_state(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "k int, v int, x string")
