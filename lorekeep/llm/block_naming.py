@@ -123,11 +123,12 @@ def exact_duplicates(
     * No rows give no rows. Other columns of ``docs`` are neither read nor kept,
       whatever their names.
     """
-    ids = block_identities(docs, text_col, block_chars, seed)
+    ids = save(block_identities(docs, text_col, block_chars, seed), "block-identities")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     groups = ids.groupBy("n_blocks", "name").agg(
         F.min(rank).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = save(groups, "block-groups")  # between two plain shuffles, Spark can split the rows of a large group
     return ids.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("first.id").alias("keep_id"),
