@@ -35,8 +35,6 @@ COUNTERS = 1 << 20
 FEW = 16
 #: Classes under one word beyond which a second word must be shared.
 HOT_WORD = 200
-#: Sets this small match equal sets only.
-SMALLEST = 5
 #: Words that a task keeps codes of, and word codes that it sends at once.
 KEPT_WORDS = 1 << 18
 SENT_WORDS = 1 << 20
@@ -60,6 +58,11 @@ def _prefix(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
 
+def _smallest(t: float) -> int:
+    """The size of the smallest set that can reach the similarity with another set: n / (n + 1) >= t."""
+    return math.ceil(t / (1 - t) - 1e-9) if t < 1 else 1 << 31
+
+
 def _rank(n):
     """The order of a word that occurs ``n`` times."""
     return np.minimum(np.log2(n + 1.0) * 1024, 2**16 - 1).astype(np.uint16)
@@ -108,6 +111,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
     once in the corpus, the first ``few`` at most ``FEW`` times."""
     rank = _rank(rarity)  # 2 MB go to each task
     once, seldom = int(_rank(1)), int(_rank(FEW))
+    smallest = _smallest(similarity)
     names = [f.split()[0] for f in _LINES.split(", ")]
 
     def order(word: str) -> int:
@@ -147,7 +151,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
                     n = len(words)
                     digest = sum(map(digests.__getitem__, words))
                     flat += sorted(map(orders.__getitem__, words))
-                    cut.append(_prefix(n, similarity) + 1 if n >= SMALLEST else 0)
+                    cut.append(_prefix(n, similarity) + 1 if n >= smallest else 0)
                     for column, value in zip(rows, (doc_id, number, digest & (2**64 - 1), digest >> 64 & (2**64 - 1), n)):
                         column.append(value)
                 if len(orders) > KEPT_WORDS:

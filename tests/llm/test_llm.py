@@ -369,6 +369,14 @@ def test_line_dedup(spark, documents, words, hot):
     assert all(got[i] == want[i] for i, _ in rows)
 
 
+def test_four_word_lines_meet_five_word_lines(spark):
+    rows = [(1, "a b c d"), (2, "a b c d e"), (3, "p q r s t"), (4, "p q r s"), (5, "f g h"), (6, "f g h i")]
+    rows += [(10 + k, f"x{k} y z w\nx{k} y z w v") for k in range(30)]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(docs_of(spark, rows), hot_word=2).collect()}
+    want = removed_by_hand(rows)
+    assert want[2] == want[4] == [0] and all(got[i] == want[i] for i, _ in rows)
+
+
 def test_line_dedup_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(odd).collect()}
     assert len(rows) == 7 and rows[1]["n_lines"] == 0 and rows[7]["n_removed"] == 0
