@@ -129,15 +129,16 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def _best(q_ids, q, v_ids, v, k: int) -> pd.DataFrame:
-    """The ``k`` best of ``v`` for each query, ties to the smaller id; scores are summed alike for equal vectors."""
+    """The ``k`` best of ``v`` for each query, ties to the smaller id; scores are summed alike for equal vectors.
+    Vectors of one id and score count once."""
     scores = q @ v.T
     scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
-    m = min(k, len(v_ids))
+    m = min(k * int(np.unique(v_ids, return_counts=True)[1].max()), len(v_ids))  # k ids at least
     least = np.partition(scores, len(v_ids) - m, axis=1)[:, len(v_ids) - m]
     slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(least), least, 0.0)))
     i, j = np.nonzero((scores >= (least - slack)[:, None]) & np.isfinite(scores))
     found = pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j], "score": (q[i] * v[j]).sum(axis=1)})
-    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    found = found.drop_duplicates().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
     return found.groupby("query_id", sort=False).head(k)
 
 
@@ -170,6 +171,7 @@ def nearest(
     good = vectors.where(usable() & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("is_query")
     )
+    good = save(good.groupBy("vec_id", "v").agg(F.max("is_query").alias("is_query")), "vectors")  # equal rows count once
     sizes = good.groupBy(F.size("v").alias("dim")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("square"),
@@ -231,7 +233,7 @@ def nearest(
                 other = q_ids[i] != v_ids[j]
                 i, j = i[other], j[other]
                 out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": v_ids[j], "score": (q[i] * v[j]).sum(axis=1)}))
-            every = pd.concat(out[1:]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            every = pd.concat(out[1:]).drop_duplicates().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             return every.groupby("query_id", sort=False).head(k)
         return out[0]
 

@@ -244,6 +244,23 @@ def test_neighbours_are_exact(spark, n):
     assert found == brute(ids, v, ids % 20 == 0, 20)
 
 
+@pytest.mark.parametrize("complete", [True, False])
+def test_neighbours_of_repeated_rows(spark, complete):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8))
+    rows = [(i, v[i].tolist()) for i in range(60)]
+    flipped = [(i, v[i].tolist()[::-1]) for i in range(60, 0, -1) if i in (7, 8)]
+    rows += rows + [(1, v[1].tolist())] * 20 + flipped
+    rows += [(61, [1.0] + [0.0] * 7), (61, [1.0] + [0.0] * 6 + [1e-3])]  # one id, two vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in hilbert_ann.nearest(frame, F.col("vec_id") % 20 == 0, complete=complete).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        s = {(-float((v[q] * np.array(w)).sum()), i) for i, w in rows if i != q}
+        assert [i for i, _ in found[q]] == [i for _, i in sorted(s)[:20]]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (20, [float("inf"), 0.0]), (6, [1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
