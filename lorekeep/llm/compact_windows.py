@@ -4,20 +4,21 @@ A text is a sequence of word shingles. Under one hash function, the subsequences
 of a text whose least hash is at one place c are those that start in [l, c] and
 end in [c, r]: one compact window. The Cartesian tree of the hashes, in which each
 node is the least of its range, lists all windows; ranges shorter than a passage
-are cut off, so a text has about twice as many as passages fit in. Windows with
-the same least hash, in different places, are joined if their intervals leave
-room for a passage; place pairs on which enough hash functions agree are
-verified on the shingles themselves.
+are cut off, so a text has about twice as many as passages fit in. Only the least
+hashes matter here: they are the least of each run of a passage's length. Texts that
+have such a hash in common, under enough hash functions, are all paired, whatever
+their number, and the shingles of both are aligned: a passage may be any range.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import save
@@ -27,11 +28,15 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Shingles of the shortest passage: 50 words.
 SHORTEST = 46
-#: Hash functions, and how many of them must agree on two places.
-HASHES = 4
+#: Hash functions (8 at most), and how many of them must agree on two texts.
+HASHES = 6
 ENOUGH = 2
-#: Texts under one signature up to which all pairs are joined.
+#: Texts under one signature up to which all pairs are joined under one key; more are joined by pairs of blocks.
 SMALL_GROUP = 12
+#: Matching shingles of two texts that are sorted at once, and how far their shifts lie apart in one alignment
+#: if they are not in one order.
+MATCHES = 1 << 21
+BAND = 64
 
 _RNG = np.random.default_rng(3)
 _MULTIPLY = _RNG.integers(1, 1 << 62, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,13 +69,21 @@ def compact_windows(hashes: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
     return found
 
 
-def _windows(texts: DataFrame) -> DataFrame:
-    """(sig, id, f, c, before, after): each compact window's least hash, place and reach."""
-    names = ["sig", "id", "f", "c", "before", "after"]
+def least_hashes(hashes: np.ndarray, shortest: int = SHORTEST) -> np.ndarray:
+    """The distinct least hashes of the compact windows: those of all runs of ``shortest``."""
+    m, width = hashes, 1
+    while width < shortest:
+        step = min(width, shortest - width)
+        m, width = np.minimum(m[:-step], m[step:]), width + step
+    return np.unique(m)
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(sig, id): the least hashes of each text's compact windows; the last three bits name the hash function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
+            sigs, ids, counts = [np.zeros(0, dtype=np.uint64)], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingles(text.as_py())
                 if len(s) < SHORTEST:
@@ -78,100 +91,167 @@ def _windows(texts: DataFrame) -> DataFrame:
                 for f in range(HASHES):
                     h = s * _MULTIPLY[f] + _ADD[f]
                     h ^= h >> np.uint64(31)
-                    w = np.array(compact_windows(h), dtype=np.int64)
-                    # the same shingle can be the least of several ranges; each is a window of its own
-                    sig = (h[w[:, 1]] * _BASE + np.uint64(f)).view(np.int64)
-                    for column, value in zip(
-                        columns,
-                        (sig, np.full(len(w), doc_id), np.full(len(w), f), w[:, 1], w[:, 1] - w[:, 0], w[:, 2] - w[:, 1]),
-                    ):
-                        column.append(value)
-            types = [np.int64, np.int64, np.int8, np.int32, np.int32, np.int32]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((np.concatenate(c) if c else np.zeros(0)).astype(t)) for c, t in zip(columns, types)], names=names
-            )
-
-    return texts.mapInArrow(run, "sig long, id long, f byte, c int, before int, after int")
-
-
-def _near(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
-    """Interval join: windows x and y of different texts under one key whose common reach holds a passage."""
-    reach = F.least("x.before", "y.before") + F.least("x.after", "y.after") + 1
-    on = (F.col("x.id") > F.col("y.id")) & (reach >= SHORTEST)
-    for k in keys:
-        on = (F.col(f"x.{k}") == F.col(f"y.{k}")) & on
-    return x.alias("x").join(y.alias("y"), on).select(
-        F.col("x.id").alias("x"), F.col("y.id").alias("y"), (F.col("x.c") - F.col("y.c")).alias("shift"), F.col("x.f").alias("f")
-    )
+                    sigs.append(np.unique(least_hashes(h) * _BASE & ~np.uint64(7)) | np.uint64(f))
+                    ids.append(doc_id)
+                    counts.append(len(sigs[-1]))
+            columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(ids, dtype=np.int64), np.array(counts, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "id"])
+
+    return texts.mapInArrow(run, "sig long, id long")
 
 
-def _candidates(windows: DataFrame, small_group: int) -> DataFrame:
-    """(x, y, shift): pairs of texts, and of places in them, on which enough hash functions agree.
+def _candidates(signatures: DataFrame, small_group: int) -> DataFrame:
+    """(x, y): all pairs of texts on which enough hash functions agree.
 
-    In a small group all windows meet. In a larger one each meets the group's
-    first text and its neighbours in two orders: a row or three a window.
+    The texts of a large group are dealt into blocks and each two blocks meet
+    under a key of their own, so that no task holds a whole group's pairs.
     """
-    windows = save(windows, "windows")
-    repeated = windows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = save(windows.join(repeated, "sig"), "window-groups")
-    small = met.where(F.col("n") <= small_group)
-    large = met.where(F.col("n") > small_group)
-    first = large.groupBy("sig").agg(F.min(F.struct("id", "c", "before", "after")).alias("y"))
-    heads = large.join(save(first, "window-heads"), "sig")
-    reach = F.least("before", "y.before") + F.least("after", "y.after") + 1
-    to_head = heads.where((F.col("id") > F.col("y.id")) & (reach >= SHORTEST)).select(
-        F.col("id").alias("x"), F.col("y.id").alias("y"), (F.col("c") - F.col("y.c")).alias("shift"), "f"
-    )
-    pairs = _near(small, small, ["sig"]).unionByName(to_head)
-    for order in (["after", "id"], ["before", "id"]):
-        part = F.pmod(F.xxhash64(order[0], F.floor(F.col("id") / 64)), F.lit(1 << 30))  # bounded runs of a large group
-        w = Window.partitionBy("sig", part).orderBy(*order)
-        prior = F.lag(F.struct("id", "c", "before", "after")).over(w)
-        beside = large.withColumn("y", prior).where("y is not null and id <> y.id")
-        beside = beside.where(F.least("before", "y.before") + F.least("after", "y.after") + 1 >= SHORTEST)
-        pairs = pairs.unionByName(
-            beside.select(
-                F.greatest("id", "y.id").alias("x"), F.least("id", "y.id").alias("y"),
-                F.when(F.col("id") > F.col("y.id"), F.col("c") - F.col("y.c")).otherwise(F.col("y.c") - F.col("c")).alias("shift"),
-                "f",
-            )
-        )
-    return pairs.groupBy("x", "y", "shift").agg(F.countDistinct("f").alias("agree")).where(F.col("agree") >= ENOUGH)
-
-
-def matching_spans(a: np.ndarray, b: np.ndarray, shift: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Shingle ranges [start, end) of ``a`` all of whose passages are similar to those of ``b`` at ``shift``.
-
-    A passage of ``a`` and that at the same place of ``b`` are similar if their
-    shingle sets have a Jaccard similarity of ``similarity``: of two passages of t
-    shingles, at least 2 t s / (1 + s) agree.
+    signatures = save(signatures, "windows")
+    repeated = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.sqrt(F.col("n") / small_group)).cast("int")
+    met = save(
+        signatures.join(repeated, "sig").withColumn("blocks", blocks)
+        .select("sig", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")),
+        "window-groups",
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = met.select("sig", F.col("id").alias("x"), F.col("own").alias("i"), every.alias("j"))
+    y = met.select("sig", F.col("id").alias("y"), every.alias("i"), F.col("own").alias("j"))
+    pairs = x.join(y, ["sig", "i", "j"]).where("x > y")
+    agree = F.bit_or(F.expr("shiftleft(1, cast(sig & 7 as int))"))
+    return pairs.groupBy("x", "y").agg(agree.alias("agree")).where(F.bit_count("agree") >= ENOUGH).select("x", "y")
+
+
+def _chain(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest part of the matches, sorted by place in one text, that is in order in both."""
+    if len(p) < 2 or ((np.diff(p) > 0) & (np.diff(q) > 0)).all():
+        return p, q
+    order = np.lexsort((-q, p))  # of several matches of one place a rising chain takes one
+    p, q = p[order], q[order]
+    ends, at, before = [], [], np.full(len(q), -1)
+    for k, v in enumerate(q.tolist()):
+        n = bisect_left(ends, v)
+        if n == len(ends):
+            ends.append(v)
+            at.append(k)
+        else:
+            ends[n], at[n] = v, k
+        before[k] = at[n - 1] if n else -1
+    k, kept = at[-1], []
+    while k >= 0:
+        kept.append(k)
+        k = before[k]
+    return p[kept[::-1]], q[kept[::-1]]
+
+
+def _chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alignments (p, q) of equal shingles a[p] == b[q], rising in both: one if all matches are in
+    one order, else one for each of the overlapping bands of shifts."""
+    order = np.argsort(b, kind="stable")
+    values = b[order]
+    low, high = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
+    counts = high - low
+    total = int(counts.sum())
+    if total <= MATCHES:
+        p = np.repeat(np.arange(len(a)), counts)
+        q = order[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(total)]
+        if total < 2 or ((np.diff(p) > 0) & (np.diff(q) > 0)).all():
+            yield p, q
+            return
+        by_shift = np.lexsort((p, q - p))
+        p, q = p[by_shift], q[by_shift]
+        shifts = q - p
+        steps = np.unique(np.concatenate([shifts // (BAND // 2), shifts // (BAND // 2) - 1])) * (BAND // 2)
+        for s in steps.tolist():
+            one = slice(np.searchsorted(shifts, s), np.searchsorted(shifts, s + BAND))
+            if one.stop - one.start > 1:
+                by_place = np.lexsort((q[one], p[one]))
+                yield _chain(p[one][by_place], q[one][by_place])
+        return
+    # too many for one sort: band by band
+    size = len(a) + len(b) + BAND
+    rank = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    keys = rank * (3 * size) + order + size
+    held = np.flatnonzero(counts)
+    first = rank[low[held]] * (3 * size) + held + size
+    for s in range(-len(a) - BAND // 2, len(b), BAND // 2):
+        low_, high_ = np.searchsorted(keys, first + s), np.searchsorted(keys, first + s + BAND)
+        n = high_ - low_
+        if n.sum() > 1:
+            q = order[np.repeat(low_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            yield _chain(np.repeat(held, n), q)
+
+
+def _set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """(start, end) in shingles of ``a`` and of ``b``: ranges of at least a passage each whose shingle sets
+    have a Jaccard similarity of ``similarity``; ranges that overlap in ``a`` are merged.
+
+    Of an alignment of n matches, those from k to m share m - k + 1 shingles of two
+    ranges that they begin and end: similar, if (1 + s) / s times that is no less than
+    the sum of the lengths. With prefix sums, each k has a furthest m. Ranges shorter
+    than a passage are filled up to one. Where shingles repeat, sets are compared too.
     """
-    start, end = max(0, shift), min(len(a), len(b) + shift)
-    if end - start < SHORTEST:
+    if min(len(a), len(b)) < SHORTEST:
         return []
-    same = np.concatenate([[0], np.cumsum(a[start:end] == b[start - shift : end - shift])])
-    need = int(np.ceil(SHORTEST * 2 * similarity / (1 + similarity) - 1e-9))
-    good = np.flatnonzero(same[SHORTEST:] - same[:-SHORTEST] >= need)
-    spans: list[tuple[int, int]] = []
-    for s in good.tolist():
-        if spans and start + s <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], start + s + SHORTEST)
+    weight = (1 + similarity) / similarity
+    least = int(np.ceil(2 * SHORTEST / weight - 1e-9))
+    repeats = len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b)
+    out: list[tuple[int, int, int, int]] = []
+    for p, q in _chains(a, b):
+        if len(p) < least:
+            continue
+        sums = weight * np.arange(len(p)) - p - q
+        best = np.maximum.accumulate(sums[::-1])[::-1]
+        k = np.arange(len(p))
+        m = np.searchsorted(-best, -(sums + 2 - weight) + 1e-9, "right") - 1
+        long_ = (m > k) & (p[m] - p >= SHORTEST - 1) & (q[m] - q >= SHORTEST - 1)
+        long_ &= np.concatenate([[True], m[1:] > np.maximum.accumulate(m * long_)[:-1]])  # not inside the one before
+        rows = [np.column_stack([p[long_], p[m[long_]] + 1, q[long_], q[m[long_]] + 1])]
+        short = []
+        for n in range(least, SHORTEST + 1):
+            i, j = k[: max(0, len(p) - n + 1)], k[n - 1 :]
+            wide, high = np.maximum(p[j] - p[i] + 1, SHORTEST), np.maximum(q[j] - q[i] + 1, SHORTEST)
+            fits = weight * n >= wide + high - 1e-9
+            x, y = np.minimum(p[i], len(a) - wide)[fits], np.minimum(q[i], len(b) - high)[fits]
+            short.append(np.column_stack([x, x + wide[fits], y, y + high[fits]]))
+        if repeats:
+            rows = [[r for r in found.tolist() if _set_similarity(a[r[0] : r[1]], b[r[2] : r[3]]) >= similarity - 1e-9] for found in rows]
+            inside = [(r[0], r[1]) for r in rows[0]]
+            reach = 0
+            for r in sorted(np.concatenate(short).tolist()):
+                if r[1] <= reach or any(s <= r[0] and r[1] <= e for s, e in inside):
+                    continue
+                if _set_similarity(a[r[0] : r[1]], b[r[2] : r[3]]) >= similarity - 1e-9:
+                    rows[0].append(r)
+                    reach = r[1]
+            found = sorted(map(tuple, rows[0]))
         else:
-            spans.append((start + s, start + s + SHORTEST))
-    return spans
+            found = sorted(map(tuple, np.concatenate(rows + short).tolist()))
+        merged: list[tuple[int, int, int, int]] = []
+        for r in found:
+            if merged and r[0] <= merged[-1][1] and r[2] <= merged[-1][3] and r[3] >= merged[-1][2]:
+                o = merged[-1]
+                merged[-1] = (o[0], max(o[1], r[1]), min(o[2], r[2]), max(o[3], r[3]))
+            else:
+                merged.append(r)
+        out += merged
+    return sorted(set(out))
 
 
 def shared_passages(docs: DataFrame, text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
     """(x, y, x_start, x_end, y_start, y_end) in words: verified passages that two different texts share.
 
     x and y are the smallest ids of texts that differ; equal texts are joined
-    once. A pair is reported if it is a link of the search; links chain all texts
-    that share a passage, whatever their number.
+    once. Every pair on which enough hash functions agree is verified.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    candidates = save(_candidates(_windows(texts), small_group), "window-pairs")
-    shifts = candidates.groupBy("x", "y").agg(F.collect_set("shift").alias("shifts"))
-    pairs = save(shifts, "window-shifts")
+    pairs = save(_candidates(_signatures(texts), small_group), "window-pairs")
     used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +268,14 @@ def shared_passages(docs: DataFrame, text_col: str = "text", small_group: int =
         names = ["x", "y", "x_start", "x_end", "y_start", "y_end"]
         for b in batches:
             rows: list[tuple] = []
-            for x, y, shifts, xs, ys in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2).to_pylist(), b.column(3), b.column(4)):
+            for x, y, xs, ys in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3)):
                 p, q = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (xs, ys))
-                for shift in sorted(shifts):
-                    for start, end in matching_spans(p, q, shift):
-                        rows.append((x, y, start, end + WORDS - 1, start - shift, end - shift + WORDS - 1))
+                for x_start, x_end, y_start, y_end in similar_ranges(p, q):
+                    rows.append((x, y, x_start, x_end + WORDS - 1, y_start, y_end + WORDS - 1))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return both.select("x", "y", "shifts", "xs", "ys").mapInArrow(
+    return both.select("x", "y", "xs", "ys").mapInArrow(
         verify, "x long, y long, x_start long, x_end long, y_start long, y_end long"
     )
 

@@ -430,6 +430,59 @@ def test_shared_passages(spark, words, small):
     assert out[303]["class_id"] == 302 and not out[303]["spans"]
 
 
+def test_least_hashes_are_those_of_compact_windows():
+    h = np.random.default_rng(2).integers(0, 500, 300).astype(np.uint64)
+    for shortest in (1, 5, 46):
+        want = sorted({int(h[c]) for _, c, _ in compact_windows.compact_windows(h, shortest)})
+        assert compact_windows.least_hashes(h, shortest).tolist() == want
+
+
+def test_large_group_meets_whole(spark, words):
+    """Pairs of a large group that neither hold its first text's passage nor stand beside each other."""
+    base = text_of(words, 60, 1).split()
+    rows = [(i * 1000, f"{' '.join(base[:5])} {text_of(words, 60, 500 + i)}") for i in range(20)]
+    for i in range(20):
+        rows.append((100000 + i * 1000, f"{text_of(words, 11 * i + 5, 600 + i)} {' '.join(base)} {text_of(words, 5 + 7 * i, 700 + i)}"))
+    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
+    assert all(out[i * 1000]["class_id"] == i * 1000 for i in range(20))
+    assert {(out[100000 + i * 1000]["class_id"], out[100000 + i * 1000]["n_links"]) for i in range(20)} == {(100000, 19)}
+
+
+def ranges_by_hand(a, b):
+    n, s = compact_windows.SHORTEST, compact_windows.SIMILARITY
+    found = set()
+    for i, j in itertools.product(range(len(a) - n + 1), range(len(b) - n + 1)):
+        for e, g in itertools.product(range(i + n, len(a) + 1), range(j + n, len(b) + 1)):
+            x, y = set(a[i:e].tolist()), set(b[j:g].tolist())
+            if len(x & y) / len(x | y) >= s:
+                found.add((i, e, j, g))
+    return found
+
+
+def test_passages_with_insertions(spark, words):
+    for seed, (at, n) in enumerate([(30, 1), (30, 2), (20, 2), (28, 8)]):
+        w = text_of(words, 58, 40 + seed).split()
+        a, b = (compact_windows.shingles(" ".join(t)) for t in (w, w[:at] + [f"new{k}" for k in range(n)] + w[at:]))
+        assert bool(compact_windows.similar_ranges(a, b)) == bool(ranges_by_hand(a, b))
+    passage = text_of(words, 60, 3).split()
+    longer = [w for k, w in enumerate(text_of(words, 270, 4).split()) for w in ([w, f"in{k}"] if k % 45 == 44 else [w])]
+    rows = [
+        (1, f"{text_of(words, 20, 800)} {' '.join(passage)}"), (2, " ".join(passage[:30] + ["inserted"] + passage[30:])),
+        (3, text_of(words, 270, 4)), (4, f"{' '.join(longer)} {text_of(words, 20, 801)}"),
+    ]
+    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
+    assert out[2]["class_id"] == 1 and out[4]["class_id"] == 3 and out[3]["n_words_shared"] >= 260
+
+
+def test_repeated_shingles_count_once(words):
+    line, other = text_of(words, 30, 5), text_of(words, 60, 6)
+    a, b = (compact_windows.shingles(t) for t in (" ".join([line] * 4), f"{other} {' '.join([line] * 3)}"))
+    assert compact_windows.similar_ranges(a, b)
+    few = ["same"] * 30
+    a, b = (compact_windows.shingles(" ".join(few + [f"{c}{k}" for k in range(5)] + few)) for c in "xy")
+    assert not [r for r in compact_windows.similar_ranges(a, b) if set(a[r[0]:r[1]].tolist()) != set(b[r[2]:r[3]].tolist())]
+
+
 def test_passages_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in compact_windows.substring_duplicates(odd).collect()}
     assert len(rows) == 6 and rows[2]["class_id"] == 1
