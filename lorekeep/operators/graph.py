@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -141,19 +143,19 @@ def ranked_sample(rows: DataFrame, seed: int, by: list[str], floor: int) -> Data
     return rows.withColumn("rank", rank).withColumn("place", F.row_number().over(w)).where(F.col("place") <= floor)
 
 
-def greedy_cover(candidates: DataFrame, by: str, seed: int, most_rounds: int = 64) -> DataFrame:
+def greedy_cover(candidates: DataFrame, by: str, seed: int, most_rounds: int | None = None) -> DataFrame:
     """Pages chosen until each group's strata are covered: (by, page_id, revision_id, round).
 
     ``candidates`` has ``by``, project, page_id, revision_id, strata. Each round takes
     from each group the page that adds most missing strata, ties by the seed's
     SHA-256, page and revision: a pre-aggregated minimum, never a group in one task.
-    The number of rounds is at most that of strata.
+    The number of rounds is at most that of strata; more than ``most_rounds`` are an error.
     """
     rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), "project", "page_id", "revision_id"), 256)
     ranked = save(candidates.select(by, "page_id", "revision_id", "strata", rank.alias("rank")), "cover")
     missing = save(ranked.select(by, F.explode("strata").alias("s")).groupBy(by).agg(F.collect_set("s").alias("missing")), "cover")
     chosen = None
-    for n in range(1, most_rounds + 1):
+    for n in count(1):
         gain = F.size(F.array_intersect("strata", "missing"))
         best = (
             ranked.join(missing, by).where(gain > 0).groupBy(by)
@@ -163,8 +165,12 @@ def greedy_cover(candidates: DataFrame, by: str, seed: int, most_rounds: int = 6
         best = save(best, "cover")
         if not best.head(1):
             break
+        if most_rounds is not None and n > most_rounds:
+            raise LorekeepError("TooManyRounds")
         picked = best.drop("strata")
         chosen = picked if chosen is None else chosen.unionByName(picked)
+        if n % 32 == 0:
+            chosen = save(chosen, "cover")
         left = missing.join(best.select(by, "strata"), by, "left")
         left = left.select(by, F.array_except("missing", F.coalesce("strata", F.array().cast("array<string>"))).alias("missing"))
         missing = save(left.where(F.size("missing") > 0), "cover")

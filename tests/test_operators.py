@@ -220,6 +220,13 @@ def test_greedy_cover(spark):
     ]
 
 
+def test_greedy_cover_of_many_strata(spark):
+    c = spark.createDataFrame([("p", k, 1, [f"s{k}"]) for k in range(66)], "project string, page_id long, revision_id long, strata array<string>")
+    assert graph.greedy_cover(c, "project", 1).select("page_id").distinct().count() == 66
+    with pytest.raises(LorekeepError):
+        graph.greedy_cover(c, "project", 1, most_rounds=2)
+
+
 def test_state(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "k int, v int, x string")
