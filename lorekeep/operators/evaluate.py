@@ -11,12 +11,10 @@ from lorekeep.functions import text as T
 def case_hits(blocks: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     """The k best passages of each case (case_id, query): rank, block_id, page_id, score.
 
-    The suite is bounded by contract (1000 cases of 32 terms), so its terms are
-    broadcast; blocks meet them in place and only scored pairs are shuffled.
+    A suite that is small enough for Spark's size check is broadcast; blocks meet
+    its terms in place and only scored pairs are shuffled.
     """
-    terms = F.broadcast(
-        cases.select("case_id", F.explode(F.array_distinct(T.query_tokens("query"))).alias("term"))
-    )
+    terms = cases.select("case_id", F.explode(F.array_distinct(T.query_tokens("query"))).alias("term"))
 
     def part(text, weight: int) -> DataFrame:
         own = blocks.select("project", "page_id", "block_id", F.explode(F.array_distinct(T.index_tokens(text))).alias("term"))

@@ -9,6 +9,7 @@ from lorekeep.errors import LorekeepError
 from lorekeep.functions import html
 from lorekeep.functions import text as T
 from lorekeep.operators import audit, evaluate, graph, joins, search, state
+from lorekeep.plans import search_queries
 from lorekeep.sources import dumps, sinks
 from lorekeep.streaming import stream
 
@@ -227,6 +228,15 @@ def test_greedy_cover_of_many_strata(spark):
         graph.greedy_cover(c, "project", 1, most_rounds=2)
 
 
+def test_gold_of_a_long_suite(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.where("doc_id < 20").withColumn("text", F.concat(F.lit("case "), F.col("doc_id"), F.lit(" end"))).write.parquet(f"{tmp_path}/documents.parquet")
+    cases = spark.range(1, 1201).selectExpr("id as item_id", "if(id > 1000, concat('case ', id - 1000, ' end'), 'nowhere') as text")
+    cases.write.parquet(f"{tmp_path}/benchmark.parquet")
+    gold = {(r["case_id"], r["page_id"]) for r in search_queries._gold(spark, str(tmp_path)).collect()}
+    assert gold == {(1000 + r["doc_id"], r["doc_id"] + 1) for r in docs.where("doc_id between 1 and 19").collect()}
+
+
 def test_state(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "c"), (2, 4, "d"), (3, 1, "e")], "k int, v int, x string")
