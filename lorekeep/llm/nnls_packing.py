@@ -11,15 +11,19 @@ length, so that the corpus itself is only counted and read again.
 
 from __future__ import annotations
 
-import base64
+import json
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lorekeep.llm.common import save
 
@@ -30,26 +34,58 @@ PIECES = "part int, doc_id long, start long, length int, ids_crc32 long, doc_tok
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def load_encoder(path: str):
-    """A function from a text to its ids, from a tokenizer file: ``.json`` or ``.tiktoken`` ranks.
+#: Words whose ids a task keeps.
+KEPT_WORDS = 1 << 19
+#: Byte-level vocabularies write each byte as one character: printable ones as they are, the others, in order, from U+0100 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Characters that all versions of Unicode since 12 class alike; the libraries that split words differ in others.
+_SETTLED = regex.compile(r"[\x00-\u0530\u0900-\u0c50\u0d00-\u2080\u20a0-\ua7c0\uac00-\uffff\U0001f000-\U0001f9ff]*")
 
-    Strings of special tokens in a text are ordinary text.
+
+class Encoder:
+    """A text's ids by a tokenizer file of byte-level BPE, those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    Such a tokenizer cuts a text into words first and merges within words only, so each
+    distinct word is merged once by the tokenizer's own model and its ids are kept. Texts that
+    hold an added token's string, or characters that Unicode versions class differently, and all
+    texts of other kinds of tokenizers, go through ``encode`` whole.
     """
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        return lambda text: whole.encode(text, add_special_tokens=False).ids
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    ranked = tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-    return ranked.encode_ordinary
+
+    def __init__(self, path: str) -> None:
+        self.whole = Tokenizer.from_file(path)
+        rules = json.loads(self.whole.to_str())
+        split = rules["pre_tokenizer"] or {}
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.by_word = (
+            rules["model"]["type"] == "BPE" and not rules["normalizer"] and not rules["truncation"] and not rules["padding"]
+            and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        )
+        self.merge = self.whole.model.tokenize
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.known = _Known(self._word)
+
+    def _word(self, word: str) -> bytes:
+        found = [t.id for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word or any(t in text for t in self.added) or not (text.isascii() or _SETTLED.fullmatch(text)):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), dtype="<u4")
+
+
+class _Known(dict):
+    """A function of words with its values kept."""
+
+    def __init__(self, value: Callable[[str], bytes]) -> None:
+        self.value = value
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.value(word)
+        return found
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -61,14 +97,14 @@ def cut_documents(docs: DataFrame, encoder_path: str, text_col: str = "text", wi
     number among those of its length in the task that cut it (``part``, ``ordinal``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoder(encoder_path)
+        encode = Encoder(encoder_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
-                ids = np.array([*encode(text), END_ID] if text else [END_ID], dtype=np.uint32)
+                ids = np.append(encode(text), np.uint32(END_ID)) if text else np.array([END_ID], dtype=np.uint32)
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rest = None if len(piece) == window else piece.astype("<u2" if piece.max() < 1 << 16 else "<u4")
@@ -99,51 +135,70 @@ def fillings(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 3)
 
 
-def solve_repeats(fill: np.ndarray, histogram: np.ndarray, rounds: int = 40, block: int = 96) -> np.ndarray:
-    """How often to repeat each filling: argmin ``|A x - histogram|`` for x >= 0.
+def solve_repeats(fill: np.ndarray, histogram: np.ndarray, block: int = 96, tolerance: float = 0.5) -> np.ndarray:
+    """How often to repeat each filling: argmin ``|A x - histogram|`` for x >= 0, by active sets.
 
-    An active-set method that lets up to ``block`` fillings in at once: those of
-    the steepest descent that share no length. The result has no more non-zero
-    counts than there are lengths, so that rounding it loses little.
+    Fillings of the steepest descent are let in, up to ``block`` at once that share no
+    length; least squares on the fillings in use follow, and those that it makes negative
+    leave. Where that doesn't lower the error, the steepest alone is let in, and x goes towards
+    its least squares only until the first count is zero, which leaves; such steps always
+    lower it. It ends where no filling outside descends by over ``tolerance`` pieces, the
+    optimality condition. A minimum has no more non-zero counts than there are lengths, so
+    that rounding it loses little.
     """
-    n = len(histogram)
-    x = np.zeros(len(fill))
-    used: np.ndarray = np.zeros(0, dtype=np.int64)
+    n, x = len(histogram), np.zeros(len(fill))
+    target = histogram.astype(float)
+    target[0] = 0.0
 
-    def matrix(columns: np.ndarray) -> np.ndarray:
+    def fitted(columns: np.ndarray) -> np.ndarray:
         a = np.zeros((n, len(columns)))
         for k in range(3):
             np.add.at(a, (fill[columns, k], np.arange(len(columns))), fill[columns, k] > 0)
-        return a
+        return np.linalg.solve(a.T @ a + 1e-7 * np.eye(len(columns)), a.T @ target)
 
-    rest = histogram.astype(float)
-    for _ in range(rounds):
-        rest[0] = 0.0
+    def left(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = target - np.bincount(fill[columns].ravel(), weights=np.repeat(counts, 3), minlength=n)
+        out[0] = 0.0  # where fillings are padded
+        return out
+
+    used = np.zeros(0, dtype=np.int64)
+    rest, most = target.copy(), block
+    for _ in range(8 * n):
         slope = rest[fill].sum(axis=1)
-        slope[used] = 0
+        slope[used] = 0.0
         taken, more = np.zeros(n, dtype=bool), []
-        for k in np.argsort(-slope, kind="stable")[: 8 * block]:
+        steep = np.flatnonzero(slope > tolerance)
+        for k in steep[np.argsort(-slope[steep], kind="stable")][: 8 * most]:
             lengths = fill[k][fill[k] > 0]
-            if slope[k] <= 0.5 or len(more) == block:
+            if len(more) == most:
                 break
             if not taken[lengths].any():
                 taken[lengths] = True
                 more.append(k)
         if not more:
             break
-        used = np.concatenate([used, np.array(more, dtype=np.int64)])
-        while len(used):
-            a = matrix(used)
-            found = np.linalg.solve(a.T @ a + 1e-6 * np.eye(len(used)), a.T @ histogram)
-            if (found > 0).all():
-                break
-            used = used[found > 0]
-        if not len(used):
-            break
-        before, rest = np.abs(rest).sum(), histogram - a @ found
-        if before - np.abs(rest[1:]).sum() < 1e-3 * before and len(used) > block:
+        columns = np.concatenate([used, np.array(more, dtype=np.int64)])
+        counts = fitted(columns)
+        while most > 1 and (counts <= 0).any():
+            columns = columns[counts > 0]
+            counts = fitted(columns)
+        while most == 1 and (counts <= 0).any():
+            now, falls = x[columns], np.flatnonzero(counts <= 0)
+            steps = now[falls] / np.maximum(now[falls] - counts[falls], 1e-300)
+            now = now + steps.min() * (counts - now)
+            now[falls[steps.argmin()]] = 0.0
+            x[columns] = np.maximum(now, 0.0)
+            columns = columns[now > 0]
+            counts = fitted(columns)
+        found = left(columns, counts)
+        lower = found @ found < rest @ rest
+        if not lower and most == 1:
             break
-    x[used] = found if len(used) else 0
+        if lower:
+            x[:] = 0.0
+            x[columns] = counts
+            used, rest = columns, found
+        most = block if lower and most > 1 else 1 if most > 1 else max(2, block // 8)
     return x
 
 

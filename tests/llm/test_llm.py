@@ -11,6 +11,7 @@ import pytest
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import oracle
 from lorekeep.llm import (
@@ -278,17 +279,31 @@ def test_hilbert_curve_is_one_path():
 # packing
 
 
-@pytest.mark.parametrize("path", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json"])
+TOKENIZERS = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+@pytest.mark.parametrize("path", TOKENIZERS)
+def test_ids_are_those_of_the_tokenizer(documents, path):
+    encode, plain = nnls_packing.Encoder(public_tokenizers.path(path)), Tokenizer.from_file(public_tokenizers.path(path))
+    odd = [
+        "a <|endoftext|> b", "\x00\x1c\x1d x\x85\xa0y  \n\n z", " 'll  don't\t\t1a  ", "\U0001f600 \u00e9 \u91cd\u8981 \ud55c\uad6d", "   ",
+        "\n", "a\u0558b \u058c", "x\U0001df90y \U0001e6c0 z", "0\u208f \ua7ce", "\u3000a\u2028 b\ufeff",
+    ]
+    for t in [*odd, *(t for _, t in documents if t)]:
+        assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", TOKENIZERS)
 def test_packing_round_trip(spark, documents, path):
-    rows = [*documents[:80], (9001, None), (9002, "")]
+    rows = [*documents[:80], (9001, None), (9002, ""), (9003, "a <|endoftext|> b")]
     pieces = nnls_packing.pack(docs_of(spark, rows), public_tokenizers.path(path)).collect()
-    encode = nnls_packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path(path))
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
         by_sequence[p["sequence_id"]].append(p)
     for i, t in rows:
-        ids, at = np.array([*encode(t or ""), 0], dtype="<u4"), 0
+        ids, at = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4"), 0
         for p in sorted(by_doc[i], key=lambda p: p["start"]):
             assert (p["start"], p["doc_tokens"]) == (at, len(ids))
             assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
@@ -311,8 +326,23 @@ def test_packing_plan_uses_fillings():
     assert (plan.used <= histogram).all() and plan.used.sum() > 0.9 * histogram.sum()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_are_least_squares(seed):
+    """The optimality conditions: no filling descends, and those in use are at their minimum."""
+    rng = np.random.default_rng(seed)
+    lengths = [rng.integers(1, 65, 3000), rng.integers(1, 65, 30), np.minimum(64, rng.geometric(0.1, 900)), np.array([64] * 5 + [32] * 4 + [7])]
+    histogram = np.bincount(lengths[seed], minlength=65)
+    fill = nnls_packing.fillings(np.flatnonzero(histogram), 64)
+    x = nnls_packing.solve_repeats(fill, histogram, block=8, tolerance=1e-3)
+    a = np.zeros((65, len(fill)))
+    for k in range(3):
+        np.add.at(a, (fill[:, k], np.arange(len(fill))), fill[:, k] > 0)
+    slope = a.T @ (histogram - a @ x)
+    assert (x >= 0).all() and slope.max() < 2e-3 and np.abs(slope[x > 0]).max() < 2e-3
+
+
 def test_packing_no_rows(nothing, odd):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     assert nnls_packing.pack(nothing, path).count() == 0
     assert nnls_packing.pack(odd, path).agg(F.sum("length")).head()[0] >= len(ODD)
 
