@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACE, save, text_or_empty
+from lorekeep.llm.common import SPACE, save, text_key, text_or_empty
 
 #: Characters in a block. Larger blocks mean fewer levels, smaller ones less to sort at once.
 BLOCK_CHARS = 4096
@@ -58,17 +58,21 @@ def _block_names(texts: DataFrame, block_chars: int, seed: int) -> tuple[DataFra
 def block_identities(
     docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS, seed: int = 1
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_sha256 (binary), row, n_blocks, name.
+    """One row per row of ``docs``: doc_id, text_key, text_sha256 (binary), row, n_blocks, name.
 
     (n_blocks, name) is the identity of the normalised text. ``row`` tells rows
     apart that repeat an id. Only ``doc_id`` and the text are read.
     """
-    texts = docs.select("doc_id", F.regexp_replace(text_or_empty(text_col), SPACE, " ").alias("norm"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
+        F.regexp_replace(text_or_empty(text_col), SPACE, " ").alias("norm"),
+    )
     names, seed = _block_names(texts, block_chars, seed)
     rows = save(
         texts.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
+            "text_key",
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.transform(_blocks(F.col("norm"), block_chars), lambda b: _handle(seed, b)).alias("handles"),
         ),
@@ -108,13 +112,13 @@ def block_identities(
     identity = done[0]
     for d in done[1:]:
         identity = identity.unionByName(d)
-    return rows.select("row", "doc_id", F.col("digest").alias("text_sha256")).join(identity, "row")
+    return rows.select("row", "doc_id", "text_key", F.col("digest").alias("text_sha256")).join(identity, "row")
 
 
 def exact_duplicates(
     docs: DataFrame, text_col: str = "text", block_chars: int = BLOCK_CHARS, seed: int = 1
 ) -> DataFrame:
-    """Group equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row per row of ``docs``.
+    """Group equal texts: doc_id, keep_id, group_size, kept, text_sha256, text_key, one row per row of ``docs``.
 
     * Texts are equal if they are the same after each run of white space became
       one space. A null text counts as empty; all empty texts are equal.
@@ -135,4 +139,5 @@ def exact_duplicates(
         "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
         F.lower(F.hex("text_sha256")).alias("text_sha256"),
+        "text_key",
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.lineage import save, scratch_dir
 
-__all__ = ["SPACE", "crc_mod", "join_decisions", "keep_rows", "save", "scratch_dir", "table", "text_or_empty"]
+__all__ = [
+    "SPACE", "crc_mod", "join_decisions", "join_row_decisions", "keep_rows", "save", "scratch_dir", "table", "text_key", "text_or_empty",
+]
 
 #: Runs of these characters separate words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,14 +38,41 @@ def join_decisions(docs: DataFrame, decisions: DataFrame, how: str = "inner") ->
     return docs.join(d, docs["doc_id"].eqNullSafe(d["__decided_id"]), how).drop("__decided_id")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (``doc_id``, ``__rows``).
+def text_key(text_col: str = "text") -> Column:
+    """A 64-bit name of a text, which with ``doc_id`` tells rows apart; null texts have one too."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    ``__rows`` is how many rows of ``docs`` have that id. Where it is over one,
-    equal rows become one; different rows under one id all stay.
+
+def join_row_decisions(docs: DataFrame, decisions: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` joined to one decision for each (``doc_id``, ``text_key``), null ids included.
+
+    Only one column is added, a struct of the decision's other columns; its name, which is
+    returned too, is none of the columns of ``docs``.
+    """
+    own, key, name = (free_name(docs, n) for n in ("decided_id", "decided_key", "decision"))
+    values = [c for c in decisions.columns if c not in ("doc_id", "text_key")]
+    d = decisions.select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.struct(*values).alias(name))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (text_key(text_col) == F.col(key))
+    return docs.join(d, same).select(*(docs[c] for c in docs.columns), name), name
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to clash with no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (``doc_id``, ``text_key``, ``n_rows``) names, one of each name.
+
+    ``n_rows`` is how many rows of ``docs`` have that name: the same id and the same text.
     """
     cols = docs.columns
-    marked = join_decisions(docs, kept)
-    once = marked.where(F.col("__rows") == 1).select(*cols)
-    again = marked.where(F.col("__rows") > 1).select(*cols).dropDuplicates()
+    marked, decision = join_row_decisions(docs, kept, text_col)
+    n = F.col(decision)["n_rows"]
+    once = marked.where(n == 1).select(*cols)
+    key = free_name(marked, "same_text")
+    again = marked.where(n > 1).withColumn(key, text_key(text_col)).dropDuplicates(["doc_id", key]).select(*cols)
     return once.unionByName(again)

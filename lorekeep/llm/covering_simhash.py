@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import save
+from lorekeep.llm.common import save, text_key
 from lorekeep.llm.components import components
 
 BITS = 64
@@ -58,15 +58,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long."""
+    """(doc_id, text_key, fp): the fingerprint of each row's whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, fp long"
+    return docs.select(F.col("doc_id").cast("long"), text_key(text_col), F.col(text_col).cast("string")).mapInArrow(
+        run, "doc_id long, text_key long, fp long"
     )
 
 
@@ -120,13 +120,14 @@ def fingerprint_links(fps: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataF
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Components of near-duplicates: doc_id, fingerprint, component_id, one row per row of ``docs``.
+    """Components of near-duplicates: doc_id, fingerprint, component_id, root, text_key, one row per row of ``docs``.
 
     * Two documents link if their fingerprints differ in at most two bits;
       ``component_id`` is the smallest id that links reach.
     * Texts without words, null ones too, have fingerprint zero and link like any
       other. Very short texts are one shingle. Repeated rows share a component.
-    * Rows with a null id take part, and never name a component with others in it.
+    * Rows with a null id take part, and never name a component with others in it;
+      ``root`` names each component, those without ids too.
     * No rows give no rows; other columns are not read.
     """
     rows = save(fingerprints(docs, text_col), "simhash")
@@ -136,7 +137,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", small_bucket: int =
     )
     rooted = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "component_id", "root")
     return rows.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_key"
     )

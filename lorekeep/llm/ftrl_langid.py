@@ -10,11 +10,14 @@ documents of the sample that the fit left out.
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +27,20 @@ COLUMNS = 1 << 16
 ORDERS = 3
 #: Documents that the classifier is fitted on, at most; a tenth of them calibrate it.
 MOST_FITTED = 3000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 NO_LANGUAGE = "und"
 
-_KEEP = np.array([chr(c).isalpha() for c in range(0x250)])
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter or a mark on one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
 
 
 def grams(text: str) -> np.ndarray:
     """Column numbers of all n-grams of a text, repeats included."""
     a = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
-    a = np.where((a < 0x250) & ~_KEEP[np.minimum(a, 0x24F)], np.uint32(32), a)
+    a = np.where(_letters()[a], a, np.uint32(32))
     blank = a == 32
     a = a[~(blank & np.concatenate([[False], blank[:-1]]))]
     a = np.concatenate([[32], a, [32]]).astype(np.uint32)
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", most_fitted: int
     ``most_fitted``, those of the smallest hash of their ids.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col(text_col).isNotNull()).select(
-        "doc_id", F.col(text_col).cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
     ids = F.broadcast(  # at most most_fitted ids
         known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fitted).withColumnRenamed("doc_id", "id")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import save
+from lorekeep.llm.common import save, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -28,8 +28,8 @@ MOST = 2
 #: Documents, or remains of bundles, that meet in one bundle.
 FAN_IN = 32
 
-UNIT = "struct<doc_id:bigint,source:string,size:bigint,p:double>"
-SETTLED = "struct<doc_id:bigint,source:string,size:bigint,extra:int>"
+UNIT = "struct<key:bigint,doc_id:bigint,text_key:bigint,source:string,size:bigint,p:double>"
+SETTLED = "struct<doc_id:bigint,text_key:bigint,source:string,size:bigint,extra:int>"
 
 
 def source_targets(
@@ -78,7 +78,7 @@ def source_targets(
 
 
 def _draw(level: int, a: Column, b: Column) -> Column:
-    """A number in [0, 1) that two ids and a level always give alike."""
+    """A number in [0, 1) that two keys and a level always give alike."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit("pivot"), F.lit(level), a, b), 11)
     return bits.cast("double") / float(1 << 53)
 
@@ -91,12 +91,12 @@ def _settle(level: int) -> tuple[Column, object]:
 
     def settled(unit: Column, extra: Column) -> Column:
         return F.struct(
-            unit["doc_id"].alias("doc_id"), unit["source"].alias("source"), unit["size"].alias("size"), extra.alias("extra")
+            *(unit[c].alias(c) for c in ("doc_id", "text_key", "source", "size")), extra.alias("extra")
         )
 
     def with_p(unit: Column, p: Column) -> Column:
         return F.struct(
-            unit["doc_id"].alias("doc_id"), unit["source"].alias("source"), unit["size"].alias("size"),
+            *(unit[c].alias(c) for c in ("key", "doc_id", "text_key", "source", "size")),
             F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"),
         )
 
@@ -105,7 +105,7 @@ def _settle(level: int) -> tuple[Column, object]:
         have_a, have_b = a["p"] * a["size"], b["p"] * b["size"]  # words still open
         room_a, room_b = a["size"] - have_a, b["size"] - have_b
         to_a, to_b = F.least(room_a, have_b), F.least(have_a, room_b)
-        up = _draw(level, a["doc_id"], b["doc_id"]) * (to_a + to_b) < to_b
+        up = _draw(level, a["key"], b["key"]) * (to_a + to_b) < to_b
         a_full, b_empty = room_a <= have_b, have_a <= room_b
         left = (
             F.when(up & a_full, with_p(b, b["p"] - room_a / b["size"]))
@@ -134,20 +134,28 @@ def mix(
     most: float = MOST,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Copies of each document in the mix: doc_id, source, size, source_size, target, copies, taken.
+    """Copies of each document in the mix: doc_id, source, size, source_size, target, copies, taken, text_key.
 
     * ``size`` counts words in the whole text (null: 0); documents without words
       take no part: copies 0.
-    * A null source is a source of its own, the last. Equal rows are documents of
-      their own. The draw depends on ids only: reruns agree.
+    * A null source is a source of its own, the last. Rows of one id, or of none, are
+      documents of their own, told apart by text and, if that is the same too, by a
+      number among them, so that no bundle grows with them. The draw depends on ids and
+      texts only: reruns agree, however the rows are dealt out.
     * No rows give no rows; other columns are not read.
     """
     sizes = save(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
+            text_key(text_col).alias("text_key"),
             F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
+        )
+        .groupBy("doc_id", "source", "text_key", "size")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("doc_id", "source", "text_key", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("number"))
+        .withColumn("key", F.xxhash64("doc_id", "text_key", "number"))
+        .drop("number"),
         "mix-sizes",
     )
     targets = save(source_targets(sizes, weights, share, most), "mix-targets")
@@ -155,18 +163,18 @@ def mix(
     asked = sizes.join(
         targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
     ).select(
-        "doc_id", "source", "size", F.floor(copies).cast("int").alias("whole"), (copies - F.floor(copies)).alias("p"), "n_docs"
+        "key", "doc_id", "text_key", "source", "size", (copies - F.floor(copies)).alias("p"), "n_docs"
     )
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
-    bundle = F.pmod(F.xxhash64(F.lit("bundle"), "doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in)))
+    bundle = F.pmod(F.xxhash64(F.lit("bundle"), "key"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in)))
     units = asked.where(open_).select(
-        "source", bundle.alias("bundle"), F.struct("doc_id", "source", "size", "p").cast(UNIT).alias("unit")
+        "source", bundle.alias("bundle"), F.struct("key", "doc_id", "text_key", "source", "size", "p").cast(UNIT).alias("unit")
     )
     largest = targets.agg(F.max("n_docs")).head()[0] or 0
     bundles, level, settled = -(-largest // fan_in), 0, []
     while True:
         start, step = _settle(level)
-        order = F.struct(F.xxhash64(F.lit(level), F.col("unit.doc_id")).alias("order"), F.col("unit").alias("unit"))
+        order = F.struct(F.xxhash64(F.lit(level), F.col("unit.key")).alias("order"), F.col("unit").alias("unit"))
         folded = save(
             units.groupBy("source", "bundle")
             .agg(F.sort_array(F.collect_list(order)).alias("units"))
@@ -181,8 +189,8 @@ def mix(
             break
         bundles, level = -(-bundles // fan_in), level + 1
     last = F.when(F.col("unit.p") >= 0.5, 1).otherwise(0)  # one document a source: to the nearer side
-    settled.append(units.select("unit.doc_id", "unit.source", "unit.size", last.alias("extra")))
-    settled.append(asked.where(~open_).select("doc_id", "source", "size", F.lit(0).alias("extra")))
+    settled.append(units.select("unit.doc_id", "unit.text_key", "unit.source", "unit.size", last.alias("extra")))
+    settled.append(asked.where(~open_).select("doc_id", "text_key", "source", "size", F.lit(0).alias("extra")))
     every = settled[0]
     for s in settled[1:]:
         every = every.unionByName(s)
@@ -191,5 +199,5 @@ def mix(
     )
     taken = F.when(F.col("size") > 0, F.floor(copies).cast("int") + F.col("extra")).otherwise(0)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"), "text_key"
     )

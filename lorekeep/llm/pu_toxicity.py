@@ -116,8 +116,10 @@ def fit(
     ``labels`` has (doc_id, toxic). Ones are the confirmed documents; zeros and
     missing labels are unlabelled alike. ``prior`` is the share of toxic documents;
     if None, that among the labelled ones is taken. Samples are bounded by the two
-    parameters; they are documents of the smallest hash of their ids.
+    parameters; they are documents of the smallest hash of their ids. Other columns
+    of ``docs`` are not read.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         counts = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, 0.0))).head()
@@ -139,7 +141,7 @@ def fit(
 
     rows = save(
         docs.join(sample, F.col("doc_id") == F.col("id"))
-        .select("confirmed", F.col(text_col).cast("string"))
+        .select("confirmed", "text")
         .mapInArrow(run, "confirmed boolean, features array<string>"),
         "toxicity-sample",
     )

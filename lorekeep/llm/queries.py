@@ -35,11 +35,11 @@ def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
+    return block_naming.exact_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return covering_simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root", "text_key")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivotal_mixing.mix(table(spark, sf_dir, "documents"))
+    return pivotal_mixing.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

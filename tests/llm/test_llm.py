@@ -30,12 +30,15 @@ from lorekeep.llm import (
 from lorekeep.llm.components import components
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, fp long, name string"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, row long, fp long, name string, id long, confirmed boolean, "
+    "__rows long, __first long, __copies int, n_rows long, decision string, decided_id long, decided_key long, text_key long, same_text long, root long, key long"
+)
 
 
 def docs_of(spark, rows):
     """Rows of (doc_id, text) as documents with extra columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", "s", 1, 7, 8, "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", 1, 7, 8, "x", 9, True, 1, 1, 1, 1, "d", 1, 1, 1, 1, 1, 1) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -186,6 +189,8 @@ def test_language_odd_rows(spark, odd, nothing):
     rows = ftrl_langid.identify(odd).collect()
     assert len(rows) == len(ODD)
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
+    model = ftrl_langid.fit(docs_of(odd.sparkSession, [(i, "plain words") for i in range(30)]), F.lit(True))
+    assert [model.predict(t)[0] for t in ("² ½ ① 12 _", "२", "é", "重")] == ["und", "und", "en", "en"]
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert ftrl_langid.identify(nothing).count() == 0
 
@@ -543,9 +548,43 @@ def test_pipeline(spark, tmp_path):
     assert len(kept) == len(set(kept))
 
 
-def test_pipeline_stages_keep_null_and_repeated_rows(spark, odd, nothing):
+def test_pipeline_stages_on_odd_rows(spark, odd, nothing, tmp_path):
+    """All five stages, with a fitted classifier, on odd rows among documents."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    clean = [(100 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(40))) for i in range(120)]
+    toxic = [(300 + i, " ".join([f"w{rng.randrange(400)}" for _ in range(30)] + ["vile1", "vile2"])) for i in range(40)]
+    docs = odd.unionByName(docs_of(spark, clean + toxic))
+    labels = [(i, int(i >= 300)) for i, _ in clean + toxic]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert out.agg(F.sum("length")).head()[0] > docs.count()
+            break
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name == "toxicity":
+            kept = {r["doc_id"] for r in docs.collect()}
+            assert {i for i, _ in clean} <= kept and not kept & {i for i, _ in toxic} and docs.count() == len(ODD) + len(clean)
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, words):
     import corpus_pipeline
 
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        assert stage(spark, odd, SF).columns == odd.columns, name
-        assert stage(spark, nothing, SF).count() == 0, name
+    a, b, c = (text_of(words, 60, s) for s in (1, 2, 3))
+    near = a + " tail"
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, c), (None, c), (None, b), (3, c)]
+    kept = corpus_pipeline.drop_exact_copies(spark, docs_of(spark, rows), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (3, c)])
+    rows = [(5, b), (5, a), (5, near), (None, c), (None, c), (6, near)]
+    got = corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), SF).collect()
+    link = bin(covering_simhash.fingerprint(a) ^ covering_simhash.fingerprint(near)).count("1") <= 2
+    assert len(got) == (3 if link else 4) and sum(r["text"] == c for r in got) == 1 and sum(r["text"] == b for r in got) == 1
+    rows = [(7, text_of(words, 30, k)) for k in range(300)] + [(None, a)] * 300
+    mixed = corpus_pipeline.mix_sources(spark, docs_of(spark, rows), SF)
+    share = mixed.where("doc_id is null").count()
+    assert 300 <= share <= 600 and abs(sum(len(r["text"].split()) for r in mixed.collect()) - 1.5 * (300 * 30 + 300 * 60)) <= 60
