@@ -1,27 +1,27 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-cased words. The words of all lines are counted
-in a table of fixed size; a line's words are ordered by rarity, and only its
-first few, its prefix, are indexed: two sets of Jaccard similarity t or more
-share a word of their prefixes. Length and position filters, and bitmaps of the
-words, drop pairs that can't reach t; the rest are verified on the words.
-
-Lines with equal sets are one class. Classes under a word with few occurrences
-all meet. Under other words a class first meets only the earliest: it needs no
-more than one earlier class that matches. Classes that this settles are not asked
-again; the others meet all earlier classes under their words. Under a word with
-many classes they have to share a second word of a prefix longer by one, which
-the same bound proves.
+A line is the set of its words. The words of all lines are counted in a table of
+fixed size; a line's words are ordered by rarity, and only its first few, its
+prefix, are indexed: two sets of Jaccard similarity t or more share a word of their
+prefixes. Length and position filters, and bitmaps of the words, drop pairs that
+can't reach t; the rest are verified on the words.
+
+Lines with equal sets are one class. Under each word a class first meets only the
+earliest: it needs no more than one earlier class that matches. Classes that this
+settles are not asked again; the others meet all earlier classes under their words.
+Under a word with many classes they have to share a second word of a prefix longer
+by one, which the same bound proves, and under a pair with many classes again they
+are dealt into blocks, so that no task holds all of its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +31,20 @@ from lorekeep.llm.common import join_decisions, save
 SIMILARITY = 0.8
 #: Counters of the rarity table.
 COUNTERS = 1 << 20
-#: Occurrences of a word up to which all classes under it meet at once.
-FEW = 16
-#: Classes under one word beyond which a second word must be shared.
+#: Classes under one word beyond which a second word must be shared, and under a pair of words beyond which they are dealt into blocks.
 HOT_WORD = 200
-#: Words that a task keeps codes of, and word codes that it sends at once.
-KEPT_WORDS = 1 << 18
-SENT_WORDS = 1 << 20
+#: Bytes of text whose words a task holds at once; a longer text is held alone.
+STEP_BYTES = 4 << 20
 #: Places of the bitmap of lines that are to be verified: 2 MB, whatever the corpus.
 ASKED_BITS = 1 << 24
 ASKED_PRIME = 16777213
 
-_LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, alone int, few int, prefix array<int>"
+_LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, skipped int, prefix array<int>"
 
 
 def line_words(line: str) -> set[str]:
-    return set(line.lower().split())
+    """The words of a line: runs of other than ASCII white space, A-Z lower-cased."""
+    return set(pc.ascii_split_whitespace(pc.ascii_lower(pa.scalar(line))).as_py()) - {""}
 
 
 def least_overlap(a: int, b: int, t: float = SIMILARITY) -> int:
@@ -54,113 +52,124 @@ def least_overlap(a: int, b: int, t: float = SIMILARITY) -> int:
     return math.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def _prefix(n: int, t: float) -> int:
-    return n - math.ceil(t * n - 1e-9) + 1
-
-
 def _smallest(t: float) -> int:
     """The size of the smallest set that can reach the similarity with another set: n / (n + 1) >= t."""
     return math.ceil(t / (1 - t) - 1e-9) if t < 1 else 1 << 31
 
 
-def _rank(n):
-    """The order of a word that occurs ``n`` times."""
-    return np.minimum(np.log2(n + 1.0) * 1024, 2**16 - 1).astype(np.uint16)
+class _Lines:
+    """The lines with words of some texts: their words as numbers of a list of distinct words.
 
+    ``text`` and ``number`` tell each line's text and its number in it, ``line`` and
+    ``word`` each word's line and number; repeats of a word in a line are still there.
+    """
 
-class _Known(dict):
-    """A function of words with its values kept."""
+    def __init__(self, texts: pa.Array, asked=None) -> None:
+        lines = pc.split_pattern(texts.fill_null(""), "\n")
+        counts = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        flat = lines.flatten()
+        if asked is not None:
+            wanted = np.flatnonzero(asked(text, number))
+            text, number, flat = text[wanted], number[wanted], flat.take(pa.array(wanted))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(flat))
+        coded = words.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        line = np.repeat(np.arange(len(flat)), words.value_lengths().to_numpy(zero_copy_only=False))
+        self.words = coded.dictionary.to_pylist()
+        if "" in self.words:  # at the ends of a line
+            there = word != self.words.index("")
+            line, word = line[there], word[there]
+        own, line = np.unique(line, return_inverse=True)
+        self.text, self.number, self.line, self.word = text[own], number[own], line, word
+
+    def digests(self) -> np.ndarray:
+        """Two 64-bit numbers for each distinct word."""
+        raw = b"".join(xxhash.xxh128_digest(w) for w in self.words)
+        return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+
+    def sets(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, word, size of each line): distinct words by line, in the order of ``rank``."""
+        order = np.argsort(rank, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.unique(self.line.astype(np.int64) << 32 | place[self.word])
+        line = pairs >> 32
+        return line, order[pairs & 0xFFFFFFFF], np.bincount(line, minlength=len(self.text))
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts, in the last column, are cut into steps of ``STEP_BYTES``."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.columns[-1]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + STEP_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
-    def __init__(self, value: Callable[[str], int]) -> None:
-        self.value = value
 
-    def __missing__(self, word: str) -> int:
-        found = self[word] = self.value(word)
-        return found
+def _rank(n):
+    """The order of a word that occurs ``n`` times."""
+    return np.minimum(np.log2(n + 1.0) * 1024, 2**16 - 1).astype(np.uint16)
 
 
 def rarity_table(texts: DataFrame) -> np.ndarray:
-    """How often the words of each counter occur in ``texts`` (text); each task sends one row a counter."""
+    """How many lines hold the words of each counter, of all ``texts`` (text); each task sends one row a counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, counts = np.zeros(COUNTERS, dtype=np.int64), Counter()
-
-        def add() -> None:
-            codes = np.fromiter(map(xxhash.xxh32_intdigest, counts), dtype=np.int64, count=len(counts))
-            np.add.at(total, codes & (COUNTERS - 1), np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
-            counts.clear()
-
-        for b in batches:
-            for t in b.column(0):
-                counts.update((t.as_py() or "").lower().split())
-                if len(counts) > KEPT_WORDS:
-                    add()
-        add()
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in _steps(batches):
+            lines = _Lines(b.column(0))
+            if len(lines.line):
+                n = np.bincount(lines.word, minlength=len(lines.words))
+                total += np.bincount((lines.digests()[:, 0] & np.uint64(COUNTERS - 1)).astype(np.int64), weights=n, minlength=COUNTERS).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
 
-    summed = texts.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    summed = texts.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, dtype=np.int64)
-    out[summed["counter"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy()
+    out[summed["counter"].to_numpy().astype(np.int64)] = summed["n"].to_numpy()
     return out
 
 
 def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """Each line with words. ``k1`` and ``k2`` name its set, ``bits`` is a bitmap of it. ``prefix`` has one word
-    code more than the prefix filter needs, in the order of rarity; the first ``alone`` of them occur
-    once in the corpus, the first ``few`` at most ``FEW`` times."""
+    """Each line with words. ``k1`` and ``k2`` name its set, ``bits`` is a bitmap of it. ``prefix`` holds word
+    codes in the order of rarity, one more than the prefix filter needs, but for the first ``skipped``, which
+    occur once in the corpus."""
     rank = _rank(rarity)  # 2 MB go to each task
-    once, seldom = int(_rank(1)), int(_rank(FEW))
+    once = int(_rank(1))
     smallest = _smallest(similarity)
     names = [f.split()[0] for f in _LINES.split(", ")]
 
-    def order(word: str) -> int:
-        code = xxhash.xxh32_intdigest(word)
-        return int(rank[code & (COUNTERS - 1)]) << 32 | code
-
-    def sent(rows: list[list], flat: list[int], cut: list[int]) -> pa.RecordBatch:
-        doc_ids, numbers, low, high, sizes = rows
-        size, cut_at, codes = np.array(sizes, dtype=np.int64), np.array(cut, dtype=np.int64), np.array(flat, dtype=np.int64)
-        starts = np.cumsum(size) - size
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (codes & 63).astype(np.uint64), starts) if len(size) else np.zeros(0, np.uint64)
-        offsets = np.concatenate([[0], np.cumsum(cut_at)])
-        prefix = codes[np.repeat(starts - offsets[:-1], cut_at) + np.arange(offsets[-1])]
-        ranks = prefix >> 32
-        below = [np.concatenate([[0], np.cumsum(ranks <= r)]) for r in (once, seldom)]
-        alone, few = (c[offsets[1:]] - c[offsets[:-1]] for c in below)
-        words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((prefix & 0xFFFFFFFF).astype(np.uint32).view(np.int32)))
-        keys = (pa.array(np.array(k, dtype=np.uint64).view(np.int64)) for k in (low, high))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), *keys, pa.array(size.astype(np.int32)),
-                pa.array(bits.view(np.int64)), pa.array(alone.astype(np.int32)), pa.array(few.astype(np.int32)), words,
-            ],
-            names=names,
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, digests = _Known(order), _Known(xxhash.xxh128_intdigest)
-        rows, flat, cut = [[] for _ in range(5)], [], []
-        for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                doc_id = doc_id.as_py()
-                for number, line in enumerate((text.as_py() or "").split("\n")):
-                    words = line_words(line)
-                    if not words:
-                        continue
-                    n = len(words)
-                    digest = sum(map(digests.__getitem__, words))
-                    flat += sorted(map(orders.__getitem__, words))
-                    cut.append(_prefix(n, similarity) + 1 if n >= smallest else 0)
-                    for column, value in zip(rows, (doc_id, number, digest & (2**64 - 1), digest >> 64 & (2**64 - 1), n)):
-                        column.append(value)
-                if len(orders) > KEPT_WORDS:
-                    orders.clear()
-                    digests.clear()
-                if len(flat) > SENT_WORDS:
-                    yield sent(rows, flat, cut)
-                    rows, flat, cut = [[] for _ in range(5)], [], []
-        yield sent(rows, flat, cut)
+        for b in _steps(batches):
+            lines = _Lines(b.column(1))
+            if not len(lines.line):
+                continue
+            digest = lines.digests()
+            rarest = rank[(digest[:, 0] & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+            # ties in rarity go by digest, alike everywhere
+            line, word, size = lines.sets(np.argsort(np.argsort(rarest << np.uint64(48) | digest[:, 0] >> np.uint64(16), kind="stable"), kind="stable"))
+            starts = np.cumsum(size) - size
+            place = np.arange(len(line)) - starts[line]
+            sent = np.where(size >= smallest, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 2, 0)
+            skipped = np.bincount(line[(place < sent[line] - 1) & (rarest[word] <= once)], minlength=len(size))
+            in_prefix = (place < sent[line]) & (place >= skipped[line])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[in_prefix], minlength=len(size)))])
+            codes = (digest[word[in_prefix], 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (digest[word, 1] & np.uint64(63)), starts)
+            keys = (np.add.reduceat(digest[word, k], starts).view(np.int64) for k in range(2))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), *map(pa.array, keys),
+                    pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(skipped.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes)),
+                ],
+                names=names,
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _LINES)
 
@@ -179,47 +188,51 @@ def _asked_slot(doc_id: Column, line: Column) -> Column:
     return F.pmod(F.pmod(F.coalesce(doc_id, F.lit(-1)), F.lit(ASKED_PRIME)) * 61 + line, F.lit(ASKED_BITS)).cast("long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Of candidate pairs (x, y) of class ids, (x, y) of those whose word sets reach the similarity, the later one first.
-
-    The words are read from the texts again and compared by 64-bit digests; a bitmap of fixed size lets tasks
-    pass over most lines that no pair asks for.
-    """
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    asked = save(classes.select("id", "k1", "first.doc_id", "first.line").join(ids, "id"), "line-asked")
+def _asked_table(asked: DataFrame) -> np.ndarray:
+    """A bit for each slot that a line of ``asked`` (doc_id, line) has: 513 rows of 4 kB at most come to the driver."""
     slot = _asked_slot(F.col("doc_id"), F.col("line"))
     parts = (
         asked.groupBy(F.bitmap_bucket_number(slot).alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-        .collect()  # 513 rows of 4 kB at most
+        .collect()
     )
     width = 4096
     table = np.zeros((ASKED_BITS // (8 * width) + 2) * width, dtype=np.uint8)
     for r in parts:
         table[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
-    # bucket p holds the places from 1 + (p - 1) * 8 * width on; place 0 is in bucket 0
-    table = table.tobytes()
+    return table  # bucket p holds the places from 1 + (p - 1) * 8 * width on; place 0 is in bucket 0
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Of candidate pairs (x, y) of class ids, (x, match) of those whose word sets reach the similarity: the
+    later one, and the first line of the earlier.
 
-    def is_asked(k: int) -> int:
-        at = 8 * width + k - 1 if k else 0
-        return table[at >> 3] >> (at & 7) & 1
+    The words are read from the texts again and compared by 64-bit digests; a bitmap of fixed size lets tasks
+    pass over most lines that no pair asks for.
+    """
+    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    asked = save(classes.select("id", "k1", "first.doc_id", "first.line").join(ids, "id"), "line-asked")
+    table = _asked_table(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, numbers, words, keys = [], [], [], []
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                doc_id = doc_id.as_py()
-                base = (-1 if doc_id is None else doc_id) % ASKED_PRIME * 61
-                for number, line in enumerate((text.as_py() or "").split("\n")):
-                    if is_asked((base + number) % ASKED_BITS):
-                        ids.append(doc_id)
-                        numbers.append(number)
-                        digests = list(map(xxhash.xxh128_intdigest, line_words(line)))
-                        words.append([(d >> 64) - (1 << 63) for d in digests])
-                        keys.append(sum(digests) & (2**64 - 1))
-            key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
+        for b in _steps(batches):
+            base = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) % ASKED_PRIME * 61
+
+            def is_asked(text: np.ndarray, number: np.ndarray) -> np.ndarray:
+                k = (base[text] + number) % ASKED_BITS
+                at = np.where(k > 0, 8 * 4096 + k - 1, 0)
+                return table[at >> 3] >> (at & 7).astype(np.uint8) & 1
+
+            lines = _Lines(b.column(1), is_asked)
+            if not len(lines.line):
+                continue
+            digest = lines.digests()
+            line, word, size = lines.sets(np.arange(len(lines.words)))
+            starts = np.cumsum(size) - size
+            found = pa.ListArray.from_arrays(pa.array(np.append(starts, len(word)).astype(np.int32)), pa.array(digest[word, 0].view(np.int64)))
+            key = np.add.reduceat(digest[word, 0], starts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), key, pa.array(words, pa.list_(pa.int64()))],
+                [b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), pa.array(key), found],
                 names=["d", "n", "key", "words"],
             )
 
@@ -228,7 +241,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     )
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("line")) & (F.col("key") == F.col("k1"))
     words = save(
-        lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words"),
+        lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words").dropDuplicates(["id"]),
         "line-words",
     )
     x = words.select(F.col("id").alias("x"), F.col("first").alias("xf"), F.col("words").alias("xw"))
@@ -263,35 +276,30 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
     rarity = rarity_table(docs.select(F.col("text").cast("string")))
     lines = save(_lines(docs, rarity, similarity), "lines")
     at = F.struct("doc_id", "line")
-    carried = F.struct("doc_id", "line", "size", "bits", "alone", "few", "prefix")
     classes = save(
         lines.groupBy("k1", "k2")
-        .agg(F.min(carried).alias("c"))
+        .agg(F.min(F.struct("doc_id", "line", "size", "bits", "skipped", "prefix")).alias("c"), F.count(F.lit(1)).alias("n_lines"))
         .select(
-            F.monotonically_increasing_id().alias("id"), "k1", "k2", F.struct("c.doc_id", "c.line").alias("first"),
-            "c.size", "c.bits", "c.alone", "c.few", "c.prefix",
+            F.monotonically_increasing_id().alias("id"), "k1", "k2", "n_lines", F.struct("c.doc_id", "c.line").alias("first"),
+            "c.size", "c.bits", "c.skipped", "c.prefix",
         ),
         "line-classes",
     )
     indexed = classes.where(F.size("prefix") > 0)
+    # the last word sent belongs to the longer prefix only
     own = F.size("prefix") - 1
-    skipped = F.least("alone", own)
-    posted = indexed.select(
-        "id", "first", "size", "bits", "few", skipped.alias("skipped"),
-        F.posexplode(F.slice("prefix", skipped + 1, own - skipped)).alias("place", "word"),
-    ).withColumn("at", F.col("place") + F.col("skipped"))
-
-    few = posted.where(F.col("at") < F.col("few")).select("word", "id", "size", "at", "bits")
-    all_few = _meet(few, few, ["word"], (F.col("x.id") > F.col("y.id")) & _near(similarity))
-
-    common = posted.where(F.col("at") >= F.col("few")).select("word", "id", "first", "size", "at", "bits")
-    words = common.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "size", "at", "bits")).alias("y"))
-    words = save(words.where("n > 1"), "line-heads")
-    heads = common.join(words, "word").select(F.struct("id", "first", "size", "at", "bits").alias("x"), "y")
-    to_heads = heads.where((F.col("x.id") != F.col("y.id")) & _near(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-    settled = _settle(all_few.unionByName(to_heads), classes, docs, similarity, "line-settled")
-
-    met = common.join(words.select("word", "n"), "word")
+    posted = indexed.where(own > 0).select(
+        "id", "first", "size", "bits", "skipped", F.posexplode(F.slice("prefix", F.lit(1), own)).alias("place", "word")
+    ).select("word", "id", "first", "size", (F.col("place") + F.col("skipped")).alias("at"), "bits")
+
+    words = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "size", "at", "bits")).alias("y"))
+    heads = save(words.where("n > 1"), "line-heads")
+    met = save(posted.join(heads, "word"), "line-postings")
+    headed = met.select(F.struct("id", "first", "size", "at", "bits").alias("x"), "y")
+    to_heads = headed.where((F.col("x.id") != F.col("y.id")) & _near(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    settled = _settle(to_heads, classes, docs, similarity, "line-settled")
+
+    met = met.drop("y")
     done = settled.select(F.col("x").alias("id"))
     open_ = met.join(done, "id", "left_anti")
     earlier = (F.col("y.first") < F.col("x.first")) & _near(similarity)
@@ -299,43 +307,55 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
     hot_classes = met.where(F.col("n") > hot_word).groupBy("id").agg(F.collect_set("word").alias("hot"))
     two = indexed.join(hot_classes, "id").select("id", "first", "size", "bits", F.explode("hot").alias("word"), "prefix")
     two = two.select("id", "first", "size", "bits", "word", F.explode("prefix").alias("other")).where("word <> other")
-    shared = two.groupBy("word", "other").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    two = save(two.join(shared, ["word", "other"]), "line-twos")
+    shared = two.groupBy("word", "other").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    two = save(two.join(shared, ["word", "other"]).withColumn("blocks", F.ceil(F.col("m") / hot_word).cast("int")), "line-twos")
+    asking = two.join(done, "id", "left_anti").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asked = two.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     warm = _meet(
-        two.join(done, "id", "left_anti"), two, ["word", "other"],
+        asking, asked, ["word", "other", "block"],
         (F.col("y.first") < F.col("x.first")) & _near(similarity, positions=False),
     )
     late = _settle(cold.unionByName(warm), classes, docs, similarity, "line-late")
 
     matched = settled.unionByName(late).groupBy("x").agg(F.min("match").alias("match")).withColumnRenamed("x", "id")
-    by_class = classes.select("id", "k1", "k2", "first").join(matched, "id", "left").select("k1", "k2", "first", "match")
+    by_class = classes.where("n_lines > 1").select("id", "k1", "k2", "first").join(matched, "id", "left")
+    # lines alone in their class are answered by their place, which a row of the class tells
+    single = classes.where("n_lines = 1").select("id", "first").join(matched, "id", "left").select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("match").isNotNull().alias("removed"), "match"
+    )
+    by_class = by_class.select("k1", "k2", "first", "match")
     copy = at != F.col("first")
-    return lines.select("doc_id", "line", "k1", "k2").join(by_class, ["k1", "k2"]).select(
+    several = lines.select("doc_id", "line", "k1", "k2").join(by_class, ["k1", "k2"]).select(
         "doc_id", "line",
         (copy | F.col("match").isNotNull()).alias("removed"),
         F.when(copy, F.col("first")).otherwise(F.col("match")).alias("match"),
     )
+    return single.unionByName(several)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int = HOT_WORD) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, n_removed, removed_lines, match_doc_ids.
 
-    * Lines are split at line feeds and numbered from 0; words are lower-cased and
-      split at white space. Lines without words are kept and never match.
+    * Lines are split at line feeds and numbered from 0; A-Z are lower-cased and words
+      split at ASCII white space. Lines without words are kept and never match.
     * ``removed_lines`` are the line numbers to go, ascending; ``match_doc_ids``
       the documents of the earlier lines they match, in the same order.
     * Null and empty texts have no lines to remove. Rows that repeat an id are one
-      document; its equal lines have one place each. Null ids come before all.
+      document; its equal lines have one place each. Null ids come before all; their
+      lines are counted, but, as any number of rows may have none, not listed.
     * Extra columns are not read. No rows give no rows.
     """
     matches = line_matches(docs, similarity, hot_word)
-    gone = F.array_sort(F.collect_list(F.when(F.col("removed"), F.struct("line", F.col("match.doc_id").alias("by")))))
-    per_doc = matches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), gone.alias("gone"))
+    listed = F.col("removed") & F.col("doc_id").isNotNull()
+    gone = F.array_sort(F.collect_list(F.when(listed, F.struct("line", F.col("match.doc_id").alias("by")))))
+    per_doc = matches.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), gone.alias("gone")
+    )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return join_decisions(ids, per_doc, "left").select(
         "doc_id",
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce(F.transform("gone", lambda g: g["line"]), F.array().cast("array<int>")).alias("removed_lines"),
         F.coalesce(F.transform("gone", lambda g: g["by"]), F.array().cast("array<long>")).alias("match_doc_ids"),
     )

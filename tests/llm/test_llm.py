@@ -398,7 +398,7 @@ def removed_by_hand(rows):
     seen, out = [], defaultdict(list)
     for i, t in sorted((i, t or "") for i, t in rows):
         for k, line in enumerate(t.split("\n")):
-            w = set(line.lower().split())
+            w = set(re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), line))) - {""}
             if w:
                 if any(len(w & o) / len(w | o) >= 0.8 for o in seen):
                     out[i].append(k)
@@ -432,6 +432,7 @@ def test_four_word_lines_meet_five_word_lines(spark):
 def test_line_dedup_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(odd).collect()}
     assert len(rows) == 7 and rows[1]["n_lines"] == 0 and rows[7]["n_removed"] == 0
+    assert rows[4]["n_removed"] == 2 and rows[4]["removed_lines"] == [0, 0] and rows[None]["removed_lines"] == []
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
