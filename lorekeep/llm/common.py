@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.lineage import save, scratch_dir
 
 __all__ = [
-    "SPACE", "crc_mod", "join_decisions", "join_row_decisions", "keep_rows", "save", "scratch_dir", "table", "text_key", "text_or_empty",
+    "SPACE", "MayHold", "crc_mod", "join_decisions", "join_row_decisions", "keep_rows", "save", "scratch_dir", "table", "text_key", "text_or_empty",
 ]
 
 #: Runs of these characters separate words in every contract of this package.
@@ -56,6 +57,33 @@ def join_row_decisions(docs: DataFrame, decisions: DataFrame, text_col: str = "t
     return docs.join(d, same).select(*(docs[c] for c in docs.columns), name), name
 
 
+class MayHold:
+    """A table of bits that tells which ids may be among those of ``ids``: all of them, and few others.
+
+    It has one size whatever the corpus, 2 MB, so at most 513 rows of 4 kB come to the driver
+    and go to the tasks. Where ids are many it lets more others through; nothing else changes.
+    """
+
+    BITS, PRIME, WIDTH = 1 << 24, 16777213, 4096
+
+    def __init__(self, ids: DataFrame, col: str) -> None:
+        slot = F.pmod(F.coalesce(F.col(col), F.lit(-1)), F.lit(self.PRIME))
+        parts = (
+            ids.groupBy(F.bitmap_bucket_number(slot).alias("part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+            .collect()
+        )
+        self.table = np.zeros((self.BITS // (8 * self.WIDTH) + 2) * self.WIDTH, dtype=np.uint8)
+        for r in parts:
+            self.table[r["part"] * self.WIDTH : (r["part"] + 1) * self.WIDTH] = np.frombuffer(r["bits"], dtype=np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may be among them."""
+        k = ids.astype(np.int64) % self.PRIME
+        at = np.where(k > 0, 8 * self.WIDTH + k - 1, 0)  # bucket p holds the slots from 1 + (p - 1) * 8 * WIDTH on
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, longer by as many underscores as it takes to clash with no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}

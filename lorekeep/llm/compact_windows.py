@@ -2,12 +2,19 @@
 
 A text is a sequence of word shingles. Under one hash function, the subsequences
 of a text whose least hash is at one place c are those that start in [l, c] and
-end in [c, r]: one compact window. The Cartesian tree of the hashes, in which each
-node is the least of its range, lists all windows; ranges shorter than a passage
-are cut off, so a text has about twice as many as passages fit in. Only the least
-hashes matter here: they are the least of each run of a passage's length. Texts that
-have such a hash in common, under enough hash functions, are all paired, whatever
-their number, and the shingles of both are aligned: a passage may be any range.
+end in [c, r]: one compact window, a node of the Cartesian tree of the hashes.
+Passages that two texts share have their least hash at one place of both, under most
+functions, and so share the words to the left or to the right of it: a gram there,
+not the least hash alone, is the signature under which windows meet, as thousands of
+texts have a line in common and no passage.
+
+* Equal passages: near signatures that repeat, each run of a passage's length whose
+  own least hashes, under every function, are at repeated signatures is named by a
+  digest. Texts with a run in common link to the first of them; no pairs are made.
+* Similar passages: a signature inside a run that repeats stands for the first text of
+  that run. The texts that remain different under a signature meet its first one, and
+  those that have no similar passage with it meet all others. Each pair is verified
+  on the shingles of both whole texts.
 """
 
 from __future__ import annotations
@@ -21,23 +28,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import save
+from lorekeep.llm.common import MayHold, save
 from lorekeep.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Shingles of the shortest passage: 50 words.
 SHORTEST = 46
-#: Hash functions (8 at most), and how many of them must agree on two texts.
-HASHES = 6
-ENOUGH = 2
-#: Texts under one signature up to which all pairs are joined under one key; more are joined by pairs of blocks.
-SMALL_GROUP = 12
+#: Hash functions.
+HASHES = 3
+#: Shingles of a signature: 15 words, on one side of a least hash.
+GRAM = 11
+#: Texts under one signature that meet in one block of pairs.
+BLOCK = 128
 #: Matching shingles of two texts that are sorted at once, and how far their shifts lie apart in one alignment
 #: if they are not in one order.
 MATCHES = 1 << 21
 BAND = 64
 
+WORD = r"[^\x20\x09-\x0D]+"
 _RNG = np.random.default_rng(3)
 _MULTIPLY = _RNG.integers(1, 1 << 62, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, size=HASHES, dtype=np.uint64)
@@ -45,8 +54,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """One 64-bit number for each five consecutive words, in order."""
-    words = (text or "").lower().split()
+    """One 64-bit number for each five consecutive words, in order; words lie between ASCII white space, A-Z lower-cased."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
     if len(words) < WORDS:
         return np.zeros(0, dtype=np.uint64)
     one = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
@@ -57,41 +66,88 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def compact_windows(hashes: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
-    """(l, c, r) of each node of the Cartesian tree whose range holds a passage; ties go to the first place."""
-    found, open_ = [], [(0, len(hashes))]
-    while open_:
-        left, right = open_.pop()
-        if right - left < shortest:
-            continue
-        c = left + int(hashes[left:right].argmin())
-        found.append((left, c, right - 1))
-        open_ += [(left, c), (c + 1, right)]
+    """(l, c, r) of each node of the Cartesian tree whose range holds a passage; ties go to the first place.
+
+    The places not yet closed are kept on a stack, their hashes rising: a lesser hash to the right closes them.
+    """
+    found, open_ = [], []
+    for i, h in enumerate([*hashes.tolist(), -1]):
+        while open_ and hashes[open_[-1][1]] > h:
+            left, c = open_.pop()
+            if i - left >= shortest:
+                found.append((left, c, i - 1))
+        open_.append((open_[-1][1] + 1 if open_ else 0, i))
     return found
 
 
-def least_hashes(hashes: np.ndarray, shortest: int = SHORTEST) -> np.ndarray:
-    """The distinct least hashes of the compact windows: those of all runs of ``shortest``."""
-    m, width = hashes, 1
+def _mixed(s: np.ndarray, f: int) -> np.ndarray:
+    h = s * _MULTIPLY[f] + _ADD[f]
+    return h ^ (h >> np.uint64(31))
+
+
+def least_places(hashes: np.ndarray, shortest: int = SHORTEST) -> np.ndarray:
+    """The place of the least hash, the first of equal ones, of each run of ``shortest``: all c of compact windows."""
+    at, width = np.arange(len(hashes)), 1
     while width < shortest:
         step = min(width, shortest - width)
-        m, width = np.minimum(m[:-step], m[step:]), width + step
-    return np.unique(m)
+        a, b = at[:-step], at[step:]
+        at, width = np.where(hashes[a] <= hashes[b], a, b), width + step
+    return at
+
+
+def grams(s: np.ndarray) -> np.ndarray:
+    """A digest of each ``GRAM`` consecutive shingles: of the first, middle and last, which hold all their words."""
+    n, half = len(s), GRAM // 2
+    d = (s[: n - GRAM + 1] * _BASE + s[half : n - half]) * _BASE + s[GRAM - 1 :]
+    return d ^ (d >> np.uint64(31))
+
+
+def _sides(c: np.ndarray, n: int) -> np.ndarray:
+    """The grams, by their first shingle, that begin or end at the places ``c`` of a text of ``n`` shingles."""
+    return np.unique(np.concatenate([c[c <= n - GRAM], c[c >= GRAM - 1] - (GRAM - 1)]))
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """The distinct grams beside the least hashes of a text's compact windows."""
+    places = np.concatenate([np.unique(least_places(_mixed(s, f))) for f in range(HASHES)])
+    return np.unique(grams(s)[_sides(np.unique(places), len(s))])
+
+
+def sites(s: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the repeated signatures, starts of runs, digests of runs): runs of ``SHORTEST`` shingles that may repeat.
+
+    A run that two texts share has the same least hashes in both, each with a gram inside the run.
+    """
+    g = grams(s)
+    there = np.isin(g, repeated)
+    start = np.arange(len(s) - SHORTEST + 1)
+    may = np.ones(len(start), dtype=bool)
+    for f in range(HASHES):
+        c = least_places(_mixed(s, f))
+        may &= there[np.where(c + GRAM <= start + SHORTEST, c, c - (GRAM - 1))]
+    start = start[may]
+    digest = np.zeros(len(start), dtype=np.uint64)
+    for k in [*range(0, SHORTEST - GRAM, GRAM), SHORTEST - GRAM]:
+        digest = digest * _BASE + g[start + k]
+    return np.flatnonzero(there), start, digest ^ (digest >> np.uint64(29))
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """(sig, id): the least hashes of each text's compact windows; the last three bits name the hash function."""
+    """(sig, id): the signatures of each text of ``texts`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, ids, counts = [np.zeros(0, dtype=np.uint64)], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingles(text.as_py())
-                if len(s) < SHORTEST:
-                    continue
-                for f in range(HASHES):
-                    h = s * _MULTIPLY[f] + _ADD[f]
-                    h ^= h >> np.uint64(31)
-                    sigs.append(np.unique(least_hashes(h) * _BASE & ~np.uint64(7)) | np.uint64(f))
+                if len(s) >= SHORTEST:
+                    sigs.append(signatures(s))
                     ids.append(doc_id)
                     counts.append(len(sigs[-1]))
             columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(ids, dtype=np.int64), np.array(counts, dtype=np.int64))]
@@ -100,26 +156,97 @@ def _signatures(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "sig long, id long")
 
 
-def _candidates(signatures: DataFrame, small_group: int) -> DataFrame:
-    """(x, y): all pairs of texts on which enough hash functions agree.
+def _held(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text) whose id is in ``ids`` (id), and few others."""
+    may = MayHold(ids, "id")
 
-    The texts of a large group are dealt into blocks and each two blocks meet
-    under a key of their own, so that no task holds a whole group's pairs.
-    """
-    signatures = save(signatures, "windows")
-    repeated = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.sqrt(F.col("n") / small_group)).cast("int")
-    met = save(
-        signatures.join(repeated, "sig").withColumn("blocks", blocks)
-        .select("sig", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")),
-        "window-groups",
-    )
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = met.select("sig", F.col("id").alias("x"), F.col("own").alias("i"), every.alias("j"))
-    y = met.select("sig", F.col("id").alias("y"), every.alias("i"), F.col("own").alias("j"))
-    pairs = x.join(y, ["sig", "i", "j"]).where("x > y")
-    agree = F.bit_or(F.expr("shiftleft(1, cast(sig & 7 as int))"))
-    return pairs.groupBy("x", "y").agg(agree.alias("agree")).where(F.bit_count("agree") >= ENOUGH).select("x", "y")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may.of(b.column(0).to_numpy())))
+
+    return texts.mapInArrow(run, "id long, text string")
+
+
+def _sites(texts: DataFrame) -> DataFrame:
+    """(id, sigs, places, runs, starts) of each text that has a repeated signature."""
+    windows = save(_signatures(texts), "windows")
+    repeated = windows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    marked = save(windows.join(repeated, "sig").groupBy("id").agg(F.collect_list("sig").alias("sigs")), "window-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs, places, runs, starts = [], [], [], []
+            for text, known in zip(b.column(1), b.column(2)):
+                s = shingles(text.as_py())
+                place, start, digest = sites(s, known.values.to_numpy().view(np.uint64))
+                sigs.append(grams(s)[place].view(np.int64))
+                places.append(place)
+                starts.append(start)
+                runs.append(digest.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), _lists(sigs, pa.int64()), _lists(places, pa.int32()), _lists(runs, pa.int64()), _lists(starts, pa.int32())],
+                names=["id", "sigs", "places", "runs", "starts"],
+            )
+
+    kept = _held(texts, marked.select("id")).join(marked, "id").select("id", "text", "sigs")
+    return save(kept.mapInArrow(run, "id long, sigs array<long>, places array<int>, runs array<long>, starts array<int>"), "passage-sites")
+
+
+def _equal_runs(found: DataFrame) -> DataFrame:
+    """(id, starts, heads, texts): each text's runs that others have too, the least id that has them, and how many texts do."""
+    runs = found.select("id", F.posexplode("runs").alias("k", "run"), "starts").select("id", "run", F.element_at("starts", F.col("k") + 1).alias("start"))
+    texts = runs.select("run", "id").distinct()
+    repeated = texts.groupBy("run").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = runs.join(repeated, "run").groupBy("id").agg(F.collect_list(F.struct("start", "head", "n")).alias("shared"))
+    return save(shared.select("id", "shared.start", "shared.head", "shared.n"), "passage-runs")
+
+
+EXACT = "id long, spans array<struct<start:bigint,end:bigint>>, heads array<long>, n_texts long"
+
+
+def _exact_spans(equal: DataFrame) -> DataFrame:
+    """(id, spans, heads, n_texts): the words of a text's repeated runs, the first texts of them, and the most texts that hold one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans, heads, most = [], [], []
+            for i, start, head, n in zip(b.column(0).to_pylist(), *(b.column(k) for k in range(1, 4))):
+                at = np.unique(start.values.to_numpy())
+                cut = np.flatnonzero(np.diff(at) > SHORTEST + WORDS - 1)
+                first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + SHORTEST + WORDS - 1
+                spans.append([{"start": x, "end": y} for x, y in zip(first.tolist(), last.tolist())])
+                heads.append([h for h in np.unique(head.values.to_numpy()).tolist() if h != i])
+                most.append(int(n.values.to_numpy().max()))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(spans, kind), pa.array(heads, pa.list_(pa.int64())), pa.array(most, pa.int64())],
+                names=["id", "spans", "heads", "n_texts"],
+            )
+
+    return save(equal.mapInArrow(run, EXACT), "passage-exact")
+
+
+def _members(found: DataFrame, equal: DataFrame) -> DataFrame:
+    """(sig, rep): the texts under each signature, a text standing for those that have its run around the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs, reps = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for i, sig, place, start, head in zip(b.column(0).to_pylist(), *(b.column(k) for k in range(1, 5))):
+                place, rep = place.values.to_numpy(), np.full(len(sig.values), i, dtype=np.int64)
+                if start.values is not None and len(start.values):
+                    order = np.argsort(start.values.to_numpy(), kind="stable")
+                    start, head = start.values.to_numpy()[order], head.values.to_numpy()[order]
+                    at = np.minimum(np.searchsorted(start, place - (SHORTEST - GRAM)), len(start) - 1)
+                    inside = (start[at] <= place) & (start[at] >= place - (SHORTEST - GRAM))
+                    rep[inside] = head[at[inside]]
+                both = np.unique(np.column_stack([sig.values.to_numpy(), rep]), axis=0)
+                sigs.append(both[:, 0])
+                reps.append(both[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "rep"])
+
+    joined = found.join(equal, "id", "left").select("id", "sigs", "places", "start", "head")
+    return save(joined.mapInArrow(run, "sig long, rep long").distinct(), "passage-members")
 
 
 def _chain(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,70 +371,63 @@ def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
     return sorted(set(out))
 
 
-def shared_passages(docs: DataFrame, text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
-    """(x, y, x_start, x_end, y_start, y_end) in words: verified passages that two different texts share.
+PASSAGES = "x long, y long, x_start long, x_end long, y_start long, y_end long"
 
-    x and y are the smallest ids of texts that differ; equal texts are joined
-    once. Every pair on which enough hash functions agree is verified.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    pairs = save(_candidates(_signatures(texts), small_group), "window-pairs")
-    used = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
-    cut_texts = save(texts.join(used, "id", "left_semi").mapInArrow(cut, "id long, s binary"), "window-shingles")
-    both = pairs.join(cut_texts.select(F.col("id").alias("x"), F.col("s").alias("xs")), "x").join(
-        cut_texts.select(F.col("id").alias("y"), F.col("s").alias("ys")), "y"
+def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """The similar passages, in words, of pairs (x, y) of texts."""
+    pairs = save(pairs, f"{label}-pairs")
+    used = save(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), f"{label}-ids")
+    held = save(_held(texts, used).join(used, "id", "left_semi").dropDuplicates(["id"]), f"{label}-texts")
+    both = pairs.join(held.select(F.col("id").alias("x"), F.col("text").alias("xt")), "x").join(
+        held.select(F.col("id").alias("y"), F.col("text").alias("yt")), "y"
     )
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["x", "y", "x_start", "x_end", "y_start", "y_end"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last, cut = PASSAGES.replace(" long", "").split(", "), None, None
         for b in batches:
             rows: list[tuple] = []
-            for x, y, xs, ys in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3)):
-                p, q = (np.frombuffer(s.as_py(), dtype=np.uint64) for s in (xs, ys))
-                for x_start, x_end, y_start, y_end in similar_ranges(p, q):
+            for x, y, xt, yt in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3)):
+                if y != last:
+                    last, cut = y, shingles(yt.as_py())
+                for x_start, x_end, y_start, y_end in similar_ranges(shingles(xt.as_py()), cut):
                     rows.append((x, y, x_start, x_end + WORDS - 1, y_start, y_end + WORDS - 1))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return both.select("x", "y", "xs", "ys").mapInArrow(
-        verify, "x long, y long, x_start long, x_end long, y_start long, y_end long"
-    )
+    return save(both.select("x", "y", "xt", "yt").mapInArrow(run, PASSAGES), label)
 
 
-def substring_duplicates(docs: DataFrame, text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
-    """One row per doc_id: doc_id, class_id, n_links, n_words_shared, spans.
+def similar_passages(members: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``PASSAGES`` of different texts that ``members`` (sig, rep) brings together.
 
-    * Texts of one class share passages of at least 50 words, directly or over
-      others; ``class_id`` is the smallest id, the own one if nothing is shared.
-      ``n_links`` counts the links to different texts that were verified.
-    * ``spans`` are the merged word ranges [start, end) found in other documents
-      too, counted by white space, ascending.
-    * Equal texts are one class; all of the words of one of 50 or more are shared.
-    * Null, empty and shorter texts share nothing unless equal to others. Rows of a
-      null id are left out; rows that repeat an id count as one, the first by text.
-    * Extra columns are not read. No rows give no rows.
+    Under each signature all meet the first, those without a passage in common with it
+    meet all others. These are dealt into blocks, and all come to each block, so that no
+    task holds a large signature's pairs.
     """
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    keyed = save(
-        one.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).alias("n"))
-        .groupBy("doc_id").agg(F.min("key").alias("key"), F.max("n").alias("n")),
-        "passage-texts",
-    )
-    groups = save(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "passage-groups")
-    firsts = groups.select(F.col("first").alias("doc_id"))
-    different = one.join(firsts, "doc_id", "left_semi")
-    passages = save(shared_passages(different, "text", small_group), "passages")
-    ends = passages.select(F.col("x").alias("first"), F.struct(F.col("x_start").alias("start"), F.col("x_end").alias("end")).alias("s"), F.col("y").alias("to")).unionByName(
-        passages.select(F.col("y").alias("first"), F.struct(F.col("y_start").alias("start"), F.col("y_end").alias("end")).alias("s"), F.col("x").alias("to"))
+    groups = members.groupBy("sig").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = save(members.join(groups, "sig"), "passage-groups").where("rep <> head")
+    first = _verified(met.select(F.col("rep").alias("x"), F.col("head").alias("y")).distinct(), texts, "passages-first")
+    linked = first.select("x", "y").distinct().withColumn("settled", F.lit(True))
+    asked = save(
+        met.join(linked, (F.col("rep") == F.col("x")) & (F.col("head") == F.col("y")), "left")
+        .select("sig", "rep", F.coalesce("settled", F.lit(False)).alias("settled"), F.ceil(F.col("n") / block).cast("int").alias("blocks")),
+        "passage-asked",
     )
-    merged = F.aggregate(
-        F.array_sort(F.collect_set("s")),
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    x = asked.where("not settled").select("sig", F.col("rep").alias("x"), own.alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    y = asked.select("sig", F.col("rep").alias("y"), "settled", every.alias("block"))
+    more = x.join(y, ["sig", "block"]).where((F.col("x") > F.col("y")) | (F.col("settled") & (F.col("x") != F.col("y"))))
+    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    rest = _verified(more.join(linked, ["x", "y"], "left_anti"), texts, "passages-rest")
+    return first.unionByName(rest)
+
+
+def _merged(spans):
+    """Overlapping [start, end) of an array made one."""
+    return F.aggregate(
+        F.array_sort(spans),
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
@@ -317,17 +437,53 @@ def substring_duplicates(docs: DataFrame, text_col: str = "text", small_group: i
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    # spans of a text are first merged within slices of its links, so that no text gathers more than its slices
-    sliced = ends.groupBy("first", F.pmod(F.xxhash64("to"), F.lit(64)).alias("slice")).agg(merged.alias("spans"), F.countDistinct("to").alias("links"))
-    spans = (
-        sliced.select("first", "links", F.explode("spans").alias("s"))
-        .groupBy("first").agg(merged.alias("spans"))
-        .join(sliced.groupBy("first").agg(F.sum("links").alias("n_links")), "first")
+
+
+def substring_duplicates(docs: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per doc_id: doc_id, class_id, n_links, n_texts, n_words_shared, spans.
+
+    * Texts of one class share passages of at least 50 words, directly or over
+      others; ``class_id`` is the smallest id, the own one if nothing is shared.
+    * ``n_links`` counts the links that hold the class together: to the first text of
+      each run of 50 words that others have too, and to texts with a similar passage.
+      ``n_texts`` is the most different texts, itself included, that hold one of its runs.
+    * ``spans`` are the merged word ranges [start, end) found in other documents
+      too, ascending. Words lie between ASCII white space.
+    * Equal texts are one class; all of the words of one of 50 or more are shared.
+    * Null, empty and shorter texts share nothing unless equal to others. Rows of a
+      null id are left out; rows that repeat an id count as one, with the text of the
+      least SHA-256.
+    * Extra columns are not read. No rows give no rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+    own = one.select("doc_id", F.struct(F.unhex(F.sha2("text", 256)).alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n")).alias("t"))
+    keyed = save(own.groupBy("doc_id").agg(F.min("t").alias("t")).select("doc_id", "t.key", "t.n"), "passage-texts")
+    groups = save(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "passage-keys")
+    firsts = groups.select(F.col("first").alias("doc_id"), F.col("key").alias("own"))
+    texts = one.join(firsts, "doc_id").where(F.unhex(F.sha2("text", 256)) == F.col("own")).select(F.col("doc_id").alias("id"), "text")
+
+    found = _sites(texts)
+    equal = _equal_runs(found)
+    exact = _exact_spans(equal)
+    passages = save(similar_passages(_members(found, equal.select("id", "start", "head")), texts, block), "passages")
+
+    links = exact.select("id", F.explode("heads").alias("to")).unionByName(passages.select(F.col("x").alias("id"), F.col("y").alias("to"))).distinct()
+    links = save(links, "passage-links")
+    roots = components(links.select(F.col("id").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("first"), "root")
+    # a text's links are counted, and its spans merged, within slices first
+    ends = passages.select(F.col("x").alias("first"), F.struct(F.col("x_start").alias("start"), F.col("x_end").alias("end")).alias("s"), F.col("y").alias("to")).unionByName(
+        passages.select(F.col("y").alias("first"), F.struct(F.col("y_start").alias("start"), F.col("y_end").alias("end")).alias("s"), F.col("x").alias("to"))
     )
-    roots = components(passages.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("first"), "root")
-    known = groups.join(spans, "first", "left").join(roots, "first", "left")
+    sliced = ends.groupBy("first", F.pmod(F.xxhash64("to"), F.lit(64)).alias("slice")).agg(_merged(F.collect_set("s")).alias("spans"))
+    every = sliced.select("first", F.explode("spans").alias("s")).unionByName(exact.select(F.col("id").alias("first"), F.explode("spans").alias("s")))
+    spans = every.groupBy("first").agg(_merged(F.collect_set("s")).alias("spans"))
+    both = links.select(F.col("id").alias("first"), "to").unionByName(links.select(F.col("to").alias("first"), F.col("id").alias("to")))
+    counted = both.distinct().groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
+    known = groups.join(spans, "first", "left").join(counted, "first", "left").join(roots, "first", "left")
+    known = known.join(exact.select(F.col("id").alias("first"), "n_texts"), "first", "left")
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     out = keyed.join(known, "key").withColumn(
         "spans", F.when((F.col("copies") > 1) & (F.col("n") >= SHORTEST + WORDS - 1), whole).otherwise(F.coalesce("spans", empty))
     )
@@ -335,6 +491,7 @@ def substring_duplicates(docs: DataFrame, text_col: str = "text", small_group: i
         "doc_id",
         F.coalesce("root", "first").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_texts", F.lit(1)).alias("n_texts"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]).alias("n_words_shared"),
         "spans",
     )

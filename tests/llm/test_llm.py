@@ -457,7 +457,7 @@ def test_shared_passages(spark, words, small):
     near = other.split()
     near[35] = "changed"
     rows += [(200, f"{text_of(words, 9, 400)} {other}"), (201, " ".join(near)), (300, passage), (301, passage), (302, "short"), (303, "short")]
-    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows), small_group=small).collect()}
+    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows), block=small).collect()}
     assert all(out[i]["class_id"] == i and not out[i]["spans"] for i in range(20))
     assert {out[i]["class_id"] for i in [*range(100, 106), 300, 301]} == {100}
     for i in range(6):
@@ -466,11 +466,11 @@ def test_shared_passages(spark, words, small):
     assert out[303]["class_id"] == 302 and not out[303]["spans"]
 
 
-def test_least_hashes_are_those_of_compact_windows():
+def test_least_places_are_those_of_compact_windows():
     h = np.random.default_rng(2).integers(0, 500, 300).astype(np.uint64)
     for shortest in (1, 5, 46):
-        want = sorted({int(h[c]) for _, c, _ in compact_windows.compact_windows(h, shortest)})
-        assert compact_windows.least_hashes(h, shortest).tolist() == want
+        want = sorted({c for _, c, _ in compact_windows.compact_windows(h, shortest)})
+        assert np.unique(compact_windows.least_places(h, shortest)).tolist() == want
 
 
 def test_large_group_meets_whole(spark, words):
@@ -481,7 +481,68 @@ def test_large_group_meets_whole(spark, words):
         rows.append((100000 + i * 1000, f"{text_of(words, 11 * i + 5, 600 + i)} {' '.join(base)} {text_of(words, 5 + 7 * i, 700 + i)}"))
     out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
     assert all(out[i * 1000]["class_id"] == i * 1000 for i in range(20))
-    assert {(out[100000 + i * 1000]["class_id"], out[100000 + i * 1000]["n_links"]) for i in range(20)} == {(100000, 19)}
+    assert {(out[100000 + i * 1000]["class_id"], out[100000 + i * 1000]["n_texts"]) for i in range(20)} == {(100000, 20)}
+    assert [out[100000 + i * 1000]["n_links"] for i in range(20)] == [19] + [1] * 19
+
+
+def passages_by_hand(rows):
+    """Classes and exactly shared words of texts by comparing all pairs."""
+    texts = {i: t.split() for i, t in rows}
+    shared, root = {i: set() for i in texts}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(texts), 2):
+        runs = defaultdict(list)
+        for k in range(len(texts[j]) - 49):
+            runs[" ".join(texts[j][k : k + 50])].append(k)
+        for k in range(len(texts[i]) - 49):
+            for m in runs.get(" ".join(texts[i][k : k + 50]), []):
+                shared[i].update(range(k, k + 50))
+                shared[j].update(range(m, m + 50))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in texts}, shared
+
+
+def test_equal_passages_against_all_pairs(spark, words):
+    """Groups of several sizes whose passages overlap in part, begin and end anywhere, and stand beside common lines."""
+    rng = random.Random(11)
+    pool = [text_of(words, 140, 900 + k).split() for k in range(5)]
+    line = text_of(words, 22, 990)
+    rows = []
+    for i in range(150):
+        start = rng.randrange(90)
+        part = pool[min(rng.randrange(9), 4)][start : start + rng.choice([30, 49, 50, 51, 80])]
+        rows.append((i, " ".join([text_of(words, rng.randrange(40), i), line, *part, text_of(words, rng.randrange(60), 5000 + i), rng.choice(["", line])])))
+    rows = [(i, " ".join(t.split())) for i, t in rows]
+    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
+    classes, shared = passages_by_hand(rows)
+    for i, _ in rows:
+        assert shared[i] <= {k for s in out[i]["spans"] for k in range(s["start"], s["end"])}
+    assert all(out[i]["class_id"] == out[j]["class_id"] for i, j in classes.items())
+
+
+def test_recall_of_similar_passages(spark, words):
+    """Pairs of 60-word passages with one word changed in the middle, in different texts: similarity 51 / 61."""
+    rows = []
+    for k in range(150):
+        w = text_of(words, 60, 7000 + k).split()
+        rows.append((2 * k, f"{text_of(words, 40, 8000 + k)} {' '.join(w)} {text_of(words, 30, 8500 + k)}"))
+        w[30] = "changed"
+        rows.append((2 * k + 1, f"{text_of(words, 25, 9000 + k)} {' '.join(w)} {text_of(words, 45, 9500 + k)}"))
+    out = {r["doc_id"]: r["class_id"] for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
+    assert np.mean([out[2 * k] == out[2 * k + 1] for k in range(150)]) > 0.95
+
+
+def test_texts_of_one_id_and_other_white_space(spark, words):
+    a, b, c = (text_of(words, 60, 60 + k) for k in range(3))
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, "\n" + c), (9, c.replace(" ", "\u00a0"))]
+    out = {r["doc_id"]: r for r in compact_windows.substring_duplicates(docs_of(spark, [*rows, (10, f"x {c}")])).collect()}
+    assert (out[6]["class_id"] == 5) != (out[7]["class_id"] == 5)
+    assert [tuple(s) for s in out[8]["spans"]] == [(0, 60)] and out[8]["n_words_shared"] == 60 and out[9]["spans"] == []
 
 
 def ranges_by_hand(a, b):
