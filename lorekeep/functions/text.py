@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ CJK = (
     r"\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
 )
 RUNS = rf"[{CJK}]+|[\p{{IsAlphabetic}}\p{{N}}&&[^{CJK}]]+"
+_CJK_RANGES = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", CJK)]
 MOST_QUERY_TOKENS = 32
 
 
@@ -41,9 +44,19 @@ def index_tokens(text: Column | str) -> Column:
     return _expand(text, cjk)
 
 
+def query_tokens_all(text: Column | str) -> Column:
+    """Tokens of a query in order: words, and CJK pairs (a single character if alone)."""
+    return _expand(text, lambda r: F.when(F.length(r) > 1, _bigrams(r)).otherwise(F.array(r)))
+
+
 def query_tokens(text: Column | str) -> Column:
-    """Tokens of a query, the first 32 in order: words, and CJK pairs (a single character if alone)."""
-    return F.slice(_expand(text, lambda r: F.when(F.length(r) > 1, _bigrams(r)).otherwise(F.array(r))), 1, MOST_QUERY_TOKENS)
+    """The first 32 tokens of a query."""
+    return F.slice(query_tokens_all(text), 1, MOST_QUERY_TOKENS)
+
+
+def is_cjk(word: str) -> bool:
+    """Whether a word holds a character of those scripts."""
+    return any(a <= ord(c) <= b for c in word for a, b in _CJK_RANGES)
 
 
 def word_cost(text: Column | str) -> Column:

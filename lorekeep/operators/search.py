@@ -22,7 +22,7 @@ def query_terms(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(_distinct_query(query).alias("q")).head()["q"]
 
 
-def _count(tokens: str, term: str) -> Column:
+def count_in(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w == term))
 
 
@@ -81,7 +81,7 @@ def full_text(articles: DataFrame, query: str, k: int, project: str | None = Non
     )
     counted = found.select(
         "project", "page_id", "length",
-        F.array(*(TITLE_WEIGHT * _count("tt", t) + _count("bt", t) for t in terms)).cast("array<int>").alias("tf"),
+        F.array(*(TITLE_WEIGHT * count_in("tt", t) + count_in("bt", t) for t in terms)).cast("array<int>").alias("tf"),
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"),
@@ -140,7 +140,7 @@ def bm25_blocks(blocks: DataFrame, query: str, k: int) -> DataFrame:
     )
     rows = found.select(
         "block_id", "length",
-        F.array(*(_count("w", t) for t in terms)).cast("array<int>").alias("f"),
+        F.array(*(count_in("w", t) for t in terms)).cast("array<int>").alias("f"),
         F.array(*(F.array_contains("h", t) for t in terms)).cast("array<boolean>").alias("in_head"),
     )
     stats = rows.agg(
