@@ -2,16 +2,18 @@
 
 A line is the set of its words. The words of all lines are counted in a table of
 fixed size; a line's words are ordered by rarity, and only its first few, its
-prefix, are indexed: two sets of Jaccard similarity t or more share a word of their
-prefixes. Length and position filters, and bitmaps of the words, drop pairs that
-can't reach t; the rest are verified on the words.
-
-Lines with equal sets are one class. Under each word a class first meets only the
-earliest: it needs no more than one earlier class that matches. Classes that this
-settles are not asked again; the others meet all earlier classes under their words.
-Under a word with many classes they have to share a second word of a prefix longer
-by one, which the same bound proves, and under a pair with many classes again they
-are dealt into blocks, so that no task holds all of its pairs.
+prefix, are looked up: two sets of Jaccard similarity t or more share a word of their
+prefixes, and of the smaller set a shorter prefix is enough, which is indexed. Length
+and position filters, and bitmaps of the words, drop pairs that can't reach t; the
+rest are verified on the words.
+
+Lines with equal sets are one class. A class needs no more than one earlier class that
+matches, so each first meets the earliest of those that share its least word under two
+hash functions. This settles most of a large group of near copies, and two classes that
+it has settled need not meet. All other pairs do. Under a word with many classes they
+have to share a second word of a prefix longer by one, which the same bound proves, and
+under a pair with many classes again they are dealt into blocks, so that no task holds
+all of its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import join_decisions, save
+from lorekeep.llm.common import MayHold, join_decisions, save
 
 SIMILARITY = 0.8
 #: Counters of the rarity table.
@@ -35,11 +37,10 @@ COUNTERS = 1 << 20
 HOT_WORD = 200
 #: Bytes of text whose words a task holds at once; a longer text is held alone.
 STEP_BYTES = 4 << 20
-#: Places of the bitmap of lines that are to be verified: 2 MB, whatever the corpus.
-ASKED_BITS = 1 << 24
-ASKED_PRIME = 16777213
 
-_LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, skipped int, prefix array<int>"
+_LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, least array<int>, skipped int, prefix array<int>"
+#: Odd multipliers of the two hash functions, of words' digests, whose least values name groups of near copies.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
 def line_words(line: str) -> set[str]:
@@ -81,8 +82,8 @@ class _Lines:
         if "" in self.words:  # at the ends of a line
             there = word != self.words.index("")
             line, word = line[there], word[there]
-        own, line = np.unique(line, return_inverse=True)
-        self.text, self.number, self.line, self.word = text[own], number[own], line, word
+        there = np.bincount(line, minlength=len(text)) > 0
+        self.text, self.number, self.line, self.word = text[there], number[there], (np.cumsum(there) - 1)[line], word
 
     def digests(self) -> np.ndarray:
         """Two 64-bit numbers for each distinct word."""
@@ -94,7 +95,8 @@ class _Lines:
         order = np.argsort(rank, kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        pairs = np.unique(self.line.astype(np.int64) << 32 | place[self.word])
+        pairs = np.sort(self.line.astype(np.int64) << 32 | place[self.word])
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
         line = pairs >> 32
         return line, order[pairs & 0xFFFFFFFF], np.bincount(line, minlength=len(self.text))
 
@@ -162,10 +164,13 @@ def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
             codes = (digest[word[in_prefix], 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (digest[word, 1] & np.uint64(63)), starts)
             keys = (np.add.reduceat(digest[word, k], starts).view(np.int64) for k in range(2))
+            least = [np.minimum.reduceat((digest[word, 1] * m) >> np.uint64(32), starts) for m in _MIX]
+            least = np.column_stack(least).astype(np.uint32).view(np.int32).ravel()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), *map(pa.array, keys),
-                    pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(skipped.astype(np.int32)),
+                    pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(size) + 1, 2, dtype=np.int32)), pa.array(least)), pa.array(skipped.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes)),
                 ],
                 names=names,
@@ -184,46 +189,24 @@ def _near(similarity: float, positions: bool = True) -> Column:
     return fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sizes - 2 * need)
 
 
-def _asked_slot(doc_id: Column, line: Column) -> Column:
-    return F.pmod(F.pmod(F.coalesce(doc_id, F.lit(-1)), F.lit(ASKED_PRIME)) * 61 + line, F.lit(ASKED_BITS)).cast("long")
-
-
-def _asked_table(asked: DataFrame) -> np.ndarray:
-    """A bit for each slot that a line of ``asked`` (doc_id, line) has: 513 rows of 4 kB at most come to the driver."""
-    slot = _asked_slot(F.col("doc_id"), F.col("line"))
-    parts = (
-        asked.groupBy(F.bitmap_bucket_number(slot).alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-        .collect()
-    )
-    width = 4096
-    table = np.zeros((ASKED_BITS // (8 * width) + 2) * width, dtype=np.uint8)
-    for r in parts:
-        table[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return table  # bucket p holds the places from 1 + (p - 1) * 8 * width on; place 0 is in bucket 0
-
-
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Of candidate pairs (x, y) of class ids, (x, match) of those whose word sets reach the similarity: the
     later one, and the first line of the earlier.
 
-    The words are read from the texts again and compared by 64-bit digests; a bitmap of fixed size lets tasks
-    pass over most lines that no pair asks for.
+    The words are read from the texts again and compared by 64-bit digests; tables of bits, of fixed size, let
+    tasks pass over most texts and lines that no pair asks for.
     """
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     asked = save(classes.select("id", "k1", "first.doc_id", "first.line").join(ids, "id"), "line-asked")
-    table = _asked_table(asked)
+    may = MayHold(asked, "doc_id")
+    lines_too = MayHold(asked.select((F.coalesce("doc_id", F.lit(-1)) * 61 + F.col("line")).alias("slot")), "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _steps(batches):
-            base = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) % ASKED_PRIME * 61
-
-            def is_asked(text: np.ndarray, number: np.ndarray) -> np.ndarray:
-                k = (base[text] + number) % ASKED_BITS
-                at = np.where(k > 0, 8 * 4096 + k - 1, 0)
-                return table[at >> 3] >> (at & 7).astype(np.uint8) & 1
-
-            lines = _Lines(b.column(1), is_asked)
+            ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            held = may.of(ids)
+            b, ids = b.filter(pa.array(held)), ids[held]
+            lines = _Lines(b.column(1), lambda text, number, ids=ids: lines_too.of(ids[text] * 61 + number))
             if not len(lines.line):
                 continue
             digest = lines.digests()
@@ -241,7 +224,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     )
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("line")) & (F.col("key") == F.col("k1"))
     words = save(
-        lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words").dropDuplicates(["id"]),
+        lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words"),
         "line-words",
     )
     x = words.select(F.col("id").alias("x"), F.col("first").alias("xf"), F.col("words").alias("xw"))
@@ -276,46 +259,55 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
     rarity = rarity_table(docs.select(F.col("text").cast("string")))
     lines = save(_lines(docs, rarity, similarity), "lines")
     at = F.struct("doc_id", "line")
+    features = ("size", "bits", "least", "skipped", "prefix")
     classes = save(
         lines.groupBy("k1", "k2")
-        .agg(F.min(F.struct("doc_id", "line", "size", "bits", "skipped", "prefix")).alias("c"), F.count(F.lit(1)).alias("n_lines"))
+        .agg(F.min(F.struct("doc_id", "line", *features)).alias("c"), F.count(F.lit(1)).alias("n_lines"))
         .select(
             F.monotonically_increasing_id().alias("id"), "k1", "k2", "n_lines", F.struct("c.doc_id", "c.line").alias("first"),
-            "c.size", "c.bits", "c.skipped", "c.prefix",
+            *(f"c.{f}" for f in features),
         ),
         "line-classes",
     )
     indexed = classes.where(F.size("prefix") > 0)
+
+    leasts = indexed.select("id", "first", "size", "bits", F.posexplode("least").alias("f", "least"))
+    heads = leasts.groupBy("f", "least").agg(F.min(F.struct("first", "id", "size", "bits")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    headed = leasts.join(heads, ["f", "least"]).select(F.struct("id", "size", "bits").alias("x"), "y")
+    to_heads = headed.where((F.col("x.id") != F.col("y.id")) & _near(similarity, positions=False))
+    settled = _settle(to_heads.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), classes, docs, similarity, "line-settled")
+
     # the last word sent belongs to the longer prefix only
     own = F.size("prefix") - 1
-    posted = indexed.where(own > 0).select(
-        "id", "first", "size", "bits", "skipped", F.posexplode(F.slice("prefix", F.lit(1), own)).alias("place", "word")
-    ).select("word", "id", "first", "size", (F.col("place") + F.col("skipped")).alias("at"), "bits")
-
-    words = posted.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "id", "size", "at", "bits")).alias("y"))
-    heads = save(words.where("n > 1"), "line-heads")
-    met = save(posted.join(heads, "word"), "line-postings")
-    headed = met.select(F.struct("id", "first", "size", "at", "bits").alias("x"), "y")
-    to_heads = headed.where((F.col("x.id") != F.col("y.id")) & _near(similarity)).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-    settled = _settle(to_heads, classes, docs, similarity, "line-settled")
-
-    met = met.drop("y")
-    done = settled.select(F.col("x").alias("id"))
-    open_ = met.join(done, "id", "left_anti")
-    earlier = (F.col("y.first") < F.col("x.first")) & _near(similarity)
-    cold = _meet(open_.where(F.col("n") <= hot_word), met.where(F.col("n") <= hot_word), ["word"], earlier)
-    hot_classes = met.where(F.col("n") > hot_word).groupBy("id").agg(F.collect_set("word").alias("hot"))
-    two = indexed.join(hot_classes, "id").select("id", "first", "size", "bits", F.explode("hot").alias("word"), "prefix")
-    two = two.select("id", "first", "size", "bits", "word", F.explode("prefix").alias("other")).where("word <> other")
+    flagged = indexed.join(settled.select(F.col("x").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    flagged = save(flagged.select("id", "size", "bits", "done", "skipped", "prefix"), "line-asking")
+    short = F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9).cast("int") + 1 - F.col("skipped")
+
+    def posted(words: Column) -> DataFrame:
+        out = flagged.select("id", "size", "bits", "done", "skipped", F.posexplode(F.slice("prefix", F.lit(1), F.greatest(words, F.lit(0)))).alias("place", "word"))
+        return out.select("word", "id", F.struct("size", (F.col("place") + F.col("skipped")).cast("short").alias("at"), "done").alias("p"), "bits")
+
+    index = posted(F.least(short, own))
+    hot = save(index.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_word).select("word"), "line-hot")
+    probes = posted(own)
+    x, y = (side.join(hot, "word", "left_anti").select("word", "id", "p.size", "p.at", "p.done", "bits").alias(name) for side, name in ((probes, "x"), (index, "y")))
+    smaller = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") > F.col("y.id")))
+    cold = x.join(y, (F.col("x.word") == F.col("y.word")) & smaller & ~(F.col("x.done") & F.col("y.done")) & _near(similarity))
+    cold = cold.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+
+    hot_classes = probes.join(hot, "word").groupBy("id").agg(F.collect_set("word").alias("hot"))  # words of one prefix
+    two = flagged.join(hot_classes, "id").select("id", "size", "bits", "done", F.explode("hot").alias("word"), "prefix")
+    two = two.select("id", "size", "bits", "done", "word", F.explode("prefix").alias("other")).where("word <> other")
     shared = two.groupBy("word", "other").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     two = save(two.join(shared, ["word", "other"]).withColumn("blocks", F.ceil(F.col("m") / hot_word).cast("int")), "line-twos")
-    asking = two.join(done, "id", "left_anti").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asking = two.where("not done").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     asked = two.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     warm = _meet(
         asking, asked, ["word", "other", "block"],
-        (F.col("y.first") < F.col("x.first")) & _near(similarity, positions=False),
+        ((F.col("x.id") > F.col("y.id")) | (F.col("y.done") & (F.col("x.id") != F.col("y.id")))) & _near(similarity, positions=False),
     )
-    late = _settle(cold.unionByName(warm), classes, docs, similarity, "line-late")
+    every = cold.unionByName(warm).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    late = _settle(every, classes, docs, similarity, "line-late")
 
     matched = settled.unionByName(late).groupBy("x").agg(F.min("match").alias("match")).withColumnRenamed("x", "id")
     by_class = classes.where("n_lines > 1").select("id", "k1", "k2", "first").join(matched, "id", "left")
