@@ -41,6 +41,9 @@ HASHES = 3
 GRAM = 11
 #: Texts under one signature that meet in one block of pairs.
 BLOCK = 128
+#: Pairs that a task verifies, about, and tasks at most.
+PAIRS = 256
+MOST_TASKS = 20000
 #: Matching shingles of two texts that are sorted at once, and how far their shifts lie apart in one alignment
 #: if they are not in one order.
 MATCHES = 1 << 21
@@ -271,9 +274,9 @@ def _chain(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[kept[::-1]], q[kept[::-1]]
 
 
-def _chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chains(a: np.ndarray, b: np.ndarray, least: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Alignments (p, q) of equal shingles a[p] == b[q], rising in both: one if all matches are in
-    one order, else one for each of the overlapping bands of shifts."""
+    one order, else one for each of the overlapping bands of shifts with ``least`` matches."""
     order = np.argsort(b, kind="stable")
     values = b[order]
     low, high = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
@@ -291,7 +294,7 @@ def _chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
         steps = np.unique(np.concatenate([shifts // (BAND // 2), shifts // (BAND // 2) - 1])) * (BAND // 2)
         for s in steps.tolist():
             one = slice(np.searchsorted(shifts, s), np.searchsorted(shifts, s + BAND))
-            if one.stop - one.start > 1:
+            if one.stop - one.start >= least:
                 by_place = np.lexsort((q[one], p[one]))
                 yield _chain(p[one][by_place], q[one][by_place])
         return
@@ -304,15 +307,15 @@ def _chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
     for s in range(-len(a) - BAND // 2, len(b), BAND // 2):
         low_, high_ = np.searchsorted(keys, first + s), np.searchsorted(keys, first + s + BAND)
         n = high_ - low_
-        if n.sum() > 1:
+        if n.sum() >= least:
             q = order[np.repeat(low_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             yield _chain(np.repeat(held, n), q)
 
 
-def _set_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _set_similarity(a: list[int], b: list[int]) -> float:
+    x, y = set(a), set(b)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
 def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
@@ -330,7 +333,12 @@ def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
     least = int(np.ceil(2 * SHORTEST / weight - 1e-9))
     repeats = len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b)
     out: list[tuple[int, int, int, int]] = []
-    for p, q in _chains(a, b):
+    x_list, y_list = (a.tolist(), b.tolist()) if repeats else ([], [])
+
+    def alike(r: tuple) -> bool:
+        return _set_similarity(x_list[r[0] : r[1]], y_list[r[2] : r[3]]) >= similarity - 1e-9
+
+    for p, q in _chains(a, b, least):
         if len(p) < least:
             continue
         sums = weight * np.arange(len(p)) - p - q
@@ -340,21 +348,28 @@ def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
         long_ = (m > k) & (p[m] - p >= SHORTEST - 1) & (q[m] - q >= SHORTEST - 1)
         long_ &= np.concatenate([[True], m[1:] > np.maximum.accumulate(m * long_)[:-1]])  # not inside the one before
         rows = [np.column_stack([p[long_], p[m[long_]] + 1, q[long_], q[m[long_]] + 1])]
-        short = []
-        for n in range(least, SHORTEST + 1):
+        # matches in a long range that was found need no short one
+        covered = np.zeros(len(p) + 1, dtype=np.int64)
+        np.add.at(covered, k[long_], 1)
+        np.add.at(covered, m[long_] + 1, -1)
+        loose = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) == 0)])
+        short = [np.zeros((0, 4), dtype=np.int64)]
+        for n in range(least, SHORTEST + 1) if loose[-1] else ():
             i, j = k[: max(0, len(p) - n + 1)], k[n - 1 :]
+            own = loose[j + 1] > loose[i]
+            i, j = i[own], j[own]
             wide, high = np.maximum(p[j] - p[i] + 1, SHORTEST), np.maximum(q[j] - q[i] + 1, SHORTEST)
             fits = weight * n >= wide + high - 1e-9
             x, y = np.minimum(p[i], len(a) - wide)[fits], np.minimum(q[i], len(b) - high)[fits]
             short.append(np.column_stack([x, x + wide[fits], y, y + high[fits]]))
         if repeats:
-            rows = [[r for r in found.tolist() if _set_similarity(a[r[0] : r[1]], b[r[2] : r[3]]) >= similarity - 1e-9] for found in rows]
+            rows = [[r for r in found.tolist() if alike(r)] for found in rows]
             inside = [(r[0], r[1]) for r in rows[0]]
             reach = 0
-            for r in sorted(np.concatenate(short).tolist()):
+            for r in sorted(set(map(tuple, np.concatenate(short).tolist()))):
                 if r[1] <= reach or any(s <= r[0] and r[1] <= e for s, e in inside):
                     continue
-                if _set_similarity(a[r[0] : r[1]], b[r[2] : r[3]]) >= similarity - 1e-9:
+                if alike(r):
                     rows[0].append(r)
                     reach = r[1]
             found = sorted(map(tuple, rows[0]))
@@ -379,9 +394,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     pairs = save(pairs, f"{label}-pairs")
     used = save(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), f"{label}-ids")
     held = save(_held(texts, used).join(used, "id", "left_semi").dropDuplicates(["id"]), f"{label}-texts")
-    both = pairs.join(held.select(F.col("id").alias("x"), F.col("text").alias("xt")), "x").join(
-        held.select(F.col("id").alias("y"), F.col("text").alias("yt")), "y"
-    )
+    # tasks are cut by their pairs, not their bytes, and a text with many pairs comes to several
+    tasks = max(1, min(MOST_TASKS, -(-pairs.count() // PAIRS)))
+    often = save(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")), f"{label}-parts")
+    asked = pairs.join(often, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(held.select(F.col("id").alias("x"), F.col("text").alias("xt")), "x").repartition(tasks, "y", "part")
+    sides = held.select(F.col("id").alias("y"), F.col("text").alias("yt")).join(often, "y")
+    sides = sides.select("y", "yt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "y", "part")
+    both = asked.join(sides.hint("merge"), ["y", "part"])  # so that a task's pairs come by y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, last, cut = PASSAGES.replace(" long", "").split(", "), None, None
