@@ -132,7 +132,7 @@ ALLOWED = {
 ALLOWED_ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "width", "height"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan", "scope"}}
 DROPPED = {"script", "style", "iframe", "object", "embed", "noscript", "template", "form"}
 VOID = {"br", "hr", "img"}
-SAFE_URL = re.compile(r"^(https?:|/|#|\.{0,2}/|[^:]*$)", re.I)
+SAFE_URL = re.compile(r"^(https?:|/(?!/)|#|\.{1,2}/|[^:/]*(/[^/:][^:]*)?$)", re.I)
 
 
 class _Sanitizer(HTMLParser):

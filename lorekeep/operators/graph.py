@@ -175,3 +175,41 @@ def greedy_cover(candidates: DataFrame, by: str, seed: int, most_rounds: int | N
         left = left.select(by, F.array_except("missing", F.coalesce("strata", F.array().cast("array<string>"))).alias("missing"))
         missing = save(left.where(F.size("missing") > 0), "cover")
     return chosen if chosen is not None else ranked.select(by, "page_id", "revision_id", F.lit(0).alias("round")).limit(0)
+
+
+MOST_LINKS = 1_000_000
+
+
+def expand_verified(
+    base: DataFrame, mainspace: DataFrame, links: DataFrame, hops: int,
+    exclude: DataFrame | None = None, max_new_pages: int | None = None, max_edges: int | None = None,
+) -> DataFrame:
+    """(page_id, revision_id, hop): ``related`` over links that belong to the revisions at hand.
+
+    ``base`` and ``mainspace`` have page_id and revision_id, ``links`` from_id, from_revision_id and
+    to_id. A base page at another revision, a link from or to no mainspace page, or from an old
+    revision, reached or not, is an error.
+    """
+    here = mainspace.select("page_id", F.col("revision_id").alias("now"))
+    off = base.join(here, "page_id", "left").where("now is null or now <> revision_id")
+    assert_none(off, "InconsistentBase", "page_id")
+    if links.limit(MOST_LINKS + 1).count() > MOST_LINKS:
+        raise LorekeepError("TooManyCandidates")
+    ends = links.select(F.col("from_id").alias("page_id")).unionByName(links.select(F.col("to_id").alias("page_id"))).distinct()
+    assert_none(ends.join(here, "page_id", "left_anti"), "NotMainspace", "page_id")
+    stale = links.join(here, links["from_id"] == here["page_id"]).where("now <> from_revision_id").select("from_id")
+    assert_none(stale, "StaleLinkRevision", "from_id")
+    reached = related(links.select("from_id", "to_id"), base, hops, exclude, max_new_pages, max_edges)
+    return reached.join(mainspace.select("page_id", "revision_id"), "page_id").select("page_id", "revision_id", "hop")
+
+
+def receipt(pages: DataFrame, label: str, buckets: int = 4096) -> DataFrame:
+    """One row: pages, and a digest of (page_id, revision_id) whatever their order.
+
+    Pages are digested in buckets by id, and the buckets' digests in order, so that no task holds all.
+    """
+    eight = F.lpad(F.hex("page_id"), 16, "0"), F.lpad(F.hex("revision_id"), 16, "0")
+    rows = pages.distinct().select(F.pmod(F.xxhash64("page_id"), F.lit(buckets)).alias("bucket"), F.concat(*eight).alias("row"))
+    parts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ""), 256).alias("d"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda p: p["d"]), "")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pages"), F.sha2(F.concat(F.lit(label), every), 256).alias("digest"))

@@ -84,3 +84,43 @@ def due(last_success: int | None, now: int, interval_seconds: int) -> bool:
     if not 60 <= interval_seconds <= 30 * 86400:
         raise LorekeepError("InvalidInterval")
     return last_success is None or now - last_success >= interval_seconds
+
+
+def save_exchanges(
+    threads: DataFrame, messages: DataFrame, citations: DataFrame, batch: DataFrame, settings: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Threads, messages and citations with a batch of cited exchanges added, all three or none.
+
+    ``batch`` has exchange (a number in order), generation, project, page_id, revision_id, question,
+    answer, cited (block ids). Exchanges of another generation than the setting's are left out. Each
+    starts a thread; new ids follow those that are there. A batch is a user's few exchanges.
+    """
+    now = settings.where(F.col("key") == "generation").select(F.col("value").cast("long").alias("generation"))
+    fresh = batch.join(F.broadcast(now), "generation")  # one setting
+    last = threads.agg(F.coalesce(F.max("thread_id"), F.lit(0)).alias("t")).crossJoin(messages.agg(F.coalesce(F.max("message_id"), F.lit(0)).alias("m")))
+    n = F.row_number().over(Window.orderBy("exchange"))
+    own = fresh.withColumn("n", n).crossJoin(F.broadcast(last)).select("*", (F.col("t") + F.col("n")).alias("thread_id"), (F.col("m") + 2 * F.col("n") - 1).alias("first"))
+    new_threads = own.select("thread_id", "project", "page_id", "revision_id", F.col("question").alias("title"))
+    turns = F.explode(F.array(
+        F.struct(F.col("first").alias("message_id"), F.lit("user").alias("role"), F.col("question").alias("text")),
+        F.struct((F.col("first") + 1).alias("message_id"), F.lit("assistant").alias("role"), F.col("answer").alias("text")),
+    ))
+    new_messages = own.select("thread_id", turns.alias("m")).select("m.message_id", "thread_id", "m.role", "m.text")
+    new_citations = own.select((F.col("first") + 1).alias("message_id"), F.posexplode("cited").alias("place", "block_id"))
+    return threads.unionByName(new_threads), messages.unionByName(new_messages), citations.unionByName(new_citations)
+
+
+def saved_panel(bookmarks: DataFrame, history: DataFrame, settings: DataFrame, generation: int, most: int = 100) -> DataFrame:
+    """One consistent view of the saved panel: (kind, place, page_id, at), bookmarks, then recent history if it is kept.
+
+    All in one plan over one version of the tables; nothing at another generation.
+    """
+    ok = settings.where((F.col("key") == "generation") & (F.col("value") == str(generation))).select(F.lit(1).alias("one"))
+    kept = settings.where((F.col("key") == "keep_history") & (F.col("value") == "true")).select(F.lit(1).alias("two"))
+
+    def newest(rows: DataFrame, kind: str) -> DataFrame:
+        top = rows.select("page_id", "at").orderBy(F.col("at").desc(), "page_id").limit(most)
+        place = F.row_number().over(Window.orderBy(F.col("at").desc(), "page_id"))  # over ``most`` rows
+        return top.select(F.lit(kind).alias("kind"), place.alias("place"), "page_id", "at")
+
+    return newest(bookmarks, "bookmark").unionByName(newest(history, "visit").crossJoin(kept).drop("two")).crossJoin(ok).drop("one")

@@ -143,7 +143,7 @@ def history_latest(spark, sf_dir):
 
 def positions_without_bookmark(spark, sf_dir):
     v = A.visits(spark, sf_dir)
-    marks = v.where("event_type = 'signup'").select("page_id")
+    marks = v.where("event_type = 'signup' AND value > 150").select("page_id")
     return audit.orphans(v.where("event_type = 'view'").select("page_id").distinct(), marks, ["page_id"])
 
 
@@ -256,7 +256,7 @@ ORACLE_SQL = {
         WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY 1""",
     "history_recent": "SELECT event_id AS id, user_id AS page_id, ts AS visited_at FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 50",
     "history_latest": "SELECT user_id AS page_id, event_id AS id FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "positions_without_bookmark": "SELECT DISTINCT user_id AS page_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')",
+    "positions_without_bookmark": "SELECT DISTINCT user_id AS page_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150)",
     "bookmarks_upsert": """SELECT user_id AS page_id, event_id AS id, value, event_type FROM events WHERE event_type IN ('signup', 'purchase')
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
     "cache_after_eviction": """SELECT user_id, event_id, row_number() OVER w AS kept_rows, sum(strlen(props)) OVER w AS kept_bytes FROM events WHERE event_type = 'purchase'
