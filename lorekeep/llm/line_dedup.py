@@ -84,6 +84,7 @@ class _Lines:
             line, word = line[there], word[there]
         there = np.bincount(line, minlength=len(text)) > 0
         self.text, self.number, self.line, self.word = text[there], number[there], (np.cumsum(there) - 1)[line], word
+        self.lines = flat.filter(pa.array(there))
 
     def digests(self) -> np.ndarray:
         """Two 64-bit numbers for each distinct word."""
@@ -193,7 +194,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     """Of candidate pairs (x, y) of class ids, (x, match) of those whose word sets reach the similarity: the
     later one, and the first line of the earlier.
 
-    The words are read from the texts again and compared by 64-bit digests; tables of bits, of fixed size, let
+    The lines are read from the texts again and compared word by word; tables of bits, of fixed size, let
     tasks pass over most texts and lines that no pair asks for.
     """
     ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
@@ -201,7 +202,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     may = MayHold(asked, "doc_id")
     lines_too = MayHold(asked.select((F.coalesce("doc_id", F.lit(-1)) * 61 + F.col("line")).alias("slot")), "slot")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _steps(batches):
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             held = may.of(ids)
@@ -209,33 +210,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             lines = _Lines(b.column(1), lambda text, number, ids=ids: lines_too.of(ids[text] * 61 + number))
             if not len(lines.line):
                 continue
-            digest = lines.digests()
             line, word, size = lines.sets(np.arange(len(lines.words)))
-            starts = np.cumsum(size) - size
-            found = pa.ListArray.from_arrays(pa.array(np.append(starts, len(word)).astype(np.int32)), pa.array(digest[word, 0].view(np.int64)))
-            key = np.add.reduceat(digest[word, 0], starts).view(np.int64)
+            key = np.add.reduceat(lines.digests()[word, 0], np.cumsum(size) - size).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), pa.array(key), found],
+                [b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), pa.array(key), lines.lines.cast(pa.string())],
                 names=["d", "n", "key", "words"],
             )
 
-    lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "d long, n int, key long, words array<long>"
-    )
+    lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, "d long, n int, key long, words string")
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("line")) & (F.col("key") == F.col("k1"))
-    words = save(
-        lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words"),
-        "line-words",
-    )
+    words = save(lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words"), "line-words")
     x = words.select(F.col("id").alias("x"), F.col("first").alias("xf"), F.col("words").alias("xw"))
     y = words.select(F.col("id").alias("y"), F.col("first").alias("yf"), F.col("words").alias("yw"))
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.size("xw") + F.size("yw")) - 1e-9)
+    met = pairs.join(x, "x").join(y, "y").where(F.col("xf") != F.col("yf")).select("x", "y", "xf", "yf", "xw", "yw")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _steps(batches):
+            n = b.num_rows
+            both = _Lines(pc.replace_substring(pa.concat_arrays([b.column(4), b.column(5)]), "\n", " "))
+            line, word, size = both.sets(np.arange(len(both.words)))
+            row, width = both.text[line] % n, max(len(both.words), 1)
+            joint = np.sort(row * width + word)
+            shared = np.bincount(joint[1:][joint[1:] == joint[:-1]] // width, minlength=n)
+            sizes = np.bincount(row, minlength=n)
+            yield b.select([0, 1, 2, 3]).filter(pa.array(shared >= np.ceil(similarity / (1 + similarity) * sizes - 1e-9)))
+
+    place = "struct<doc_id:bigint,line:int>"
+    found = met.mapInArrow(compare, f"x long, y long, xf {place}, yf {place}")
     later = F.col("xf") > F.col("yf")
-    return (
-        pairs.join(x, "x").join(y, "y")
-        .where((F.size(F.array_intersect("xw", "yw")) >= need) & (F.col("xf") != F.col("yf")))
-        .select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(later, F.col("yf")).otherwise(F.col("xf")).alias("match"))
-    )
+    return found.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(later, F.col("yf")).otherwise(F.col("xf")).alias("match"))
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], condition: Column) -> DataFrame:
