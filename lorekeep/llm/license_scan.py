@@ -1,12 +1,11 @@
 """License scans by a positional rare-token index. DataFrame functions only.
 
-The index holds the telling words of licence templates with their places. The
-corpus gives each word its IDF. A file is looked up by the highest-IDF word of
-each template's key phrase, its anchor: a file without it can't hold the phrase.
-For files with an anchor, all licence words vote for (template, place of the
-template's start in the file); a place counts if every word of the template's
-mandatory key phrase voted for it, and its score is the part of the template's
-IDF that did.
+The index holds the telling words of licence notices with their places. The corpus
+gives each word its IDF. A notice is looked up by its anchor, the highest-IDF word of
+its mandatory phrase. All licence words of a file vote for (notice, place of its
+phrase in the file); a place counts if the notice's own anchor and every word of its
+phrase voted for it, and if the words that did carry enough of the notice's IDF. That
+part of the IDF is the score.
 """
 
 from __future__ import annotations
@@ -19,23 +18,40 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import save, text_or_empty
 
-# Licence names, the wording their notices use, and the phrase a notice can't lack.
+# Licence names, the wordings of their notices, and the phrase that a notice can't lack.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
-    ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
-    ("cc-by", "licensed under creative commons attribution cc by 4 0", "cc by"),
-    ("cc-by-nc", "licensed under creative commons attribution noncommercial cc by nc 4 0", "cc by nc"),
-    ("cc-by-nd", "licensed under creative commons attribution noderivatives cc by nd 4 0", "cc by nd"),
-    ("cc-by-sa", "licensed under creative commons attribution sharealike cc by sa 4 0", "cc by sa"),
-    ("cc0", "released under creative commons zero cc0 1 0 public domain dedication", "cc0"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "distribute this software"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
-    ("mit", "released under the mit license permission is hereby granted free of charge", "mit license"),
-    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license"),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "as is basis without warranties or conditions"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "retain the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products"),
+    ("cc-by", "licensed under cc by 4 0", "cc by"),
+    ("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc0", "released under cc0 1 0 universal public domain dedication", "cc0 1 0"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("gpl", "licensed under the gnu general public license", "general public license"),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("reserved", "copyright all rights reserved", "all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released"),
 )
+#: The part of a notice's IDF that has to be found at its place.
+GATE = 0.5
 # Words too common to be looked up.
 COMMON = frozenset("a and any are as be for in is it of or that the to under with".split())
 # The phrases that count as base places, and their labels.
@@ -50,18 +66,18 @@ UNIT = 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _postings(templates=TEMPLATES) -> list[tuple[str, str, int, bool]]:
-    """(word, label, place relative to the key phrase's start, whether it is in the phrase)."""
+def _postings(templates=TEMPLATES) -> list[tuple[int, str, str, int, bool]]:
+    """(number of the notice, word, label, place relative to its phrase's start, whether it is in the phrase)."""
     rows = []
-    for label, wording, phrase in templates:
+    for number, (label, wording, phrase) in enumerate(templates):
         words, key = wording.split(), phrase.split()
         starts = [i for i in range(len(words)) if words[i : i + len(key)] == key]
         if len(starts) != 1:
-            raise ValueError(f"{label}: its key phrase must occur once in its wording")
+            raise ValueError(f"{label}: its phrase must occur once in its wording")
         for i, w in enumerate(words):
             inside = starts[0] <= i < starts[0] + len(key)
             if inside or w not in COMMON:
-                rows.append((w, label, i - starts[0], inside))
+                rows.append((number, w, label, i - starts[0], inside))
     return rows
 
 
@@ -72,7 +88,7 @@ def _words(text_col: str) -> Column:
 
 def licence_words(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """(row, doc_id, n_words, hits): each file's licence words with place and base label, if one starts there."""
-    index = sorted({w for w, *_ in _postings(templates)} | {w for words, _ in BASE for w in words})
+    index = sorted({w for _, w, *_ in _postings(templates)} | {w for words, _ in BASE for w in words})
     assert all(re.fullmatch(WORD, w) for w in index)
 
     def base_label(word: Column, i: Column) -> Column:
@@ -97,15 +113,15 @@ def licence_words(docs: DataFrame, text_col: str = "text", templates=TEMPLATES)
     )
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, gate: float = GATE) -> DataFrame:
     """Scan every file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     * Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.
     * ``n_base`` counts all places of the base phrases; ``first_word`` and
       ``last_word`` are the smallest and largest start, null without any.
-    * ``labels`` holds the base labels and those of all templates whose key phrase
-      was verified; ``score`` is the best of these templates' matched IDF share, 0
-      without any. Label lists are sorted, without repeats, comma-joined, and
+    * ``labels`` holds the base labels and those of all notices that were found: their
+      phrase whole, and ``gate`` of their IDF at its place. ``score`` is the best of
+      these notices' matched IDF share, 0 without any. Label lists are sorted, without repeats, comma-joined, and
       empty strings without any.
     * Null and empty texts have no words. Repeated rows, null ids and extra
       columns are as good as any. No rows give no rows.
@@ -119,31 +135,32 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFr
     seen = dict(  # a row for each word of the index at most
         files.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1))).collect()
     )
-    idf = {w: 1 + math.log((1 + total) / (1 + seen.get(w, 0))) for w, *_ in postings}
+    idf = {w: 1 + math.log((1 + total) / (1 + seen.get(w, 0))) for _, w, *_ in postings}
     weight = {w: round(v * UNIT) for w, v in idf.items()}
-    anchors = set()
-    for label in {label for _, label, *_ in postings}:
-        phrase = sorted((-idf[w], w) for w, own, _, inside in postings if own == label and inside)
-        anchors.add(phrase[0][1])
-    whole: dict[str, int] = {}
-    length: dict[str, int] = {}
-    for w, label, _, inside in postings:
-        whole[label] = whole.get(label, 0) + weight[w]
-        length[label] = length.get(label, 0) + inside
-
-    index = F.broadcast(  # one row for each telling word of each template: fixed, whatever the corpus
+    anchor, whole, length = {}, {}, {}
+    for number, w, _, at, inside in postings:
+        whole[number] = whole.get(number, 0) + weight[w]
+        length[number] = length.get(number, 0) + inside
+        if inside:
+            anchor[number] = min(anchor.get(number, (0, "", 0)), (-weight[w], w, at))
+
+    index = F.broadcast(  # one row for each telling word of each notice: fixed, whatever the corpus
         spark.createDataFrame(
-            [(w, label, at, weight[w], int(inside), whole[label], length[label]) for w, label, at, inside in postings],
-            "word string, label string, at int, weight long, inside int, whole long, length int",
+            [
+                (number, w, label, at, weight[w], int(inside), int(anchor[number][1:] == (w, at)), whole[number], length[number])
+                for number, w, label, at, inside in postings
+            ],
+            "number int, word string, label string, at int, weight long, inside int, is_anchor int, whole long, length int",
         )
     )
+    anchors = sorted({w for _, w, _ in anchor.values()})
     votes = (
-        files.where(F.arrays_overlap(words, F.array(*map(F.lit, sorted(anchors)))))
+        files.where(F.arrays_overlap(words, F.array(*map(F.lit, anchors))))
         .select("row", F.explode("hits").alias("hit"))
         .join(index, F.col("hit.word") == F.col("word"))
-        .groupBy("row", "label", (F.col("hit.place") - F.col("at")).alias("start"), "whole", "length")
-        .agg(F.sum("weight").alias("matched"), F.sum("inside").alias("inside"))
-        .where(F.col("inside") == F.col("length"))
+        .groupBy("row", "number", "label", (F.col("hit.place") - F.col("at")).alias("start"), "whole", "length")
+        .agg(F.sum("weight").alias("matched"), F.sum("inside").alias("inside"), F.max("is_anchor").alias("anchored"))
+        .where((F.col("anchored") == 1) & (F.col("inside") == F.col("length")) & (F.col("matched") >= gate * F.col("whole")))
     )
     verified = votes.groupBy("row").agg(
         F.collect_set("label").alias("own"), F.max(F.col("matched") / F.col("whole")).alias("score")

@@ -21,14 +21,14 @@ def _license_sql() -> str:
     """The scan, its index and its IDF weights in SQL; the templates come in as rows."""
     from lorekeep.llm import license_scan as L
 
-    postings = ", ".join(f"('{w}', '{label}', {at}, {inside})" for w, label, at, inside in L._postings())
+    postings = ", ".join(f"({n}, '{w}', '{label}', {at}, {inside})" for n, w, label, at, inside in L._postings())
     lead = "lead(word, {0}) OVER (PARTITION BY doc_id ORDER BY place)"
     base = "CASE " + " ".join(
         f"WHEN word = '{words[0]}'" + "".join(f" AND {lead.format(k)} = '{w}'" for k, w in enumerate(words[1:], 1)) + f" THEN '{label}'"
         for words, label in L.BASE
     ) + " END"
     return rf"""
-        WITH postings(word, label, spot, inside) AS (VALUES {postings}),
+        WITH postings(number, word, label, spot, inside) AS (VALUES {postings}),
         files AS (
             SELECT doc_id, regexp_extract_all(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -39,11 +39,11 @@ def _license_sql() -> str:
             SELECT word, 1 + ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) AS idf
             FROM (SELECT DISTINCT word FROM postings) LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM placed GROUP BY 1) USING (word)),
         weighed AS (SELECT *, round({L.UNIT} * idf)::bigint AS weight FROM postings JOIN idf USING (word)),
-        whole AS (SELECT label, sum(weight) AS whole, count(*) FILTER (inside) AS length FROM weighed GROUP BY 1),
+        whole AS (SELECT number, sum(weight) AS whole, count(*) FILTER (inside) AS length FROM weighed GROUP BY 1),
         votes AS (
-            SELECT doc_id, label, place - spot AS start, sum(weight) AS matched, count(*) FILTER (inside) AS inside
-            FROM hits JOIN weighed USING (word) GROUP BY 1, 2, 3),
-        verified AS (SELECT doc_id, label, matched / whole AS score FROM votes JOIN whole USING (label) WHERE inside = length),
+            SELECT doc_id, number, label, place - spot AS start, sum(weight) AS matched, count(*) FILTER (inside) AS inside
+            FROM hits JOIN weighed USING (word) GROUP BY 1, 2, 3, 4),
+        verified AS (SELECT doc_id, label, matched / whole AS score FROM votes JOIN whole USING (number) WHERE inside = length AND matched >= {L.GATE} * whole),
         based AS (
             SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
                    string_agg(DISTINCT base, ',' ORDER BY base) AS base_labels FROM hits WHERE base IS NOT NULL GROUP BY 1),

@@ -210,14 +210,16 @@ def test_gram_documents(spark):
 def test_license_places(spark):
     rows = [
         (1, "Licensed under CC BY-NC 4.0. x"), (2, "see the GNU General Public License, all rights reserved. CC-BY"),
-        (3, "ccé by"), (4, "redistribution in binary forms"), (5, "the apache license"), (6, "general public"),
+        (3, "ccé by"), (4, "Redistribution and use in source and binary forms, with or without modification, are permitted"), (5, "the apache license"), (6, "general public"),
+        (7, "Licensed under the Apache License, Version 2.0"), (8, "source and binary forms"),
     ]
     got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
     assert (got[1]["labels"], got[1]["base_labels"], got[1]["n_base"], got[1]["first_word"]) == ("cc-by,cc-by-nc", "cc-by", 1, 2)
     assert (got[2]["base_labels"], got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == ("cc-by,gpl,reserved", 3, 3, 9)
     assert got[3]["labels"] == "" and got[3]["score"] == 0 and got[3]["first_word"] is None
     assert got[4]["labels"] == "bsd" and 0 < got[4]["score"] <= 1
-    assert got[5]["labels"] == "apache-2.0" and got[6]["labels"] == ""
+    assert got[5]["labels"] == got[6]["labels"] == got[8]["labels"] == "" and got[5]["score"] == 0
+    assert got[7]["labels"] == "apache-2.0" and got[7]["score"] == 1
 
 
 def test_license_odd_rows(odd, nothing):
