@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.errors import assert_none
+from lorekeep.errors import LorekeepError, assert_none
 from lorekeep.functions import text as T
+from lorekeep.lineage import save
 from lorekeep.operators.audit import duplicates
 
 IDENTITY = ["project", "page_id"]
@@ -17,34 +18,59 @@ def join_components(structured: DataFrame, rendered: DataFrame, categories: Data
 
     Each input has project, page_id, revision_id, generation_id, payload; a payload
     is empty only for categories. ``tombstones`` (project, page_id, generation_id)
-    are pages that must not be live. The first error in page order is raised.
+    are pages that must not be live. The first broken rule, at its first page, is raised.
+
+    The sides meet in one aggregation by page, which is saved with the number of the
+    first rule that each page breaks; only pages' names and numbers are read for the check.
     """
-    sides = {"structured": structured, "rendered": rendered, "categories": categories}
-    for name, side in sides.items():
-        assert_none(side.where(~F.coalesce(T.valid_article_key("project", "page_id"), F.lit(False))), "InvalidIdentity", *IDENTITY)
-        if name != "categories":
-            assert_none(side.where("payload is null or payload = ''"), "EmptyPayload", *IDENTITY)
-        assert_none(duplicates(side, IDENTITY), "DuplicatePage", *IDENTITY)
-    first = structured.agg(F.min("project").alias("p"), F.max("project").alias("q"), F.min("generation_id").alias("g"), F.max("generation_id").alias("h")).head()
-    if first["p"] != first["q"]:
-        assert_none(structured.where(F.col("project") != first["p"]), "MixedProject", *IDENTITY)
-    if first["g"] != first["h"]:
-        assert_none(structured.where(F.col("generation_id") != first["g"]), "GenerationMismatch", *IDENTITY)
-    assert_none(duplicates(structured, ["project", "revision_id"]), "DuplicateRevision", "project", "revision_id")
-
-    def named(side: DataFrame, name: str) -> DataFrame:
-        return side.select(*IDENTITY, *(F.col(c).alias(f"{name}_{c}") for c in ("revision_id", "generation_id", "payload")))
-
-    joined = named(structured, "s").join(named(rendered, "r"), IDENTITY, "full_outer").join(named(categories, "c"), IDENTITY, "full_outer")
-    assert_none(
-        joined.where("s_revision_id is null or r_revision_id is null or c_revision_id is null"), "MissingComponent", *IDENTITY
+    sides = {"s": structured, "r": rendered, "c": categories}
+    every = None
+    for k, side in sides.items():
+        rows = side.select(*IDENTITY, "revision_id", "generation_id", "payload", F.lit(k).alias("side"))
+        every = rows if every is None else every.unionByName(rows)
+
+    def of(k: str, c: str) -> Column:
+        return F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True).alias(f"{k}_{c}")
+
+    valid = F.coalesce(T.valid_article_key("project", "page_id"), F.lit(False))
+    pages = every.groupBy(*IDENTITY).agg(
+        *(of(k, c) for k in sides for c in ("revision_id", "generation_id", "payload")),
+        *(F.sum((F.col("side") == k).cast("long")).alias(f"n_{k}") for k in sides),
+        *(F.max(((F.col("side") == k) & F.coalesce(F.col("payload") == "", F.lit(True))).cast("int")).alias(f"empty_{k}") for k in ("s", "r")),
+        F.min(valid).alias("valid"),
     )
-    assert_none(joined.where("s_revision_id <> r_revision_id or s_revision_id <> c_revision_id"), "RevisionMismatch", *IDENTITY)
-    assert_none(joined.where("s_generation_id <> r_generation_id or s_generation_id <> c_generation_id"), "GenerationMismatch", *IDENTITY)
+    one = structured.agg(F.min("project").alias("p"), F.min("generation_id").alias("g")).head()
     if tombstones is not None:
-        dead = tombstones.select(*IDENTITY, F.col("generation_id").alias("s_generation_id")).distinct()
-        assert_none(joined.join(dead, [*IDENTITY, "s_generation_id"], "left_semi"), "LiveTombstone", *IDENTITY)
-    return joined.select(
+        dead = tombstones.select(*IDENTITY, F.col("generation_id").alias("s_generation_id"), F.lit(True).alias("dead")).distinct()
+        pages = pages.join(dead, [*IDENTITY, "s_generation_id"], "left")
+    else:
+        pages = pages.withColumn("dead", F.lit(None).cast("boolean"))
+    there = {k: F.col(f"n_{k}") > 0 for k in sides}
+    rules = []
+    for k in sides:
+        rules.append((there[k] & ~F.col("valid"), "InvalidIdentity"))
+        if k != "c":
+            rules.append((F.col(f"empty_{k}") == 1, "EmptyPayload"))
+        rules.append((F.col(f"n_{k}") > 1, "DuplicatePage"))
+    rules += [
+        (there["s"] & (F.col("project") != F.lit(one["p"])), "MixedProject"),
+        (F.col("s_generation_id") != F.lit(one["g"]), "GenerationMismatch"),
+        (F.lit(False), "DuplicateRevision"),
+        (~(there["s"] & there["r"] & there["c"]), "MissingComponent"),
+        ((F.col("s_revision_id") != F.col("r_revision_id")) | (F.col("s_revision_id") != F.col("c_revision_id")), "RevisionMismatch"),
+        ((F.col("s_generation_id") != F.col("r_generation_id")) | (F.col("s_generation_id") != F.col("c_generation_id")), "GenerationMismatch"),
+        (F.col("dead"), "LiveTombstone"),
+    ]
+    broken = F.coalesce(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(n)) for n, (rule, _) in enumerate(rules)))
+    checked = save(pages.withColumn("broken", broken), "components")
+    found = checked.agg(F.min(F.when(F.col("broken").isNotNull(), F.struct("broken", *IDENTITY)))).head()[0]
+    revision_rule = next(n for n, (_, code) in enumerate(rules) if code == "DuplicateRevision")
+    if found is None or found["broken"] > revision_rule:
+        twice = checked.where("n_s > 0").select("project", F.col("s_revision_id").alias("revision_id"))
+        assert_none(duplicates(twice, ["project", "revision_id"]), "DuplicateRevision", "project", "revision_id")
+    if found is not None:
+        raise LorekeepError(rules[found["broken"]][1], found.asDict())
+    return checked.select(
         *IDENTITY, F.col("s_revision_id").alias("revision_id"), F.col("s_payload").alias("structured"),
         F.col("r_payload").alias("rendered"), F.col("c_payload").alias("categories"),
     )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.errors import LorekeepError, assert_none, assert_rules
-from lorekeep.operators.audit import duplicates, not_increasing, overlaps
+from lorekeep.lineage import save
+from lorekeep.operators.audit import duplicates, not_increasing_overall, overlaps
 
 CHECKSUM_LINE = r"^([0-9a-fA-F]{64}) [ *](.+)$"
 RANGE_IN_NAME = r"-p(\d+)p(\d+)\."
@@ -124,7 +125,7 @@ def read_revisions(lines: DataFrame) -> DataFrame:
         },
         "line",
     )
-    assert_none(not_increasing(rows.withColumn("__all", F.lit(0)), "__all", ["line"], "page_id"), "UnsortedPages", "line")
+    assert_none(not_increasing_overall(rows, "line", "page_id"), "UnsortedPages", "line")
     return rows
 
 
@@ -132,12 +133,12 @@ def read_census(lines: DataFrame) -> DataFrame:
     """(id) of a census text (line, value): canonical decimals, strictly increasing."""
     assert_rules(lines, {"InvalidId": F.col("value").rlike("^[1-9][0-9]{0,17}$")}, "line")
     ids = lines.select("line", F.col("value").cast("long").alias("id"))
-    assert_none(not_increasing(ids.withColumn("__all", F.lit(0)), "__all", ["line"], "id"), "UnsortedIds", "line")
+    assert_none(not_increasing_overall(ids, "line", "id"), "UnsortedIds", "line")
     return ids.select("id")
 
 
 def pinned(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """Lines of a text file whose whole content has the given digest."""
+    """Lines of a text file, of less than 2 GB, whose whole content has the given digest."""
     whole = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
     assert_none(whole.where(F.col("sha256") != sha256), "PinMismatch", "path")
     return spark.read.text(path)
@@ -188,11 +189,20 @@ def image_metadata(replies: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file read as one: numbers count from 1."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "value")).select(
-        (F.col("n") + 1).alias("line"), "value"
-    )
+    """(line, value) of text files in the order of their names: numbers count from 1.
+
+    Files are read in splits; a line's number is its place in its split and the lines of the
+    splits before, of which one row each is sorted.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"),
+    )
+    read = save(lines, "lines")
+    splits = read.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # over a row of each split
+    bases = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return read.join(bases, ["file", "start"]).select((F.col("base") + F.col("row") - F.col("first") + 1).alias("line"), "value")
 
 
 def contiguous(frames: DataFrame) -> DataFrame:
