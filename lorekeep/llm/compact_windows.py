@@ -12,13 +12,16 @@ texts have a line in common and no passage.
   own least hashes, under every function, are at repeated signatures is named by a
   digest. Texts with a run in common link to the first of them; no pairs are made.
 * Similar passages: a signature inside a run that repeats stands for the first text of
-  that run. The texts that remain different under a signature meet its first one, and
-  those that have no similar passage with it meet all others. Each pair is verified
-  on the shingles of both whole texts.
+  that run. Elsewhere it counts only where enough of the shingles around it occur in
+  other texts too, as those of a similar passage must: a line that is shared among words
+  that are not is left out. The texts that remain different under a signature meet its
+  first one, and those that have no similar passage with it meet all others. Each pair is
+  verified on the shingles of both whole texts.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,6 +42,9 @@ SHORTEST = 46
 HASHES = 3
 #: Shingles of a signature: 15 words, on one side of a least hash.
 GRAM = 11
+#: Shingles that two similar passages share at least, and the most that the shortest passages with so many can have.
+LEAST_SHARED = math.ceil(2 * SHORTEST * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+REACH = math.ceil(SHORTEST / SIMILARITY)
 #: Texts under one signature that meet in one block of pairs.
 BLOCK = 128
 #: Pairs that a task verifies, about, and tasks at most.
@@ -135,6 +141,31 @@ def sites(s: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.flatnonzero(there), start, digest ^ (digest >> np.uint64(29))
 
 
+def _loose(place: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which grams at ``place`` are inside no run that begins at one of ``start`` (sorted)."""
+    if not len(start):
+        return np.ones(len(place), dtype=bool)
+    at = np.minimum(np.searchsorted(start, place - (SHORTEST - GRAM)), len(start) - 1)
+    return ~((start[at] <= place) & (start[at] >= place - (SHORTEST - GRAM)))
+
+
+def around(place: np.ndarray, n: int) -> np.ndarray:
+    """The shingles, of ``n``, that a shortest similar passage over one of the grams at ``place`` may have."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, np.maximum(place - REACH, 0), 1)
+    np.add.at(edge, np.minimum(place + GRAM + REACH, n), -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+def may_be_similar(place: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether a stretch of ``REACH`` shingles over the gram at each place has ``LEAST_SHARED`` of ``known`` (sorted)."""
+    best = np.zeros(len(place), dtype=np.int64)
+    for back in range(REACH - GRAM + 1):
+        low = place - back
+        best = np.maximum(best, np.searchsorted(known, low + REACH) - np.searchsorted(known, low))
+    return best >= LEAST_SHARED
+
+
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.zeros(0)
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -171,14 +202,15 @@ def _held(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sites(texts: DataFrame) -> DataFrame:
-    """(id, sigs, places, runs, starts) of each text that has a repeated signature."""
+    """(id, sigs, places, runs, starts, seen, hood, hood_at) of each text that has a repeated signature. ``seen`` are the
+    shingles around its repeated signatures, each once and cut to 32 bits, ``hood`` those around the ones in no run."""
     windows = save(_signatures(texts), "windows")
     repeated = windows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     marked = save(windows.join(repeated, "sig").groupBy("id").agg(F.collect_list("sig").alias("sigs")), "window-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs, places, runs, starts = [], [], [], []
+            sigs, places, runs, starts, seen, hood, hood_at = [], [], [], [], [], [], []
             for text, known in zip(b.column(1), b.column(2)):
                 s = shingles(text.as_py())
                 place, start, digest = sites(s, known.values.to_numpy().view(np.uint64))
@@ -186,13 +218,18 @@ def _sites(texts: DataFrame) -> DataFrame:
                 places.append(place)
                 starts.append(start)
                 runs.append(digest.view(np.int64))
+                hood_at.append(around(place[_loose(place, start)], len(s)))
+                cut = (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                hood.append(cut[hood_at[-1]])
+                seen.append(np.unique(cut[around(place, len(s))]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), _lists(sigs, pa.int64()), _lists(places, pa.int32()), _lists(runs, pa.int64()), _lists(starts, pa.int32())],
-                names=["id", "sigs", "places", "runs", "starts"],
+                [b.column(0), _lists(sigs, pa.int64()), _lists(places, pa.int32()), _lists(runs, pa.int64()), _lists(starts, pa.int32()),
+                 _lists(seen, pa.int32()), _lists(hood, pa.int32()), _lists(hood_at, pa.int32())],
+                names=["id", "sigs", "places", "runs", "starts", "seen", "hood", "hood_at"],
             )
 
     kept = _held(texts, marked.select("id")).join(marked, "id").select("id", "text", "sigs")
-    return save(kept.mapInArrow(run, "id long, sigs array<long>, places array<int>, runs array<long>, starts array<int>"), "passage-sites")
+    return save(kept.mapInArrow(run, "id long, sigs array<long>, places array<int>, runs array<long>, starts array<int>, seen array<int>, hood array<int>, hood_at array<int>"), "passage-sites")
 
 
 def _equal_runs(found: DataFrame) -> DataFrame:
@@ -229,26 +266,37 @@ def _exact_spans(equal: DataFrame) -> DataFrame:
     return save(equal.mapInArrow(run, EXACT), "passage-exact")
 
 
+def _known_around(found: DataFrame) -> DataFrame:
+    """(id, known): the places of shingles, of those around its signatures in no run, that stand around other texts' too."""
+    seen = found.select("id", F.explode("seen").alias("shingle"))
+    often = seen.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("shingle")
+    at = found.select("id", F.posexplode("hood").alias("k", "shingle"), "hood_at").select("id", "shingle", F.element_at("hood_at", F.col("k") + 1).alias("at"))
+    return at.join(often, "shingle").groupBy("id").agg(F.collect_list("at").alias("known"))
+
+
 def _members(found: DataFrame, equal: DataFrame) -> DataFrame:
     """(sig, rep): the texts under each signature, a text standing for those that have its run around the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs, reps = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for i, sig, place, start, head in zip(b.column(0).to_pylist(), *(b.column(k) for k in range(1, 5))):
-                place, rep = place.values.to_numpy(), np.full(len(sig.values), i, dtype=np.int64)
+            for i, sig, place, start, head, tried, known in zip(b.column(0).to_pylist(), *(b.column(k) for k in range(1, 7))):
+                sig, place, tried = sig.values.to_numpy(), place.values.to_numpy(), tried.values.to_numpy()
+                rep = np.full(len(sig), i, dtype=np.int64)
+                known = np.sort(known.values.to_numpy()) if known.values is not None else np.zeros(0, dtype=np.int32)
+                kept = ~_loose(place, tried) | may_be_similar(place, known)
                 if start.values is not None and len(start.values):
                     order = np.argsort(start.values.to_numpy(), kind="stable")
                     start, head = start.values.to_numpy()[order], head.values.to_numpy()[order]
-                    at = np.minimum(np.searchsorted(start, place - (SHORTEST - GRAM)), len(start) - 1)
-                    inside = (start[at] <= place) & (start[at] >= place - (SHORTEST - GRAM))
-                    rep[inside] = head[at[inside]]
-                both = np.unique(np.column_stack([sig.values.to_numpy(), rep]), axis=0)
+                    inside = ~_loose(place, start)
+                    rep[inside] = head[np.searchsorted(start, place[inside] - (SHORTEST - GRAM))]
+                both = np.unique(np.column_stack([sig, rep])[kept], axis=0)
                 sigs.append(both[:, 0])
                 reps.append(both[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(reps))], names=["sig", "rep"])
 
-    joined = found.join(equal, "id", "left").select("id", "sigs", "places", "start", "head")
+    joined = found.drop("runs", "seen", "hood", "hood_at").join(equal, "id", "left").join(_known_around(found), "id", "left")
+    joined = joined.select("id", "sigs", "places", "start", "head", "starts", "known")
     return save(joined.mapInArrow(run, "sig long, rep long").distinct(), "passage-members")
 
 
