@@ -57,3 +57,40 @@ def _license_sql() -> str:
 
 
 ORACLE_SQL["op5_license_scan"] = _license_sql()
+
+
+def _lines_sql() -> str:
+    """Similar earlier lines in SQL: word sets, the same prefix bound on words by rarity, Jaccard on the sets."""
+    from lorekeep.llm import line_dedup as D
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    t = D.SIMILARITY
+    return rf"""
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS number
+            FROM documents),
+        lines AS (
+            SELECT doc_id, number, list_sort(list_distinct(regexp_extract_all(translate(line, '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+'))) AS words FROM split),
+        placed AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, number) AS spot FROM lines WHERE len(words) > 0),
+        sets AS (SELECT words, min(spot) AS first FROM placed GROUP BY 1),
+        flat AS (SELECT first, len(words) AS n, unnest(words) AS word FROM sets),
+        rare AS (SELECT word, count(*) AS df FROM flat GROUP BY 1),
+        ranked AS (SELECT first, n, word, row_number() OVER (PARTITION BY first ORDER BY df, word) AS k FROM flat JOIN rare USING (word)),
+        prefix AS (SELECT first, n, word FROM ranked WHERE k <= n - ceil({t} * n - 1e-9) + 1),
+        pairs AS (
+            SELECT DISTINCT x.first AS x, y.first AS y FROM prefix x JOIN prefix y USING (word)
+            WHERE y.first < x.first AND least(x.n, y.n) >= {t} * greatest(x.n, y.n) - 1e-9),
+        matched AS (
+            SELECT DISTINCT p.x AS first FROM pairs p JOIN sets a ON a.first = p.x JOIN sets b ON b.first = p.y
+            WHERE len(list_intersect(a.words, b.words)) >= ceil({t} / (1 + {t}) * (len(a.words) + len(b.words)) - 1e-9)),
+        told AS (
+            SELECT doc_id, number, spot > first OR m.first IS NOT NULL AS removed FROM placed JOIN sets USING (words) LEFT JOIN matched m USING (first)),
+        per AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+                   string_agg(number::varchar, ',' ORDER BY number) FILTER (removed) AS removed_lines FROM told GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+        FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN per ON per.doc_id IS NOT DISTINCT FROM d.doc_id
+    """
+
+
+ORACLE_SQL["op10_line_dedup"] = _lines_sql()
