@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators.search import HEADING_WEIGHT
 
 
 def case_hits(blocks: DataFrame, cases: DataFrame, k: int) -> DataFrame:
@@ -15,13 +16,16 @@ def case_hits(blocks: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     its terms in place and only scored pairs are shuffled.
     """
     terms = cases.select("case_id", F.explode(F.array_distinct(T.query_tokens("query"))).alias("term"))
-
-    def part(text, weight: int) -> DataFrame:
-        own = blocks.select("project", "page_id", "block_id", F.explode(F.array_distinct(T.index_tokens(text))).alias("term"))
-        return own.join(terms, "term").select("case_id", "project", "page_id", "block_id", F.lit(weight).alias("w"))
-
+    asked = terms.select("term").distinct()
+    heading = T.index_tokens(F.coalesce("heading", F.lit("")))
+    own = F.concat(
+        F.transform(F.array_distinct(T.index_tokens("text")), lambda w: F.struct(w.alias("term"), F.lit(1).alias("w"))),
+        F.transform(F.array_distinct(heading), lambda w: F.struct(w.alias("term"), F.lit(HEADING_WEIGHT).alias("w"))),
+    )
+    # each block is tokenised once, and keeps the suite's terms only before cases multiply its rows
+    words = blocks.select("project", "page_id", "block_id", F.explode(own).alias("t")).select("project", "page_id", "block_id", "t.term", "t.w")
     scored = (
-        part(F.col("text"), 1).unionByName(part(F.coalesce("heading", F.lit("")), 4))
+        words.join(asked, "term", "left_semi").join(terms, "term")
         .groupBy("case_id", "project", "page_id", "block_id").agg(F.sum("w").alias("score"))
     )
     best = Window.partitionBy("case_id").orderBy(F.col("score").desc(), "project", "page_id", "block_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.lineage import save
 from lorekeep.operators import evaluate, search
 from lorekeep.plans import adapters as A
 
@@ -141,7 +142,7 @@ def _gold(spark, sf_dir):
 def evaluation_case_scores(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     hits = evaluate.case_hits(A.blocks(spark, sf_dir), cases, 10)
-    return evaluate.case_scores(hits, cases, _gold(spark, sf_dir))
+    return evaluate.case_scores(hits, cases, save(_gold(spark, sf_dir), "gold"))  # read twice
 
 
 def evaluation_report(spark, sf_dir):
