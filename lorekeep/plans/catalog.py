@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.plans import feed_queries, graph_state_queries, grounding_queries, html_stream_queries, relational_queries, search_queries, validity_queries
+from lorekeep.plans import (
+    feed_queries,
+    graph_state_queries,
+    grounding_queries,
+    html_stream_queries,
+    record_queries,
+    relational_queries,
+    search_queries,
+    validity_queries,
+)
 
-_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, graph_state_queries, html_stream_queries)
+_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
