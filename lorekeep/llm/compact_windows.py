@@ -50,6 +50,9 @@ BLOCK = 128
 #: Pairs that a task verifies, about, and tasks at most.
 PAIRS = 256
 MOST_TASKS = 20000
+#: Texts whose shingles a task keeps, and the most shingles of such a text: 64 MB.
+KEPT_TEXTS = 1024
+KEPT_SHINGLES = 8192
 #: Matching shingles of two texts that are sorted at once, and how far their shifts lie apart in one alignment
 #: if they are not in one order.
 MATCHES = 1 << 21
@@ -379,7 +382,10 @@ def similar_ranges(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
         return []
     weight = (1 + similarity) / similarity
     least = int(np.ceil(2 * SHORTEST / weight - 1e-9))
-    repeats = len(np.unique(a)) < len(a) or len(np.unique(b)) < len(b)
+    values = np.sort(b)
+    if (np.searchsorted(values, a, "right") - np.searchsorted(values, a, "left")).sum() < least:
+        return []
+    repeats = len(np.unique(a)) < len(a) or len(values) > 1 and bool((values[1:] == values[:-1]).any())
     out: list[tuple[int, int, int, int]] = []
     x_list, y_list = (a.tolist(), b.tolist()) if repeats else ([], [])
 
@@ -452,13 +458,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     both = asked.join(sides.hint("merge"), ["y", "part"])  # so that a task's pairs come by y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, cut = PASSAGES.replace(" long", "").split(", "), None, None
+        names, cuts = PASSAGES.replace(" long", "").split(", "), {}
+
+        def cut(i: int, text: pa.Scalar) -> np.ndarray:
+            if i not in cuts:
+                if len(cuts) >= KEPT_TEXTS:
+                    cuts.clear()
+                s = shingles(text.as_py())
+                if len(s) > KEPT_SHINGLES:
+                    return s
+                cuts[i] = s
+            return cuts[i]
+
         for b in batches:
             rows: list[tuple] = []
             for x, y, xt, yt in zip(*(b.column(k).to_pylist() for k in range(2)), b.column(2), b.column(3)):
-                if y != last:
-                    last, cut = y, shingles(yt.as_py())
-                for x_start, x_end, y_start, y_end in similar_ranges(shingles(xt.as_py()), cut):
+                for x_start, x_end, y_start, y_end in similar_ranges(cut(x, xt), cut(y, yt)):
                     rows.append((x, y, x_start, x_end + WORDS - 1, y_start, y_end + WORDS - 1))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
