@@ -15,8 +15,14 @@ from lorekeep.sources import dumps
 from lorekeep.streaming import stream
 
 
+SEEN = """<img src="/i/{0}.png" srcset="https://cdn.example/a.png 1x, https://cdn.example/b.png 2x"><video poster="/p.jpg"></video><p style="background: url('/bg.png')"><img src="data:x"><a href="/no.png">"""
+
+
 def visual_inventory(spark, sf_dir):
-    return html.visual_inventory(A.read(spark, sf_dir, "pages"))
+    """Visual references of pages that each got an image, a set of images, a poster and a background."""
+    first, last = SEEN.split("{0}")
+    seen = F.concat("html", F.lit(first), F.col("page_id").cast("string"), F.lit(last))
+    return html.visual_inventory(A.read(spark, sf_dir, "pages").select("page_id", "url", seen.alias("html")))
 
 
 def extracted_blocks(spark, sf_dir):
@@ -102,6 +108,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "visual_inventory": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host FROM pages)
+        SELECT page_id, 'image' AS kind, host || '/i/' || page_id || '.png' AS url FROM p
+        UNION ALL SELECT page_id, k, host || u FROM p, (VALUES ('poster', '/p.jpg'), ('css', '/bg.png')) v(k, u)
+        UNION ALL SELECT page_id, 'srcset', 'https://cdn.example/' || u FROM p, (VALUES ('a.png'), ('b.png')) v(u)""",
     "topic_digest": f"""WITH {A.GRAPH} SELECT name, sha256(encode('topic/v1') || unhex(lpad(to_hex(count(DISTINCT page_id)), 16, '0'))
         || unhex(string_agg(DISTINCT lpad(to_hex(page_id), 16, '0'), '' ORDER BY lpad(to_hex(page_id), 16, '0')))) AS digest FROM members GROUP BY 1""",
     "page_hosts": r"""SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host,
