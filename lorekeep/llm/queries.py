@@ -13,12 +13,15 @@ from lorekeep.llm import (
     compact_windows,
     covering_simhash,
     ftrl_langid,
+    hard_negatives,
     hilbert_ann,
     license_scan,
     line_dedup,
     nnls_packing,
     pivotal_mixing,
     pu_toxicity,
+    suffix_dedup,
+    vector_codes,
 )
 from lorekeep.llm.common import table
 from lorekeep.llm.sql import ORACLE_SQL
@@ -67,6 +70,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return left.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.embedded(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label))
+
+
+def op13_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(vector_codes.usable()).select("vec_id", "label", vector_codes.whole().alias("v"))
+    coded, books = vector_codes.compress(rows)
+    return vector_codes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nnls_packing,
         op9_source_mixing,
         op10_line_dedup,
+        op11_suffix_dedup,
+        op12_hard_negatives,
+        op13_exponion_codes,
     )
 }
 

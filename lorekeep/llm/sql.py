@@ -94,3 +94,93 @@ def _lines_sql() -> str:
 
 
 ORACLE_SQL["op10_line_dedup"] = _lines_sql()
+
+
+ORACLE_SQL["op11_suffix_dedup"] = r"""
+    WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS code FROM documents),
+    sized AS (SELECT *, (length(code) // 2)::bigint AS n_bytes FROM texts),
+    parts AS (
+        SELECT doc_id, n_bytes, o, substr(code, 2 * o + 1, 2 * (1000 + 99)) AS part
+        FROM (SELECT *, unnest(range(0, greatest(n_bytes - 99, 0), 1000)) AS o FROM sized)),
+    strings AS (
+        SELECT doc_id, o + k AS start, substr(part, 2 * k + 1, 200) AS string
+        FROM (SELECT *, unnest(range(0, least(1000, n_bytes - 99 - o))) AS k FROM parts)),
+    numbered AS (SELECT *, coalesce(doc_id, 9223372036854775807::hugeint + 1) * 4294967296::hugeint + start AS place FROM strings),
+    earliest AS (SELECT string, min(place) AS first, count(*) AS n FROM numbered GROUP BY 1 HAVING count(*) > 1),
+    repeats AS (SELECT doc_id, start FROM numbered JOIN earliest USING (string) WHERE place > first),
+    runs AS (
+        SELECT doc_id, start, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <= 100 THEN 0 ELSE 1 END AS new FROM repeats),
+    spans AS (
+        SELECT doc_id, min(start) AS a, max(start) + 100 AS b
+        FROM (SELECT doc_id, start, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM runs) GROUP BY doc_id, run),
+    gone AS (SELECT doc_id, sum(b - a)::bigint AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos FROM spans GROUP BY 1)
+    SELECT s.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(CASE WHEN n_spans IS NULL THEN code ELSE list_aggregate(list_transform(
+               range(1, n_spans + 2),
+               lambda i: substr(code, (2 * CASE WHEN i = 1 THEN 0 ELSE tos[i - 1] END + 1)::bigint,
+                           (2 * (CASE WHEN i > n_spans THEN n_bytes ELSE froms[i] END - CASE WHEN i = 1 THEN 0 ELSE tos[i - 1] END))::bigint)
+           ), 'string_agg', '') END)) AS kept_sha256
+    FROM sized s LEFT JOIN gone ON gone.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+ORACLE_SQL["op12_hard_negatives"] = r"""
+    WITH good AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_dot_product(a.v, b.v)::bigint AS score
+        FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+        SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER w)::int AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY rank <= 10
+"""
+
+
+def _codes_sql() -> str:
+    """Two rounds of assignment and means in SQL, then the codes."""
+    from lorekeep.llm import vector_codes as V
+
+    def assign(book: str) -> str:
+        return f"""
+            SELECT vec_id, label, part, arg_min(entry, d * 1000 + entry) AS entry, min(d)::bigint AS d
+            FROM (SELECT p.vec_id, p.label, p.part, b.entry,
+                         list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d
+                  FROM cut p JOIN {book} b USING (part)) GROUP BY ALL"""
+
+    steps = []
+    for r in range(V.ROUNDS):
+        steps.append(f"assigned{r} AS ({assign(f'book{r}')})")
+        steps.append(f"""means{r} AS (
+            SELECT part, entry, list(m ORDER BY spot) AS v
+            FROM (SELECT c.part, a.entry, i AS spot, floor(sum(c.v[i]) / count(*))::bigint AS m
+                  FROM cut c JOIN assigned{r} a USING (vec_id, part), range(1, width + 1) t(i) GROUP BY ALL) GROUP BY 1, 2)""")
+        steps.append(f"book{r + 1} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m USING (part, entry))")
+    last = f"book{V.ROUNDS}"
+    return f"""
+        WITH good AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor({V.SCALE} * x::double)::bigint) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        cut AS (
+            SELECT vec_id, label, part, v[part * len(v) // {V.PARTS} + 1 : (part + 1) * len(v) // {V.PARTS}] AS v, len(v) // {V.PARTS} AS width
+            FROM good, range({V.PARTS}) t(part)),
+        book0 AS (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v
+            FROM cut QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {V.ENTRIES}),
+        {', '.join(steps)},
+        final AS ({assign(last)}),
+        coded AS (
+            SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM final GROUP BY 1, 2),
+        digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {last})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM coded, digest
+    """
+
+
+ORACLE_SQL["op13_exponion_codes"] = _codes_sql()
