@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +92,38 @@ def manifest_faults(objects: DataFrame) -> DataFrame:
 def member_receipts(ids: DataFrame) -> DataFrame:
     """(member, pages, first, last, increasing, digest): what was observed of each member (member, seq, id).
 
-    The digest is of the ids' sum and the count, so that it needs no order; order is told by ``increasing``.
+    ``digest`` is the SHA-256 of the member's ids as lines, by ``seq`` and id. A digest of an order has to see it: a
+    member's ids pass through one task, which keeps one hash and no rows. ``increasing`` says whether each id was
+    greater than the one before.
     """
-    from lorekeep.operators.audit import not_increasing
 
-    off = not_increasing(ids, "member", ["seq"], "id").groupBy("member").agg(F.count(F.lit(1)).alias("off"))
-    seen = ids.groupBy("member").agg(
-        F.count(F.lit(1)).alias("pages"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum(F.col("id").cast("decimal(38,0)")).alias("total")
-    )
-    digest = F.sha2(F.concat_ws(":", F.col("pages").cast("string"), F.col("total").cast("string")), 256)
-    return seen.join(off, "member", "left").select("member", "pages", "first", "last", F.col("off").isNull().alias("increasing"), digest.alias("digest"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, None
+
+        def told() -> pa.RecordBatch:
+            pages, first, last, rising, _, digest = seen
+            return pa.RecordBatch.from_pylist([{"member": now, "pages": pages, "first": first, "last": last, "increasing": rising, "digest": digest.hexdigest()}], schema)
+
+        for b in batches:
+            schema = pa.schema([("member", b.schema.field(0).type), ("pages", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("increasing", pa.bool_()), ("digest", pa.string())])
+            member, id_ = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for m, i in zip(member, id_, strict=True):
+                if seen is None or m != now:
+                    if seen is not None:
+                        yield told()
+                    now, seen = m, [0, i, i, True, None, hashlib.sha256()]
+                seen[0] += 1
+                seen[1], seen[2] = min(seen[1], i), max(seen[2], i)
+                seen[3] = seen[3] and (seen[4] is None or i > seen[4])
+                seen[4] = i
+                seen[5].update(b"%d\n" % i)
+        if seen is not None:
+            yield told()
+
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = ids.schema["member"].dataType.simpleString()
+    ordered = ids.where("id is not null").repartition(n, "member").sortWithinPartitions("member", "seq", "id").select("member", F.col("id").cast("long").alias("id"))
+    return ordered.mapInArrow(run, f"member {kind}, pages long, first long, last long, increasing boolean, digest string")
 
 
 SUITE = "schema_version INT, cases ARRAY<STRUCT<id: BIGINT, query: STRING, relevant: ARRAY<STRING>>>"

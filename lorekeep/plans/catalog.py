@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.plans import (
+    dump_queries,
     feed_queries,
     graph_state_queries,
     grounding_queries,
@@ -17,7 +18,7 @@ from lorekeep.plans import (
     validity_queries,
 )
 
-_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries)
+_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries, dump_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -89,7 +89,7 @@ def report_lines(spark, sf_dir):
 
 def revision_scan(spark, sf_dir):
     """Revision records of documents as JSON lines, parsed and checked: schema, digest, time and order."""
-    d = A.read(spark, sf_dir, "documents").where("doc_id < 1000000")
+    d = A.read(spark, sf_dir, "documents")
     record = F.struct(
         F.lit(1).alias("schema_version"), F.lit("enwiki").alias("project"), F.lit("2026-11-01").alias("generation_id"), (F.col("doc_id") + 1).alias("page_id"),
         F.lit(0).alias("namespace"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") + 5).alias("revision_id"),
@@ -330,7 +330,7 @@ ORACLE_SQL = {
     "census_round_trip": "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45",
     "object_store": "SELECT sha256(text)[1:1] AS digit, count(*) AS objects, sum(strlen(text)) AS bytes FROM (SELECT DISTINCT text FROM documents) GROUP BY 1",
     "report_lines": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","note":' || CASE WHEN n_nationkey % 2 = 0 THEN '"even"' ELSE 'null' END || '}' AS value FROM nation""",
-    "revision_scan": "SELECT doc_id + 1 AS page_id, doc_id + 5 AS revision_id, strlen(text) AS bytes FROM documents WHERE doc_id < 1000000",
+    "revision_scan": "SELECT doc_id + 1 AS page_id, doc_id + 5 AS revision_id, strlen(text) AS bytes FROM documents",
     "revision_replies": """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 6 = 0 AND p_partkey > 0 THEN p_name END AS title, CASE WHEN p_partkey % 6 = 0 AND p_partkey > 0 THEN p_partkey + 7 END AS revision_id,
         CASE WHEN p_partkey % 6 = 0 AND p_partkey > 0 THEN '2026-10-01T02:03:04Z' END AS timestamp,
         CASE WHEN p_partkey <= 0 THEN 'InvalidIdentity' ELSE [NULL, 'RedirectNeedsResolution', 'InvalidIdentity', 'MissingPage', 'InvalidResponse', 'InvalidResponse'][p_partkey % 6 + 1] END AS fault FROM part""",

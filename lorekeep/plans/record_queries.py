@@ -114,8 +114,8 @@ ORACLE_SQL = {
             count(*) FILTER (p_partkey % 101 = 0) AS unsafe, count(*) FILTER (p_partkey % 67 = 0) AS unsized, count(*) FILTER (p_partkey % 71 = 0) AS untyped FROM part GROUP BY 1),
         f AS (SELECT pack_id, CASE WHEN unsafe > 0 THEN 'UnsafePath' WHEN paths < n THEN 'DuplicatePath' WHEN unsized > 0 THEN 'InvalidSize' WHEN untyped > 0 THEN 'InvalidType' END AS fault FROM e)
         SELECT * FROM f WHERE fault IS NOT NULL""",
-    "member_receipts": """WITH r AS (SELECT l_suppkey AS member, l_orderkey AS id, lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS before FROM lineitem)
-        SELECT member, count(*) AS pages, min(id) AS first, max(id) AS last, count(*) FILTER (id <= before) = 0 AS increasing, sha256(count(*) || ':' || sum(id)) AS digest FROM r GROUP BY 1""",
+    "member_receipts": """WITH r AS (SELECT l_suppkey AS member, l_orderkey AS id, l_orderkey * 10 + l_linenumber AS seq, lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS before FROM lineitem)
+        SELECT member, count(*) AS pages, min(id) AS first, max(id) AS last, count(*) FILTER (id <= before) = 0 AS increasing, sha256(string_agg(id || chr(10), '' ORDER BY seq, id)) AS digest FROM r GROUP BY 1""",
     "suite_cases": """WITH s AS (SELECT item_id AS suite, item_id % 7 AS k FROM benchmark)
         SELECT suite, 1 AS case_id, 'q' || suite AS query, 2 AS relevant, NULL AS fault FROM s WHERE k IN (0, 4)
         UNION ALL SELECT suite, 2, 'x', 0, NULL FROM s WHERE k = 4
