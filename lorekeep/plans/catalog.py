@@ -15,11 +15,12 @@ from lorekeep.plans import (
     part_queries,
     record_queries,
     relational_queries,
+    review_queries,
     search_queries,
     validity_queries,
 )
 
-_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries, dump_queries, part_queries)
+_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries, dump_queries, part_queries, review_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
