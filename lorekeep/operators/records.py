@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
@@ -55,21 +55,47 @@ def redirect_fault(source: Column, target: Column) -> Column:
     )
 
 
-def generation_faults(generations: DataFrame) -> DataFrame:
-    """(generation_id, fault) of source generations (generation_id, project, member, sha256, size) that are not valid.
+#: Files of a source generation and their bytes, names that are safe everywhere, names of devices.
+MOST_FILES = 10_000
+MOST_GENERATION_BYTES = 1 << 50
+SAFE_NAME = "^[A-Za-z0-9_-]([A-Za-z0-9._-]{0,253}[A-Za-z0-9_-])?$"
+DEVICE_NAME = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
 
-    A generation is a day, of one project, with members of distinct names, digests and sizes.
+
+def safe_name(name: Column) -> Column:
+    """A name of at most 255 plain bytes that begins and ends without a dot and is no device's, whatever its extension."""
+    return F.coalesce(name.rlike(SAFE_NAME) & ~name.rlike(DEVICE_NAME), F.lit(False))
+
+
+def generation_faults(generations: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, generation_id, fault, file) of source generations that are not valid.
+
+    ``generations`` has (project, generation_id, completed), ``files`` (project, generation_id, position, name, sha256,
+    bytes). A generation breaks at most one rule: of its own, in the order below, or else the first of its files in their
+    order. ``file`` names that file: too many bytes so far, an unsafe name, a bad digest, no bytes, or a name that an
+    earlier file has in whatever case.
     """
-    each = generations.groupBy("generation_id").agg(
-        F.countDistinct("project").alias("projects"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.lower("member")).alias("names"),
-        F.sum((~F.coalesce(F.col("sha256").rlike(DIGEST), F.lit(False))).cast("long")).alias("undigested"),
-        F.sum((~F.coalesce(F.col("size") > 0, F.lit(False))).cast("long")).alias("empty"),
+    key = ["project", "generation_id"]
+    so_far = Window.partitionBy(*key).orderBy("position")
+    placed = files.withColumns(
+        {
+            "total": F.sum(F.coalesce("bytes", F.lit(0)).cast("decimal(38,0)")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)),
+            "turn": F.row_number().over(Window.partitionBy(*key, F.lower("name")).orderBy("position")),
+        }
+    )
+    good = safe_name(F.col("name")) & F.coalesce(F.col("sha256").rlike("^[0-9A-Fa-f]{64}$") & (F.col("bytes") > 0), F.lit(False))
+    bad = placed.select(
+        *key, "position", "name",
+        first_fault((F.col("total") > MOST_GENERATION_BYTES, "ResourceBudget"), (~good, "InvalidFile"), (F.col("turn") > 1, "DuplicateFile")).alias("code"),
     )
-    fault = first_fault(
-        (~V.valid_dump_date("generation_id"), "InvalidDate"), (F.col("projects") != 1, "MixedProjects"), (F.col("names") < F.col("n"), "DuplicateMember"),
-        (F.col("undigested") > 0, "InvalidDigest"), (F.col("empty") > 0, "EmptyMember"),
+    each = bad.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("code").isNotNull(), F.struct("position", "code", "name"))).alias("first"))
+    told = generations.join(each, key, "left")
+    own = first_fault(
+        (~F.coalesce(F.col("project").rlike("^[a-z]([a-z0-9_]{0,253}[a-z0-9])?$"), F.lit(False)), "InvalidProject"), (~safe_name(F.col("generation_id")), "MissingGeneration"),
+        (~F.coalesce("completed", F.lit(False)), "Incomplete"), (F.col("n").isNull(), "EmptyFileSet"), (F.col("n") > MOST_FILES, "ResourceBudget"),
     )
-    return each.select("generation_id", fault.alias("fault")).where("fault is not null")
+    file = F.when(own.isNull() & (F.col("first.code") != "ResourceBudget"), F.col("first.name"))
+    return told.select(*key, F.coalesce(own, F.col("first.code")).alias("fault"), file.alias("file")).where("fault is not null")
 
 
 def manifest_faults(objects: DataFrame) -> DataFrame:

@@ -33,13 +33,21 @@ def redirect_faults(spark, sf_dir):
 
 
 def generation_faults(spark, sf_dir):
-    """Source generations with a bad day, mixed projects, a member twice, a bad digest or an empty member: orders by day."""
-    o = A.read(spark, sf_dir, "orders")
-    day = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_custkey") % 32).cast("string"), 2, "0"))
-    return records.generation_faults(o.select(
-        day.alias("generation_id"), F.when(F.col("o_orderkey") % 97 == 0, "frwiki").otherwise("enwiki").alias("project"), (F.col("o_orderkey") % 1000).cast("string").alias("member"),
-        F.when(F.col("o_orderkey") % 89 == 0, F.lit("x")).otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("sha256"), (F.col("o_orderkey") % 83).alias("size"),
-    ))
+    """Orders as files of source generations, one a month: bad ids and projects, unfinished and empty ones, and files that break a rule."""
+    o = A.read(spark, sf_dir, "orders").withColumn("month", F.month("o_orderdate"))
+    name = F.when(F.col("month") == 2, ".x").when(F.col("month") == 3, "nul.x").otherwise("d")
+    keyed = o.select(
+        F.when(F.col("month") == 5, "_wiki").otherwise("enwiki").alias("project"), F.concat(name, F.date_format("o_orderdate", "yyyyMM")).alias("generation_id"), "month", "o_orderkey", "o_custkey"
+    )
+    generations = keyed.select("project", "generation_id", (F.col("month") != 4).alias("completed")).distinct()
+    k = F.col("o_orderkey")
+    files = keyed.where("month <> 6").select(
+        "project", "generation_id", k.alias("position"),
+        F.when((F.col("month") == 7) & (k % 50 == 3), F.concat(F.lit("a/"), k.cast("string"))).when((F.col("month") == 8) & (k % 40 == 1), F.when(k % 80 == 1, "Same").otherwise("same")).otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("name"),
+        F.when((F.col("month") == 9) & (k % 30 == 2), "x").otherwise(F.sha2(k.cast("string"), 256)).alias("sha256"),
+        F.when(F.col("month") == 10, F.lit(1 << 44)).when((F.col("month") == 11) & (k % 60 == 5), 0).otherwise(k).alias("bytes"),
+    )
+    return records.generation_faults(generations, files)
 
 
 def manifest_faults(spark, sf_dir):
@@ -105,11 +113,16 @@ ORACLE_SQL = {
     "redirect_faults": f"""SELECT p_partkey, CASE WHEN s = '' OR trim(s) <> s THEN 'InvalidSource' WHEN t = '' OR trim(t) <> t THEN 'InvalidTarget'
             WHEN upper(replace(s, '_', ' ')[1]) || replace(s, '_', ' ')[2:] = upper(replace(t, '_', ' ')[1]) || replace(t, '_', ' ')[2:] THEN 'SelfRedirect' END AS fault
         FROM (SELECT p_partkey, {SOURCE} AS s, {TARGET} AS t FROM part)""",
-    "generation_faults": """WITH g AS (SELECT strftime(o_orderdate, '%Y-%m-') || lpad((o_custkey % 32)::varchar, 2, '0') AS generation_id, o_orderkey AS k FROM orders),
-        e AS (SELECT generation_id, count(DISTINCT k % 97 = 0) AS projects, count(*) AS n, count(DISTINCT k % 1000) AS names, count(*) FILTER (k % 89 = 0) AS bad, count(*) FILTER (k % 83 = 0) AS empty FROM g GROUP BY 1),
-        f AS (SELECT generation_id, CASE WHEN try_cast(generation_id AS date) IS NULL THEN 'InvalidDate' WHEN projects <> 1 THEN 'MixedProjects' WHEN names < n THEN 'DuplicateMember'
-            WHEN bad > 0 THEN 'InvalidDigest' WHEN empty > 0 THEN 'EmptyMember' END AS fault FROM e)
-        SELECT * FROM f WHERE fault IS NOT NULL""",
+    "generation_faults": r"""WITH o AS (SELECT CASE WHEN month(o_orderdate) = 5 THEN '_wiki' ELSE 'enwiki' END AS project,
+            CASE month(o_orderdate) WHEN 2 THEN '.x' WHEN 3 THEN 'nul.x' ELSE 'd' END || strftime(o_orderdate, '%Y%m') AS generation_id, month(o_orderdate) AS month, o_orderkey AS k FROM orders),
+        files AS (SELECT *, CASE WHEN month = 7 AND k % 50 = 3 THEN 'a/' || k WHEN month = 8 AND k % 40 = 1 THEN CASE WHEN k % 80 = 1 THEN 'Same' ELSE 'same' END ELSE 'f' || k END AS name,
+            CASE WHEN month = 10 THEN 17592186044416 WHEN month = 11 AND k % 60 = 5 THEN 0 ELSE k END AS bytes FROM o WHERE month <> 6),
+        seen AS (SELECT *, sum(bytes) OVER (PARTITION BY generation_id ORDER BY k) > 1125899906842624 AS much,
+            name LIKE 'a/%' OR bytes = 0 OR (month = 9 AND k % 30 = 2) AS bad, row_number() OVER (PARTITION BY generation_id, lower(name) ORDER BY k) > 1 AS again FROM files),
+        firsts AS (SELECT generation_id, arg_min(CASE WHEN much THEN 'ResourceBudget' WHEN bad THEN 'InvalidFile' ELSE 'DuplicateFile' END, k) AS code, arg_min(name, k) AS name FROM seen WHERE much OR bad OR again GROUP BY 1),
+        told AS (SELECT DISTINCT project, generation_id, CASE month WHEN 5 THEN 'InvalidProject' WHEN 2 THEN 'MissingGeneration' WHEN 3 THEN NULL WHEN 4 THEN 'Incomplete' WHEN 6 THEN 'EmptyFileSet' END AS own, month FROM o)
+        SELECT project, generation_id, coalesce(CASE WHEN month = 3 THEN 'MissingGeneration' ELSE own END, code) AS fault, CASE WHEN own IS NULL AND month <> 3 AND code <> 'ResourceBudget' THEN name END AS file
+        FROM told LEFT JOIN firsts USING (generation_id) WHERE own IS NOT NULL OR month = 3 OR code IS NOT NULL""",
     "manifest_faults": """WITH e AS (SELECT p_size AS pack_id, count(*) AS n, count(DISTINCT CASE WHEN p_partkey % 101 = 0 THEN -1 ELSE p_partkey % 40 END) AS paths,
             count(*) FILTER (p_partkey % 101 = 0) AS unsafe, count(*) FILTER (p_partkey % 67 = 0) AS unsized, count(*) FILTER (p_partkey % 71 = 0) AS untyped FROM part GROUP BY 1),
         f AS (SELECT pack_id, CASE WHEN unsafe > 0 THEN 'UnsafePath' WHEN paths < n THEN 'DuplicatePath' WHEN unsized > 0 THEN 'InvalidSize' WHEN untyped > 0 THEN 'InvalidType' END AS fault FROM e)
