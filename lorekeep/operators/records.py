@@ -99,7 +99,14 @@ def generation_faults(generations: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def manifest_faults(objects: DataFrame) -> DataFrame:
-    """(pack_id, fault) of manifests whose objects (pack_id, path, sha256, size, mime) break a rule; one row a manifest."""
+    """(pack_id, fault) of manifests whose objects (pack_id, path, sha256, size, mime) break a rule; one row a manifest.
+
+    Paths repeat if they, or folders above them, differ by case only, in lower or in upper case: ``A/x`` beside ``a/y``.
+    """
+    parts = F.split("path", "/")
+    prefixes = objects.select("pack_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("prefix")).distinct()
+    clashes = [prefixes.groupBy("pack_id", fold("prefix").alias("folded")).count().where("count > 1").select("pack_id") for fold in (F.lower, F.upper)]
+    clash = clashes[0].unionByName(clashes[1]).distinct().withColumn("clash", F.lit(True))
     safe = ~F.coalesce(F.col("path").startswith("/") | F.col("path").contains("\\") | F.exists(F.split("path", "/"), lambda p: p.isin("", ".", "..")), F.lit(True))
     each = objects.groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(F.lower("path")).alias("paths"),
@@ -107,9 +114,9 @@ def manifest_faults(objects: DataFrame) -> DataFrame:
             F.sum((~F.coalesce(ok, F.lit(False))).cast("long")).alias(name)
             for name, ok in (("unsafe", safe), ("undigested", F.col("sha256").rlike(DIGEST)), ("unsized", F.col("size") > 0), ("untyped", V.valid_mime("mime")))
         ),
-    )
+    ).join(clash, "pack_id", "left")
     fault = first_fault(
-        (F.col("n") > MOST_OBJECTS, "TooManyObjects"), (F.col("unsafe") > 0, "UnsafePath"), (F.col("paths") < F.col("n"), "DuplicatePath"),
+        (F.col("n") > MOST_OBJECTS, "TooManyObjects"), (F.col("unsafe") > 0, "UnsafePath"), ((F.col("paths") < F.col("n")) | F.coalesce("clash", F.lit(False)), "DuplicatePath"),
         (F.col("undigested") > 0, "InvalidDigest"), (F.col("unsized") > 0, "InvalidSize"), (F.col("untyped") > 0, "InvalidType"),
     )
     return each.select("pack_id", fault.alias("fault")).where("fault is not null")

@@ -1,4 +1,4 @@
-"""Source generations: the first rule that each breaks."""
+"""Source generations and manifests: the first rule that each breaks."""
 
 from lorekeep.operators import records
 
@@ -23,3 +23,10 @@ def test_generations(spark):
     files = spark.createDataFrame([(p, g, k, *f) for p, g, _, files, _ in CASES.values() for k, f in enumerate(files)], "project string, generation_id string, position int, name string, sha256 string, bytes long")
     got = {known[r.project, r.generation_id]: (r.fault, r.file) for r in records.generation_faults(generations, files).collect()}
     assert got == {name: c[4] for name, c in CASES.items() if c[4]}
+
+
+def test_manifest_paths_that_differ_by_case(spark):
+    packs = {1: ["A/x", "a/y"], 2: ["a/x", "a/y"], 3: ["a/x", "a/X"], 4: ["\u03c3/x", "\u03c2/y"], 5: ["a/x", "a/x"], 6: ["a", "b/a"]}
+    rows = [(k, p, D, 1, "image/png") for k, paths in packs.items() for p in paths]
+    got = records.manifest_faults(spark.createDataFrame(rows, "pack_id long, path string, sha256 string, size long, mime string")).collect()
+    assert {r.pack_id: r.fault for r in got} == dict.fromkeys((1, 3, 4, 5), "DuplicatePath")
