@@ -1,11 +1,12 @@
 """License scans by a positional rare-token index. DataFrame functions only.
 
 The index holds the telling words of licence notices with their places. The corpus
-gives each word its IDF. A notice is looked up by its anchor, the highest-IDF word of
-its mandatory phrase. All licence words of a file vote for (notice, place of its
-phrase in the file); a place counts if the notice's own anchor and every word of its
-phrase voted for it, and if the words that did carry enough of the notice's IDF. That
-part of the IDF is the score.
+gives each word its IDF. A notice stands under its anchor, the highest-IDF word of its
+mandatory phrase: no file has the notice without that word, so only a file's words that
+are anchors are looked up. Each puts the notices under it at one place of the file. There
+the notice's postings are intersected with the file's licence words around the anchor, by
+relative position; the phrase has to be whole, and the words that match have to carry
+enough of the notice's IDF. That part of the IDF is the score.
 """
 
 from __future__ import annotations
@@ -81,6 +82,21 @@ def _postings(templates=TEMPLATES) -> list[tuple[int, str, str, int, bool]]:
     return rows
 
 
+def _notices(postings: list[tuple[int, str, str, int, bool]], weight: dict[str, int]) -> list[tuple]:
+    """(anchor, its place, label, IDF of all words, words of the phrase, postings) of each notice.
+
+    The anchor is the phrase's word of the highest IDF; ties go to the first by name, then by place.
+    """
+    notices = []
+    for number in sorted({p[0] for p in postings}):
+        own = [p[1:] for p in postings if p[0] == number]
+        _, anchor, anchor_at = min((-weight[w], w, at) for w, _, at, inside in own if inside)
+        posts = [(w, at, weight[w], inside) for w, _, at, inside in own]
+        whole, length = sum(p[2] for p in posts), sum(p[3] for p in posts)
+        notices.append((anchor, anchor_at, own[0][1], whole, length, posts))
+    return notices
+
+
 def _words(text_col: str) -> Column:
     upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
     return F.regexp_extract_all(F.translate(text_or_empty(text_col), upper, upper.lower()), F.lit(WORD), F.lit(0))
@@ -135,32 +151,38 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, gate: flo
     seen = dict(  # a row for each word of the index at most
         files.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1))).collect()
     )
-    idf = {w: 1 + math.log((1 + total) / (1 + seen.get(w, 0))) for _, w, *_ in postings}
-    weight = {w: round(v * UNIT) for w, v in idf.items()}
-    anchor, whole, length = {}, {}, {}
-    for number, w, _, at, inside in postings:
-        whole[number] = whole.get(number, 0) + weight[w]
-        length[number] = length.get(number, 0) + inside
-        if inside:
-            anchor[number] = min(anchor.get(number, (0, "", 0)), (-weight[w], w, at))
-
-    index = F.broadcast(  # one row for each telling word of each notice: fixed, whatever the corpus
+    weight = {w: round((1 + math.log((1 + total) / (1 + seen.get(w, 0)))) * UNIT) for _, w, *_ in postings}
+    index = _notices(postings, weight)
+    anchors = sorted({n[0] for n in index})
+    reach = max(abs(at - n[1]) for n in index for _, at, *_ in n[5])
+    notices = F.broadcast(  # one row for each notice: fixed, whatever the corpus
         spark.createDataFrame(
-            [
-                (number, w, label, at, weight[w], int(inside), int(anchor[number][1:] == (w, at)), whole[number], length[number])
-                for number, w, label, at, inside in postings
-            ],
-            "number int, word string, label string, at int, weight long, inside int, is_anchor int, whole long, length int",
+            index,
+            "anchor string, anchor_at int, label string, whole long, length int, "
+            "posts array<struct<word: string, at: int, weight: long, inside: boolean>>",
         )
     )
-    anchors = sorted({w for _, w, _ in anchor.values()})
+
+    def rare(h: Column, j: Column) -> Column:
+        # hits are in order of place, so all within reach are among as many hits before and after
+        first = F.greatest(j - reach, F.lit(0))
+        near = F.slice("hits", first + 1, j - first + reach + 1)
+        pairs = F.transform(near, lambda x: F.struct((x["place"] - h["place"]).alias("at"), x["word"].alias("word")))
+        return F.when(h["word"].isin(anchors), F.struct(h["word"].alias("word"), pairs.alias("near")))
+
+    looked_up = files.select("row", F.explode(F.filter(F.transform("hits", rare), lambda r: r.isNotNull())).alias("rare"))
+    shared = F.filter(
+        "posts",
+        lambda p: F.array_contains(
+            F.col("rare.near"), F.struct((p["at"] - F.col("anchor_at")).alias("at"), p["word"].alias("word"))
+        ),
+    )
     votes = (
-        files.where(F.arrays_overlap(words, F.array(*map(F.lit, anchors))))
-        .select("row", F.explode("hits").alias("hit"))
-        .join(index, F.col("hit.word") == F.col("word"))
-        .groupBy("row", "number", "label", (F.col("hit.place") - F.col("at")).alias("start"), "whole", "length")
-        .agg(F.sum("weight").alias("matched"), F.sum("inside").alias("inside"), F.max("is_anchor").alias("anchored"))
-        .where((F.col("anchored") == 1) & (F.col("inside") == F.col("length")) & (F.col("matched") >= gate * F.col("whole")))
+        looked_up.join(notices, F.col("rare.word") == F.col("anchor"))
+        .select("row", "label", "whole", "length", shared.alias("shared"))
+        .where(F.size(F.filter("shared", lambda p: p["inside"])) == F.col("length"))
+        .withColumn("matched", F.aggregate("shared", F.lit(0).cast("long"), lambda n, p: n + p["weight"]))
+        .where(F.col("matched") >= gate * F.col("whole"))
     )
     verified = votes.groupBy("row").agg(
         F.collect_set("label").alias("own"), F.max(F.col("matched") / F.col("whole")).alias("score")

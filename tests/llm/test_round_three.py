@@ -1,13 +1,15 @@
-"""Suffix sorting, distance keys and exponion search against brute force, and on odd rows."""
+"""Suffix sorting, distance keys, exponion search and licence look-up against brute force, and on odd rows."""
 
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import hard_negatives, suffix_dedup, vector_codes
+from lorekeep.llm import hard_negatives, license_scan, suffix_dedup, vector_codes
 
 # Removal of repeated strings
 
@@ -239,3 +241,48 @@ def test_codes_odd_rows(spark):
     assert none.collect() == [] and vector_codes.digest(books) == hashlib.sha256(b"").hexdigest()
     odd, _ = vector_codes.compress(made, 3, 64)
     assert all(r.code is None for r in odd.collect())
+
+
+# Licences
+
+
+def _notices_by_hand(texts, gate=license_scan.GATE):
+    """Labels and best share of each text: every notice tried at every place of every text."""
+    split = [re.findall(license_scan.WORD, t.lower()) for t in texts]
+    postings = license_scan._postings()
+    seen = {w: sum(w in set(words) for words in split) for _, w, *_ in postings}
+    weight = {w: round((1 + math.log((1 + len(texts)) / (1 + n))) * license_scan.UNIT) for w, n in seen.items()}
+    found = []
+    for words in split:
+        labels, best = set(), 0.0
+        for number in {p[0] for p in postings}:
+            own = [p for p in postings if p[0] == number]
+            whole = sum(weight[p[1]] for p in own)
+            for start in range(len(words)):
+                here = [p for p in own if 0 <= start + p[3] < len(words) and words[start + p[3]] == p[1]]
+                share = sum(weight[p[1]] for p in here) / whole
+                if share >= gate and sum(p[4] for p in here) == sum(p[4] for p in own):
+                    labels.add(own[0][2])
+                    best = max(best, share)
+        found.append((labels, best))
+    return found
+
+
+def test_licences_by_hand(spark):
+    """Rare-word look-up against every notice at every place, over broken, repeated and run-together notices."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            words = rng.choice(license_scan.TEMPLATES)[1].split()
+            a, b = sorted(rng.sample(range(len(words) + 1), 2)) if rng.random() < 0.5 else (0, len(words))
+            parts += [rng.choice(["the", "license", "x"]) if rng.random() < 0.1 else w for w in words[a:b]]
+            parts += rng.choices(["license", "gnu", "by", "plain", "words"], k=rng.randint(0, 40))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base, expected = {label for _, label in license_scan.BASE}, _notices_by_hand(texts)
+    for r in license_scan.scan(docs).collect():
+        labels, best = expected[r["doc_id"]]
+        own = set(filter(None, r["labels"].split(",")))
+        assert own - base == labels - base and labels <= own and r["score"] == pytest.approx(best)
