@@ -14,6 +14,7 @@ from lorekeep.plans import (
     html_stream_queries,
     part_queries,
     passage_queries,
+    preview_queries,
     record_queries,
     relational_queries,
     review_queries,
@@ -21,7 +22,7 @@ from lorekeep.plans import (
     validity_queries,
 )
 
-_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries, dump_queries, part_queries, review_queries, passage_queries)
+_FAMILIES = (search_queries, feed_queries, grounding_queries, relational_queries, validity_queries, record_queries, graph_state_queries, html_stream_queries, dump_queries, part_queries, review_queries, passage_queries, preview_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
