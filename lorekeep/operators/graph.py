@@ -183,6 +183,7 @@ MOST_LINKS = 1_000_000
 def expand_verified(
     base: DataFrame, mainspace: DataFrame, links: DataFrame, hops: int,
     exclude: DataFrame | None = None, max_new_pages: int | None = None, max_edges: int | None = None,
+    most_links: int | None = MOST_LINKS,
 ) -> DataFrame:
     """(page_id, revision_id, hop): ``related`` over links that belong to the revisions at hand.
 
@@ -193,7 +194,7 @@ def expand_verified(
     here = mainspace.select("page_id", F.col("revision_id").alias("now"))
     off = base.join(here, "page_id", "left").where("now is null or now <> revision_id")
     assert_none(off, "InconsistentBase", "page_id")
-    if links.limit(MOST_LINKS + 1).count() > MOST_LINKS:
+    if most_links is not None and links.limit(most_links + 1).count() > most_links:
         raise LorekeepError("TooManyCandidates")
     ends = links.select(F.col("from_id").alias("page_id")).unionByName(links.select(F.col("to_id").alias("page_id"))).distinct()
     assert_none(ends.join(here, "page_id", "left_anti"), "NotMainspace", "page_id")

@@ -38,6 +38,9 @@ class Rules:
     page_limit: int
     include: DataFrame
     exclude: DataFrame
+    #: Redirects and links that are accepted at all; None for any number.
+    most_identities: int | None = MOST_IDENTITIES
+    most_links: int | None = graph.MOST_LINKS
 
 
 def _source(pages: DataFrame) -> tuple[str, str]:
@@ -51,17 +54,17 @@ def _mainspace(pages: DataFrame) -> DataFrame:
     return pages.where("namespace = 0").select("page_id", "revision_id")
 
 
-def resolve_identities(identities: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_identities(identities: DataFrame, pages: DataFrame, most: int | None = MOST_IDENTITIES) -> DataFrame:
     """(from_id, to_id, hops): the mainspace page at which each redirect ends, of all redirects, used or not.
 
-    Codes, in the order they are looked for: TooMany, MixedSource, InvalidId,
+    Codes, in the order they are looked for: TooMany (over ``most``), MixedSource, InvalidId,
     ConflictsWithJoinedPage (a page of the generation redirects), DuplicateSource, Cycle (the
     smallest id that never ends), TooDeep (over 4096 hops), MissingMainspaceTarget. Each round
     of pointer jumping doubles the distance, so as many rounds as the number of redirects has
     binary digits end all chains; what moves on then is a cycle.
     """
-    n = identities.limit(MOST_IDENTITIES + 1).count()
-    if n > MOST_IDENTITIES:
+    n = identities.count()
+    if most is not None and n > most:
         raise LorekeepError("TooMany")
     project, generation = _source(pages)
     here = F.col("project").eqNullSafe(F.lit(project)) & F.col("generation").eqNullSafe(F.lit(generation))
@@ -109,7 +112,7 @@ def select_pinned(
     MissingCategory, TooManyPages.
     """
     mainspace = _mainspace(pages)
-    resolved = save(resolve_identities(identities, pages), "resolved")
+    resolved = save(resolve_identities(identities, pages, rules.most_identities), "resolved")
     known = mainspace.select("page_id").unionByName(resolved.select(F.col("from_id").alias("page_id")))
     named = rules.include.select("page_id").unionByName(rules.exclude.select("page_id"))
     assert_none(named.join(known, "page_id", "left_anti"), "NotMainspace", "page_id")
@@ -133,7 +136,7 @@ def select_related(
     """
     _, pinned, resolved = select_pinned(pages, categories, children, members, rules, identities)
     out = _canonical(rules.exclude, resolved)
-    reached = save(graph.expand_verified(pinned, _mainspace(pages), links, hops, out, max_new_pages, max_edges), "related-preview")
+    reached = save(graph.expand_verified(pinned, _mainspace(pages), links, hops, out, max_new_pages, max_edges, rules.most_links), "related-preview")
     if reached.limit(rules.page_limit + 1).count() > rules.page_limit:
         raise LorekeepError("TooManyPages")
     return reached

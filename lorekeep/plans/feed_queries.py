@@ -263,7 +263,7 @@ def verified_related(spark, sf_dir):
     ids = links.select(F.col("from_id").alias("page_id")).unionByName(links.select(F.col("to_id").alias("page_id"))).distinct()
     mainspace = ids.withColumn("revision_id", F.col("page_id") + 1000)
     base = mainspace.where("page_id IN (3, 5, 7)")
-    return graph.expand_verified(base, mainspace, links, 2, spark.createDataFrame([(9,)], "page_id long")).withColumn("hop", F.col("hop").cast("long"))
+    return graph.expand_verified(base, mainspace, links, 2, spark.createDataFrame([(9,)], "page_id long"), most_links=None).withColumn("hop", F.col("hop").cast("long"))
 
 
 def selection_receipt(spark, sf_dir):

@@ -34,7 +34,7 @@ def _topic(spark, sf_dir):
     named = part.where("p_size = 7").join(nation, key % 25 == F.col("n_nationkey"))
     members = members.unionByName(named.select(F.concat(F.lit("Category:"), "n_name").alias("name"), (key + BASE).alias("page_id")))
     asked = lambda size: part.where(F.col("p_size") == size).select((key + BASE).alias("page_id"))
-    return pages, categories, children, members, previews.Rules(ROOTS, DEPTH, LIMIT, asked(3), asked(50)), identities
+    return pages, categories, children, members, previews.Rules(ROOTS, DEPTH, LIMIT, asked(3), asked(50), None, None), identities
 
 
 def pinned_selection(spark, sf_dir):
@@ -45,13 +45,13 @@ def pinned_selection(spark, sf_dir):
 def redirect_identities(spark, sf_dir):
     """Where all redirects of the generation end."""
     pages, *_, identities = _topic(spark, sf_dir)
-    return previews.resolve_identities(identities, pages)
+    return previews.resolve_identities(identities, pages, None)
 
 
 def related_preview(spark, sf_dir):
     """The selection of one page and of redirects, and customers within two links, over links of the revisions at hand."""
     pages, categories, children, members, rules, identities = _topic(spark, sf_dir)
-    few = previews.Rules(ROOTS, 1, LIMIT, rules.include, rules.exclude)
+    few = previews.Rules(ROOTS, 1, LIMIT, rules.include, rules.exclude, None, None)
     orders = A.read(spark, sf_dir, "orders")
     n = F.broadcast(A.read(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("n")))  # one row
     links = orders.crossJoin(n).select(
