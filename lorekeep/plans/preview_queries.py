@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep.lineage import save
 from lorekeep.operators import graph, previews, worklist
 from lorekeep.plans import adapters as A
 
@@ -90,6 +91,7 @@ def reviewer_worklist(spark, sf_dir):
         F.col("lang").alias("project"), "source", (F.col("doc_id") + 1).alias("page_id"), F.coalesce("n_chars", F.lit(0).cast("long")).alias("revision_id")
     )
     sources = graph.ranked_sample(docs, 17, ["project", "source"], 3).select("project", "page_id", "revision_id").distinct()
+    sources = save(sources, "roster")  # it is read for its size, its digest, its faults and the list
     return worklist.assign_reviewers(sources, REVIEWERS, worklist.roster_digest(sources))
 
 
