@@ -149,7 +149,7 @@ def image_information(spark, sf_dir):
 
 def deletion_feed(spark, sf_dir):
     line = """concat('{"schema_version":1,"project":"enwiki","generation_id":"2026-11-01","page_id":', cast(s_suppkey + 1 as string), '}')"""
-    return feeds.deletions(A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), F.expr(line).alias("value")), "enwiki", "2026-11-01")
+    return feeds.deletions(A.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), F.expr(line).alias("value")), "enwiki", "2026-11-01", most=None)
 
 
 def _regular(spark, sf_dir):

@@ -98,10 +98,10 @@ def map_groups(replies: DataFrame) -> DataFrame:
 DELETION = "schema_version INT, project STRING, generation_id STRING, page_id BIGINT"
 
 
-def deletions(lines: DataFrame, project: str, generation: str) -> DataFrame:
+def deletions(lines: DataFrame, project: str, generation: str, most: int | None = MOST_TOMBSTONES) -> DataFrame:
     """(project, page_id, generation_id) of a deletion feed's lines (line, value): one project and generation, no page twice.
 
-    Lines end in a line feed alone; feeds are bounded by contract. Pin the file's digest with ``dumps.pinned``.
+    Lines end in a line feed alone; a feed of more than ``most`` is an error. Pin the file's digest with ``dumps.pinned``.
     """
     assert_rules(
         lines,
@@ -112,7 +112,7 @@ def deletions(lines: DataFrame, project: str, generation: str) -> DataFrame:
     own = (F.col("schema_version") == 1) & (F.col("project") == project) & (F.col("generation_id") == generation) & (F.col("page_id") > 0)
     assert_rules(rows, {"InvalidRecord": own}, "line")
     assert_none(duplicates(rows, ["page_id"]), "DuplicateRecord", "page_id")
-    if rows.limit(MOST_TOMBSTONES + 1).count() > MOST_TOMBSTONES:
+    if most is not None and rows.limit(most + 1).count() > most:
         raise LorekeepError("TooManyRecords")
     return rows.select("project", "page_id", "generation_id")
 

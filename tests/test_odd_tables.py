@@ -19,3 +19,7 @@ def held(spark, folder, name, **tables):
 
 def test_census_with_order_zero(spark, tmp_path):
     held(spark, tmp_path, "census_round_trip", lineitem="select range AS l_orderkey, 46.0 AS l_quantity from range(30)")
+
+
+def test_deletions_beyond_one_batch(spark, tmp_path):
+    assert held(spark, tmp_path, "deletion_feed", supplier="select range AS s_suppkey from range(10001)").count() == 10_001
