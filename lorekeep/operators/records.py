@@ -67,13 +67,13 @@ def safe_name(name: Column) -> Column:
     return F.coalesce(name.rlike(SAFE_NAME) & ~name.rlike(DEVICE_NAME), F.lit(False))
 
 
-def generation_faults(generations: DataFrame, files: DataFrame) -> DataFrame:
+def generation_faults(generations: DataFrame, files: DataFrame, most_files: int | None = MOST_FILES) -> DataFrame:
     """(project, generation_id, fault, file) of source generations that are not valid.
 
     ``generations`` has (project, generation_id, completed), ``files`` (project, generation_id, position, name, sha256,
     bytes). A generation breaks at most one rule: of its own, in the order below, or else the first of its files in their
     order. ``file`` names that file: too many bytes so far, an unsafe name, a bad digest, no bytes, or a name that an
-    earlier file has in whatever case.
+    earlier file has in whatever case. More than ``most_files`` files break a rule too.
     """
     key = ["project", "generation_id"]
     so_far = Window.partitionBy(*key).orderBy("position")
@@ -92,7 +92,7 @@ def generation_faults(generations: DataFrame, files: DataFrame) -> DataFrame:
     told = generations.join(each, key, "left")
     own = first_fault(
         (~F.coalesce(F.col("project").rlike("^[a-z]([a-z0-9_]{0,253}[a-z0-9])?$"), F.lit(False)), "InvalidProject"), (~safe_name(F.col("generation_id")), "MissingGeneration"),
-        (~F.coalesce("completed", F.lit(False)), "Incomplete"), (F.col("n").isNull(), "EmptyFileSet"), (F.col("n") > MOST_FILES, "ResourceBudget"),
+        (~F.coalesce("completed", F.lit(False)), "Incomplete"), (F.col("n").isNull(), "EmptyFileSet"), (F.lit(most_files is not None) & (F.col("n") > F.lit(most_files)), "ResourceBudget"),
     )
     file = F.when(own.isNull() & (F.col("first.code") != "ResourceBudget"), F.col("first.name"))
     return told.select(*key, F.coalesce(own, F.col("first.code")).alias("fault"), file.alias("file")).where("fault is not null")

@@ -23,3 +23,7 @@ def test_census_with_order_zero(spark, tmp_path):
 
 def test_deletions_beyond_one_batch(spark, tmp_path):
     assert held(spark, tmp_path, "deletion_feed", supplier="select range AS s_suppkey from range(10001)").count() == 10_001
+
+
+def test_generations_of_many_files(spark, tmp_path):
+    held(spark, tmp_path, "generation_faults", orders="select range AS o_orderkey, 1 AS o_custkey, timestamp '1998-08-01' + to_years((range % 2)::int) AS o_orderdate from range(21000)")
