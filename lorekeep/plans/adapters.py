@@ -19,6 +19,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _first_words(text, n: int):
+    """Of a long text, no more is split than has them."""
+    text = F.regexp_extract(text, rf"^[ \t\n\r]*+(?:{WORD}+(?:[ \t\n\r]++|$)){{0,{n}}}", 0)
     return F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, n))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.errors import LorekeepError
 from lorekeep.functions import text as T
+from lorekeep.lineage import save
 from lorekeep.operators import search
 from lorekeep.sources import published
 
@@ -30,15 +31,13 @@ def build(articles: DataFrame, folder: str) -> None:
         "project", "page_id", T.index_tokens(F.coalesce("title", F.lit(""))).alias("tt"), T.index_tokens(F.coalesce("text", F.lit(""))).alias("bt")
     )
     length = (F.size("tt") + F.size("bt")).alias("length")
-    every = F.concat(
-        F.transform("tt", lambda w: F.struct(w.alias("term"), F.lit(search.TITLE_WEIGHT).alias("weight"))),
-        F.transform("bt", lambda w: F.struct(w.alias("term"), F.lit(1).alias("weight"))),
-    )
-    one = words.select("project", "page_id", length, F.explode(every).alias("t"))
-    postings = one.groupBy("project", "page_id", "length", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+    weighted = F.concat(F.flatten(F.array_repeat("tt", search.TITLE_WEIGHT)), F.col("bt"))
+    # all of an article's tokens are in its row, so they are counted there and only postings are shuffled
+    counted = save(words.select("project", "page_id", length, T.counts(weighted).alias("counts")), "term-counts")
+    postings = counted.select("project", "page_id", "length", F.explode("counts").alias("t")).select("project", "page_id", "length", "t.term", F.col("t.n").cast("long").alias("tf"))
     dealt = postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(SPREAD)))
     dealt.sortWithinPartitions("bucket", "term", "project", "page_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    sizes = words.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("tokens"))
+    sizes = counted.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
     sizes.write.parquet(f"{folder}/sizes")
     read = articles.sparkSession.read.parquet(f"{folder}/postings")
     terms = read.groupBy("bucket", "project", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -58,7 +57,7 @@ def verify(spark: SparkSession, folder: str, articles: DataFrame) -> None:
 def rebuild(articles: DataFrame, root: str, checked: bool = True) -> str:
     """Build, verify and publish an index of ``articles``: all of it or nothing. Its folder."""
     spark = articles.sparkSession
-    worded = articles.where(F.size(T.index_tokens(F.concat_ws(" ", "title", "text"))) > 0)
+    worded = articles.where(T.has_tokens(F.concat_ws(" ", "title", "text")))
     return published.publish(
         spark, root, lambda folder: build(articles, folder), (lambda folder: verify(spark, folder, worded)) if checked else None
     )

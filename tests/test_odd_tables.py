@@ -1,9 +1,12 @@
 """Queries over small tables with what larger ones have, held against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import oracle
+from lorekeep.functions import text as T
 from lorekeep.plans import catalog
+from lorekeep.sources import search_index
 
 
 def held(spark, folder, name, **tables):
@@ -32,3 +35,19 @@ def test_generations_of_many_files(spark, tmp_path):
 def test_titles_that_begin_with_sharp_s(spark, tmp_path):
     words = "('ßheit x'), ('ẞheit x'), ('ß'), ('über_all y'), ('ss'), ('SS'), ('')"
     held(spark, tmp_path, "title_lookup", documents=f"select row_number() over () AS doc_id, 'de' AS lang, w AS text from (values {words}) v(w)")
+
+
+def test_counts_of_tokens(spark):
+    words = ["b a b", "", None, "重要 x 重要", "É é_2 ٣"]
+    got = spark.createDataFrame(list(enumerate(words)), "k int, t string").select("k", T.index_tokens("t").alias("w"), T.has_tokens("t").alias("any"))
+    rows = {r.k: (r.any, [tuple(c) for c in r.c or []]) for r in got.select("k", "any", T.counts(F.col("w")).alias("c")).collect()}
+    assert rows[0] == (True, [("a", 1), ("b", 2)]) and rows[1] == rows[2] == (False, [])
+    assert rows[3] == (True, [("x", 1), ("要", 2), ("重", 2), ("重要", 2)]) and rows[4] == (True, [("2", 1), ("é", 2), ("٣", 1)])
+
+
+def test_index_counts_within_rows(spark, tmp_path):
+    """Postings are shuffled once, as counted: no aggregate over all tokens stands before."""
+    articles = spark.createDataFrame([("enwiki", 1, "Pear", "apple pear pear"), ("enwiki", 2, "Fig", "重要 fig")], "project string, page_id long, title string, text string")
+    search_index.build(articles, str(tmp_path / "index"))
+    got = {(r.page_id, r.term): (r.tf, r.length) for r in spark.read.parquet(str(tmp_path / "index" / "postings")).collect()}
+    assert got == {(1, "apple"): (1, 4), (1, "pear"): (10, 4), (2, "fig"): (9, 5), (2, "重"): (1, 5), (2, "要"): (1, 5), (2, "重要"): (1, 5)}
