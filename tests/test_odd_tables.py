@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 import oracle
 from lorekeep.functions import text as T
+from lorekeep.lineage import save
+from lorekeep.operators import answer_review
 from lorekeep.plans import catalog
 from lorekeep.sources import search_index
 
@@ -51,3 +53,14 @@ def test_index_counts_within_rows(spark, tmp_path):
     search_index.build(articles, str(tmp_path / "index"))
     got = {(r.page_id, r.term): (r.tf, r.length) for r in spark.read.parquet(str(tmp_path / "index" / "postings")).collect()}
     assert got == {(1, "apple"): (1, 4), (1, "pear"): (10, 4), (2, "fig"): (9, 5), (2, "重"): (1, 5), (2, "要"): (1, 5), (2, "重要"): (1, 5)}
+
+
+def test_reviews_write_no_answers(spark, tmp_path, monkeypatch):
+    """Suites, answers and their pieces are not written: one table is, with the claims of good cases."""
+    written = []
+    monkeypatch.setattr(answer_review, "save", lambda df, label: written.append((label, set(df.columns))) or save(df, label))
+    long = "repeat('word ', 9000) || chr(10) || repeat('other ', 9000)"
+    documents = f"select range AS doc_id, 'en' AS lang, CASE range % 3 WHEN 0 THEN 'a b' WHEN 1 THEN 'a' || chr(10) || 'b c' || chr(10) || 'a' ELSE {long} END AS text from range(12)"
+    for name in ("review_scores", "review_faults"):
+        held(spark, tmp_path, name, documents=documents)
+    assert [label for label, _ in written] == ["reviewed-cases"] * 2 and not written[0][1] & {"body", "answer", "raw", "pieces"}
