@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.errors import assert_none
+from lorekeep.lineage import save
 from lorekeep.operators.part_trees import Articles
 
 # The record's version, the digest before there is one, JSON's short escapes.
@@ -129,6 +130,7 @@ def corpus_digest(articles: DataFrame) -> DataFrame:
     ``number digest`` of as many of those, ``LEVELS`` times; last the lines ``project digest`` of all projects. An article
     that comes twice, or a page id beyond the tree, is an error.
     """
+    articles = save(articles.select("project", "page_id", "revision_id", "content_sha256"), "article-digests")  # checked and digested: made once
     assert_none(articles.groupBy("project", "page_id", "revision_id").count().where("count > 1"), "DuplicateArticle", "project", "page_id", "revision_id")
     assert_none(articles.where((F.col("page_id") < 0) | (F.col("page_id") >= FAN_OUT**LEVELS)), "PageIdOutOfRange", "project", "page_id")
     text = F.concat_ws(" ", _number("page_id"), _number("revision_id"), "content_sha256")

@@ -26,6 +26,9 @@ from lorekeep.lineage import save
 MOST_DEPTH = 64
 MOST_URL_BYTES = 4096
 
+#: Parts of bodies that leave a task together.
+BATCH_ROWS = 2000
+
 _NOTE = "struct<identifier:string,text:string>"
 _CHILD = f"struct<kind:string,name:string,value:string,parts:int,images:int,tables:int,citations:array<{_NOTE}>>"
 NODE = (
@@ -86,14 +89,31 @@ def _nodes(key: str, body: str) -> Iterator[dict]:
         yield {"body": key, "kind": "malformed"}
 
 
+def _told(held: list[list[dict]]) -> Iterator[pa.RecordBatch]:
+    """The rows of bodies as one batch, or, where one has a field of another type, a batch for each."""
+    try:
+        yield pa.RecordBatch.from_pylist([r for rows in held for r in rows], _SCHEMA)
+    except (pa.ArrowInvalid, pa.ArrowTypeError):
+        if len(held) > 1:
+            for rows in held:
+                yield from _told([rows])
+        else:
+            yield pa.RecordBatch.from_pylist([{"body": held[0][0]["body"], "kind": "malformed"}], _SCHEMA)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
     for b in batches:
         for key, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             rows = list(_nodes(key, body or ""))
-            try:
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-            except (pa.ArrowInvalid, pa.ArrowTypeError):  # a field of another type
-                yield pa.RecordBatch.from_pylist([{"body": key, "kind": "malformed"}], _SCHEMA)
+            if rows:
+                held.append(rows)
+                n += len(rows)
+            if n >= BATCH_ROWS:
+                yield from _told(held)
+                held, n = [], 0
+    if held:
+        yield from _told(held)
 
 
 def _blank(v: Column) -> Column:

@@ -1,12 +1,13 @@
 """Queries over small tables with what larger ones have, held against their SQL."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import oracle
 from lorekeep.functions import text as T
 from lorekeep.lineage import save
-from lorekeep.operators import answer_review
+from lorekeep.operators import answer_review, canonical, part_trees
 from lorekeep.plans import catalog
 from lorekeep.sources import search_index
 
@@ -64,3 +65,19 @@ def test_reviews_write_no_answers(spark, tmp_path, monkeypatch):
     for name in ("review_scores", "review_faults"):
         held(spark, tmp_path, name, documents=documents)
     assert [label for label, _ in written] == ["reviewed-cases"] * 2 and not written[0][1] & {"body", "answer", "raw", "pieces"}
+
+
+def test_bodies_leave_a_task_together(spark):
+    """Many small bodies make few batches, and one with a field of another type spoils no other."""
+    bodies = ['{"parts":[{"type":"paragraph","value":"x"}]}'] * 50 + ['{"parts":[{"type":"paragraph","value":7}]}', None]
+    rows = pa.RecordBatch.from_pydict({"body": [str(k) for k in range(52)], "value": bodies}, schema=pa.schema([("body", pa.string()), ("value", pa.string())]))
+    assert len(list(part_trees._listed(iter([rows.slice(0, 50)])))) == 1
+    got = [(r["body"], r["kind"]) for b in part_trees._listed(iter([rows])) for r in b.to_pylist()]
+    assert got == [(str(k), "paragraph" if k < 50 else "malformed") for k in range(52)]
+
+
+def test_corpus_digests_articles_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(canonical, "save", lambda df, label: written.append(label) or save(df, label))
+    one = spark.createDataFrame([("enwiki", 1, 2, "a" * 64)], "project string, page_id long, revision_id long, content_sha256 string")
+    assert canonical.corpus_digest(one).head()["articles"] == 1 and written == ["article-digests"]
