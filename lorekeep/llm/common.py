@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +14,13 @@ from lorekeep.lineage import save, scratch_dir
 
 __all__ = [
     "SPACE", "MayHold", "crc_mod", "join_decisions", "join_row_decisions", "keep_rows", "save", "scratch_dir", "table", "text_key", "text_or_empty",
+    "text_steps",
 ]
 
 #: Runs of these characters separate words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text whose words a task holds at once; a longer text is held alone.
+STEP_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +91,18 @@ class MayHold:
         return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def text_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts, in the last column, are cut into steps of ``STEP_BYTES``."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.columns[-1]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + STEP_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, longer by as many underscores as it takes to clash with no column of ``docs``."""
     taken = {c.lower() for c in docs.columns}

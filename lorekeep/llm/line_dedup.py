@@ -28,15 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import MayHold, join_decisions, save
+from lorekeep.llm.common import MayHold, join_decisions, save, text_steps
 
 SIMILARITY = 0.8
 #: Counters of the rarity table.
 COUNTERS = 1 << 20
 #: Classes under one word beyond which a second word must be shared, and under a pair of words beyond which they are dealt into blocks.
 HOT_WORD = 200
-#: Bytes of text whose words a task holds at once; a longer text is held alone.
-STEP_BYTES = 4 << 20
 
 _LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, least array<int>, skipped int, prefix array<int>"
 #: Odd multipliers of the two hash functions, of words' digests, whose least values name groups of near copies.
@@ -102,18 +100,6 @@ class _Lines:
         return line, order[pairs & 0xFFFFFFFF], np.bincount(line, minlength=len(self.text))
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts, in the last column, are cut into steps of ``STEP_BYTES``."""
-    for b in batches:
-        size = np.cumsum(pc.binary_length(b.columns[-1]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            done = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, done + STEP_BYTES, "right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
 def _rank(n):
     """The order of a word that occurs ``n`` times."""
     return np.minimum(np.log2(n + 1.0) * 1024, 2**16 - 1).astype(np.uint16)
@@ -124,7 +110,7 @@ def rarity_table(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for b in _steps(batches):
+        for b in text_steps(batches):
             lines = _Lines(b.column(0))
             if len(lines.line):
                 n = np.bincount(lines.word, minlength=len(lines.words))
@@ -148,7 +134,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
     names = [f.split()[0] for f in _LINES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _steps(batches):
+        for b in text_steps(batches):
             lines = _Lines(b.column(1))
             if not len(lines.line):
                 continue
@@ -203,7 +189,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     lines_too = MayHold(asked.select((F.coalesce("doc_id", F.lit(-1)) * 61 + F.col("line")).alias("slot")), "slot")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _steps(batches):
+        for b in text_steps(batches):
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             held = may.of(ids)
             b, ids = b.filter(pa.array(held)), ids[held]
@@ -225,7 +211,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     met = pairs.join(x, "x").join(y, "y").where(F.col("xf") != F.col("yf")).select("x", "y", "xf", "yf", "xw", "yw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _steps(batches):
+        for b in text_steps(batches):
             n = b.num_rows
             both = _Lines(pc.replace_substring(pa.concat_arrays([b.column(4), b.column(5)]), "\n", " "))
             line, word, size = both.sets(np.arange(len(both.words)))

@@ -12,20 +12,21 @@ length, so that the corpus itself is only counted and read again.
 from __future__ import annotations
 
 import json
-import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorekeep.llm.common import save
+from lorekeep.llm.common import save, text_steps
 
 WINDOW = 1024
 END_ID = 0
@@ -34,22 +35,27 @@ PIECES = "part int, doc_id long, start long, length int, ids_crc32 long, doc_tok
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: Words whose ids a task keeps.
-KEPT_WORDS = 1 << 19
+#: Words whose ids a worker keeps: some 200 MB.
+KEPT_WORDS = 1 << 20
 #: Byte-level vocabularies write each byte as one character: printable ones as they are, the others, in order, from U+0100 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[np.setdiff1d(np.arange(256), _PRINTED)] = 256 + np.arange(256 - len(_PRINTED))
 #: Characters that all versions of Unicode since 12 class alike; the libraries that split words differ in others.
 _SETTLED = regex.compile(r"[\x00-\u0530\u0900-\u0c50\u0d00-\u2080\u20a0-\ua7c0\uac00-\uffff\U0001f000-\U0001f9ff]*")
 
 
+#: Kinds of characters to the pattern that splits words.
+_LETTER, _NUMBER, _OTHER, _BLANK = range(4)
+
+
 class Encoder:
-    """A text's ids by a tokenizer file of byte-level BPE, those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Texts' ids by a tokenizer file of byte-level BPE, those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Such a tokenizer cuts a text into words first and merges within words only, so each
-    distinct word is merged once by the tokenizer's own model and its ids are kept. Texts that
-    hold an added token's string, or characters that Unicode versions class differently, and all
-    texts of other kinds of tokenizers, go through ``encode`` whole.
+    Such a tokenizer cuts a text into words first and merges within words only, so the words of many
+    texts are cut at once, and each distinct one is merged once by the tokenizer's own model and its ids
+    are kept. Texts that hold an added token's string, or characters that Unicode versions class
+    differently, and all texts of other kinds of tokenizers, go through ``encode`` whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,30 +68,100 @@ class Encoder:
             and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         )
         self.merge = self.whole.model.tokenize
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.known = _Known(self._word)
-
-    def _word(self, word: str) -> bytes:
-        found = [t.id for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))]
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word or any(t in text for t in self.added) or not (text.isascii() or _SETTLED.fullmatch(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        self.known: dict[bytes, bytes] = {}
+        every = "".join(map(chr, range(0x110000)))
+        self.kinds = np.full(len(every), _OTHER, dtype=np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                self.kinds[m.start() : m.end()] = kind
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; new words are merged by the model, which reads a character for each byte."""
+        new = [w for w in words if w not in self.known]
+        text, at, sizes, flat = _BYTES[np.frombuffer(b"".join(new), dtype=np.uint8)].tobytes().decode("utf-32-le"), 0, [], []
+        for w in new:
+            found = [t.id for t in self.merge(text[at : at + len(w)])]
+            at += len(w)
+            sizes.append(len(found))
+            flat += found
+        packed, at = np.array(flat, dtype="<u4").tobytes(), 0
+        for w, n in zip(new, sizes):
+            self.known[w] = packed[at : at + 4 * n]
+            at += 4 * n
+        return list(map(self.known.__getitem__, words))
+
+    def word_starts(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where the words of ``public_tokenizers.PATTERN`` begin, by the characters' codes and the places of the texts' first ones."""
+        kind, n = self.kinds[codes], len(codes)
+        head = np.zeros(n + 3, dtype=bool)  # and what lies behind the last text
+        head[first] = head[n:] = True
+        blank = kind == _BLANK
+        begins = head[:n].copy()
+        # a word takes one space before it; of more white space all but the last character is one word
+        begins[1:] |= (kind[1:] != kind[:-1]) & (codes[:-1] != 32)
+        begins[1:] |= blank[1:] & ~blank[:-1]
+        begins[:-1] |= blank[:-1] & ~blank[1:] & ~head[1:n]
+        at = np.flatnonzero(begins & (codes == 39))
+        if len(at):  # 's 't 'm 'd 're 've 'll
+            after = np.append(codes, [0, 0])
+            a, b = np.where(head[at + 1], 0, after[at + 1]), np.where(head[at + 1] | head[at + 2], 0, after[at + 2])
+            short = np.isin(a, [ord(c) for c in "stmd"])
+            long_ = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+            begins[at[short | long_] + 1] = False
+            ends = np.concatenate([at[short] + 2, at[long_] + 3])
+            begins[ends[ends < n]] = True
+        return np.flatnonzero(begins)
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, none of them empty, all ASCII or none."""
+        text = "".join(texts)
+        data = text.encode()
+        first = np.cumsum([0, *map(len, texts)])
+        if len(data) == len(text):
+            starts = words = self.word_starts(np.frombuffer(data, dtype=np.uint8), first[:-1])
+        else:
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            starts = self.word_starts(codes, first[:-1])
+            width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            words = (np.cumsum(width) - width)[starts]
+        places = pa.py_buffer(np.append(words, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(words), [None, places, pa.py_buffer(data)]).dictionary_encode()
+        ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy()).tolist()
+        distinct = coded.dictionary.buffers()[2].to_pybytes()
+        found = self._words([distinct[a:b] for a, b in zip([0, *ends], ends)])
+        flat, size = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        word = coded.indices.to_numpy()
+        count = size[word]
+        before = np.cumsum(count) - count
+        ids = flat[np.repeat((np.cumsum(size) - size)[word] - before, count) + np.arange(int(count.sum()))]
+        return np.split(ids, before[np.searchsorted(starts, first[1:-1])])
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), dtype="<u4")
-
+        out: list = [None] * len(texts)
+        ascii_, wide = [], []
+        for k, text in enumerate(texts):
+            if not text:
+                out[k] = np.zeros(0, dtype="<u4")
+            elif not self.by_word or any(t in text for t in self.added) or not (text.isascii() or _SETTLED.fullmatch(text)):
+                out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            else:
+                (ascii_ if text.isascii() else wide).append(k)
+        for group in (ascii_, wide):
+            if group:
+                for k, ids in zip(group, self._joined([texts[k] for k in group])):
+                    out[k] = ids
+        return out
 
-class _Known(dict):
-    """A function of words with its values kept."""
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
-    def __init__(self, value: Callable[[str], bytes]) -> None:
-        self.value = value
 
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.value(word)
-        return found
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, as texts of several have many words in common."""
+    return Encoder(path)
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -97,18 +173,18 @@ def cut_documents(docs: DataFrame, encoder_path: str, text_col: str = "text", wi
     number among those of its length in the task that cut it (``part``, ``ordinal``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(encoder_path)
+        encoder = _encoder(encoder_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in text_steps(batches):
             rows: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                ids = np.append(encode(text), np.uint32(END_ID)) if text else np.array([END_ID], dtype=np.uint32)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.many(texts)):
+                ids = np.append(ids, np.uint32(END_ID))
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rest = None if len(piece) == window else piece.astype("<u2" if piece.max() < 1 << 16 else "<u4")
-                    row = (part, doc_id.as_py(), start, len(piece), _crc(piece), len(ids), seen[len(piece)], rest)
+                    row = (part, doc_id, start, len(piece), _crc(piece), len(ids), seen[len(piece)], rest)
                     seen[len(piece)] += 1
                     for column, value in zip(rows, row):
                         column.append(value if not isinstance(value, np.ndarray) else value.tobytes())

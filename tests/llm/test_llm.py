@@ -300,6 +300,22 @@ def test_ids_are_those_of_the_tokenizer(documents, path):
         assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts_are_merged_once():
+    rng, path = random.Random(11), public_tokenizers.path("byte_bpe_50k.json")
+    parts = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "\r\n", "a", "Z\u00e9", "5", "\u0663", ".", "!", " 's", "'ve", "\u3000", "\xa0", "\u4e2d", "d", "m", "e"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000))]
+    encoder, plain, merged = nnls_packing._encoder(path), Tokenizer.from_file(path), []
+    merge = encoder.merge
+    encoder.merge = lambda word: merged.append(word) or merge(word)
+    try:
+        for _ in range(2):
+            assert [i.tolist() for i in encoder.many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        encoder.merge = merge
+    assert 0 < len(merged) == len(set(merged))
+    assert nnls_packing._encoder(path) is encoder
+
+
 @pytest.mark.parametrize("path", TOKENIZERS)
 def test_packing_round_trip(spark, documents, path):
     rows = [*documents[:80], (9001, None), (9002, ""), (9003, "a <|endoftext|> b")]
