@@ -4,22 +4,23 @@ A line is the set of its words. The words of all lines are counted in a table of
 fixed size; a line's words are ordered by rarity, and only its first few, its
 prefix, are looked up: two sets of Jaccard similarity t or more share a word of their
 prefixes, and of the smaller set a shorter prefix is enough, which is indexed. Length
-and position filters, and bitmaps of the words, drop pairs that can't reach t; the
+and position filters, and parities of the words, drop pairs that can't reach t; the
 rest are verified on the words.
 
 Lines with equal sets are one class. A class needs no more than one earlier class that
 matches, so each first meets the earliest of those that share its least word under two
-hash functions. This settles most of a large group of near copies, and two classes that
-it has settled need not meet. All other pairs do. Under a word with many classes they
-have to share a second word of a prefix longer by one, which the same bound proves, and
-under a pair with many classes again they are dealt into blocks, so that no task holds
-all of its pairs.
+hash functions, or in a large group the likest of some that are unlike each other. This
+settles most of a large group of near copies, and what is settled needs no other earlier
+class. All other pairs meet. Postings are dealt by word, packed as arrays, and each task
+joins those of its words. A word whose classes would make many pairs each asks for a second
+shared word of a prefix longer by one, which the same bound proves, and under a pair with
+many classes again they are dealt into blocks, so that no task holds all of its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,32 @@ from lorekeep.llm.common import MayHold, join_decisions, save, text_steps
 SIMILARITY = 0.8
 #: Counters of the rarity table.
 COUNTERS = 1 << 20
-#: Classes under one word beyond which a second word must be shared, and under a pair of words beyond which they are dealt into blocks.
+#: Pairs that a posting of a word makes on average beyond which a second word must be shared, and classes under a pair of words beyond which they are dealt into blocks.
 HOT_WORD = 200
-
-_LINES = "doc_id long, line int, k1 long, k2 long, size int, bits long, least array<int>, skipped int, prefix array<int>"
-#: Odd multipliers of the two hash functions, of words' digests, whose least values name groups of near copies.
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+#: Records that are packed at once, about how many one bucket of them holds, and pairs that are looked at at once.
+STEP_RECORDS, BUCKET_RECORDS, STEP_PAIRS = 1 << 20, 1 << 17, 1 << 18
+#: Lines that are packed at once.
+STEP_LINES = 1 << 18
+#: Records under one least word beyond which others than the earliest lead too, how many may, and how many in a row that none is like.
+LARGE_GROUP, LEADERS, IDLE_LEADERS = 16, 64, 4
+
+_LINES = (
+    "id long, doc_id long, line int, by struct<doc_id:bigint,line:int>, head boolean, k1 long, "
+    "size int, s1 long, s2 long, least long, skipped int, prefix array<int>"
+)
+#: Odd multipliers of the hash functions of words.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
+#: The first bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+_LONG_WORD = 512
+
+_PLACE = [("none", "?"), ("doc", "<i8"), ("line", "<i4")]
+_RECORD = [*_PLACE, ("id", "<i8"), ("s1", "<u8"), ("s2", "<u8")]
+_POSTING = np.dtype([("word", "<u4"), ("size", "<u4"), ("at", "<u4"), ("done", "?"), *_RECORD])
+_LINE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("least", "<i8"), ("size", "<i4"), ("skipped", "<i4"), ("sent", "<i4"), *_RECORD])
+_COPY = np.dtype([*_PLACE, ("by", _PLACE)])
+_LEAST = np.dtype([("least", "<u8"), ("size", "<u4"), *_RECORD])
 
 
 def line_words(line: str) -> set[str]:
@@ -56,48 +77,78 @@ def _smallest(t: float) -> int:
     return math.ceil(t / (1 - t) - 1e-9) if t < 1 else 1 << 31
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = h * _MIX[k]
+    h ^= h >> np.uint64(32)
+    h *= _MIX[k - 1]
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class _Lines:
-    """The lines with words of some texts: their words as numbers of a list of distinct words.
+    """The lines with words of some texts.
 
     ``text`` and ``number`` tell each line's text and its number in it, ``line`` and
-    ``word`` each word's line and number; repeats of a word in a line are still there.
+    ``word`` each word's line and its 64-bit digest; repeats of a word in a line are still there.
     """
 
-    def __init__(self, texts: pa.Array, asked=None) -> None:
-        lines = pc.split_pattern(texts.fill_null(""), "\n")
-        counts = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        text = np.repeat(np.arange(len(counts)), counts)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        flat = lines.flatten()
-        if asked is not None:
-            wanted = np.flatnonzero(asked(text, number))
-            text, number, flat = text[wanted], number[wanted], flat.take(pa.array(wanted))
-        words = pc.ascii_split_whitespace(pc.ascii_lower(flat))
-        coded = words.flatten().dictionary_encode()
-        word = coded.indices.to_numpy()
-        line = np.repeat(np.arange(len(flat)), words.value_lengths().to_numpy(zero_copy_only=False))
-        self.words = coded.dictionary.to_pylist()
-        if "" in self.words:  # at the ends of a line
-            there = word != self.words.index("")
-            line, word = line[there], word[there]
-        there = np.bincount(line, minlength=len(text)) > 0
-        self.text, self.number, self.line, self.word = text[there], number[there], (np.cumsum(there) - 1)[line], word
-        self.lines = flat.filter(pa.array(there))
-
-    def digests(self) -> np.ndarray:
-        """Two 64-bit numbers for each distinct word."""
-        raw = b"".join(xxhash.xxh128_digest(w) for w in self.words)
-        return np.frombuffer(raw, dtype=">u8").astype(np.uint64).reshape(-1, 2)
-
-    def sets(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, word, size of each line): distinct words by line, in the order of ``rank``."""
-        order = np.argsort(rank, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        pairs = np.sort(self.line.astype(np.int64) << 32 | place[self.word])
-        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
-        line = pairs >> 32
-        return line, order[pairs & 0xFFFFFFFF], np.bincount(line, minlength=len(self.text))
+    def __init__(self, texts: pa.Array) -> None:
+        texts = texts.fill_null("")
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_buffer()
+        raw = np.frombuffer(whole, dtype=np.uint8) if whole.size else np.zeros(0, dtype=np.uint8)
+        starts_of_lines = np.append(0, np.flatnonzero(raw == 10) + 1)
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        inside[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        n = np.diff(np.append(np.searchsorted(start, starts_of_lines), len(start)))
+        length = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        starts_of_texts = np.cumsum(length) - length
+        text = np.searchsorted(starts_of_texts, starts_of_lines, "right") - 1
+        number = np.arange(len(text)) - np.searchsorted(starts_of_lines, starts_of_texts)[text]
+        there = n > 0
+        self.text, self.number = text[there], number[there]
+        self.line = np.repeat(np.arange(len(self.text)), n[there])
+        self.word = self._digests(raw + np.uint8(32) * (raw - np.uint8(65) < 26), start, end)
+
+    @staticmethod
+    def _digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Digests of the words at these places, eight bytes at a time."""
+        padded = np.append(raw, np.zeros(8, dtype=np.uint8))
+        eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        left = end - start
+        h = _mixed(eights[start] & _FIRST[np.minimum(left, 8)] ^ left.astype(np.uint64) * _MIX[2], 1)
+        long = np.flatnonzero(left > _LONG_WORD)
+        more = np.flatnonzero((left > 8) & (left <= _LONG_WORD))
+        at = 8
+        while len(more):
+            h[more] = _mixed(h[more] ^ eights[start[more] + at] & _FIRST[np.minimum(left[more] - at, 8)], 1)
+            at += 8
+            more = more[left[more] > at]
+        for w in long:
+            h[w] = xxhash.xxh64_intdigest(padded[start[w] : end[w]].tobytes())
+        return h
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, first 48 bits of the word's digest, size of each line): distinct words by line."""
+        found, low = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))], np.uint64((1 << 48) - 1)
+        for first in range(0, len(self.text), 1 << 16):
+            part = slice(*np.searchsorted(self.line, (first, first + (1 << 16))))
+            both = np.sort((self.line[part] - first).astype(np.uint64) << np.uint64(48) | self.word[part] >> np.uint64(16))
+            both = both[np.append(True, both[1:] != both[:-1])]
+            found.append((first + (both >> np.uint64(48)).astype(np.int64), both & low))
+        line, word = (np.concatenate(x) for x in zip(*found))
+        return line, word, np.bincount(line, minlength=len(self.text))
+
+
+def _counter(word: np.ndarray) -> np.ndarray:
+    """The counters of words, by the first 48 bits of their digests."""
+    return (word & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _names(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the names of sets: sums over their words."""
+    return tuple(np.add.reduceat(_mixed(word, k), starts).view(np.int64) for k in (2, 3))
 
 
 def _rank(n):
@@ -105,75 +156,326 @@ def _rank(n):
     return np.minimum(np.log2(n + 1.0) * 1024, 2**16 - 1).astype(np.uint16)
 
 
-def rarity_table(texts: DataFrame) -> np.ndarray:
-    """How many lines hold the words of each counter, of all ``texts`` (text); each task sends one row a counter."""
+def rarity_table(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How often words of each counter occur in all ``texts`` (text), and the number of lines with words; each task
+    sends its table in pieces."""
+    width = COUNTERS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS + width, dtype=np.uint64)
         for b in text_steps(batches):
             lines = _Lines(b.column(0))
-            if len(lines.line):
-                n = np.bincount(lines.word, minlength=len(lines.words))
-                total += np.bincount((lines.digests()[:, 0] & np.uint64(COUNTERS - 1)).astype(np.int64), weights=n, minlength=COUNTERS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
-
-    summed = texts.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    out[summed["counter"].to_numpy().astype(np.int64)] = summed["n"].to_numpy()
-    return out
-
-
-def _lines(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """Each line with words. ``k1`` and ``k2`` name its set, ``bits`` is a bitmap of it. ``prefix`` holds word
-    codes in the order of rarity, one more than the prefix filter needs, but for the first ``skipped``, which
-    occur once in the corpus."""
+            total[:COUNTERS] += np.bincount(_counter(lines.word >> np.uint64(16)), minlength=COUNTERS).astype(np.uint64)
+            total[COUNTERS] += np.uint64(len(lines.text))
+        kind = "<u4" if int(total.max()) < 1 << 32 else "<u8"
+        for k, piece in enumerate(total.reshape(-1, width)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary())], names=["piece", "n"])
+
+    def add(batch: pa.Table) -> pa.Table:
+        total = np.zeros(width, dtype=np.uint64)
+        for x in batch["n"].to_pylist():
+            total += np.frombuffer(x, dtype=f"<u{len(x) // width}")
+        return pa.table({"piece": batch["piece"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    summed = texts.mapInArrow(run, "piece int, n binary").groupBy("piece").applyInArrow(add, "piece int, n binary").collect()
+    out = np.zeros((65, width), dtype=np.uint64)
+    for r in summed:
+        out[r["piece"]] = np.frombuffer(r["n"], dtype=np.uint64)
+    return out[:64].ravel(), int(out[64, 0])
+
+
+def _featured(rarity: np.ndarray, similarity: float) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
+    """The records of the lines with words of a batch, and their prefixes' words. ``k1`` and ``k2`` name a line's set,
+    ``s1`` and ``s2`` are parities of it: each word turns one of 128 bits. A prefix holds ``sent`` word codes in the
+    order of rarity, one more than the prefix filter needs, but for the first ``skipped``, which occur once in the corpus."""
     rank = _rank(rarity)  # 2 MB go to each task
     once = int(_rank(1))
     smallest = _smallest(similarity)
-    names = [f.split()[0] for f in _LINES.split(", ")]
+
+    def run(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lines = _Lines(b.column(1))
+        if not len(lines.line):
+            return np.zeros(0, dtype=_LINE), np.zeros(0, dtype=np.uint32)
+        line, word, size = lines.sets()
+        starts = np.cumsum(size) - size
+        out = np.zeros(len(size), dtype=_LINE)
+        out["none"], out["doc"] = _ids(b.column(0).take(pa.array(lines.text)))
+        out["line"], out["size"] = lines.number, size
+        out["k1"], out["k2"] = _names(word, starts)
+        spread = _mixed(word, 1)
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        second = (spread & np.uint64(64)) > 0
+        for k, name in enumerate(("s1", "s2")):
+            out[name] = np.bitwise_xor.reduceat(np.where(second == bool(k), bit, np.uint64(0)), starts)
+        least = [np.minimum.reduceat(spread * m >> np.uint64(32), starts) for m in _MIX[2:]]
+        out["least"] = (least[0] << np.uint64(32) | least[1]).view(np.int64)
+        # ties in rarity go by code, alike everywhere
+        rarest = rank[_counter(word)].astype(np.uint64) << np.uint64(32) | word >> np.uint64(16)
+        sent = np.where(size >= smallest, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 2, 0)
+        ordered = np.concatenate([np.sort(line[part].astype(np.uint64) % np.uint64(1 << 16) << np.uint64(48) | rarest[part]) for part in _parts(line)])
+        place = np.arange(len(line)) - starts[line]
+        skipped = np.bincount(line[(place < sent[line] - 1) & ((ordered >> np.uint64(32) & np.uint64(0xFFFF)) <= once)], minlength=len(size))
+        in_prefix = (place < sent[line]) & (place >= skipped[line])
+        out["skipped"], out["sent"] = skipped, np.bincount(line[in_prefix], minlength=len(size))
+        return out, ordered[in_prefix].astype(np.uint32)
+
+    return run
+
+
+def _ids(doc_id: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return doc_id.is_null().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _classed(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the records by set and place, where a set is new, whether a place is another than the first of its set)."""
+    order = np.lexsort((r["line"], r["doc"], ~r["none"], r["k2"], r["k1"]))
+    k1, k2 = r["k1"][order], r["k2"][order]
+    new = np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))[: len(r)]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+    copy = np.zeros(len(r), dtype=bool)
+    for name, _ in _PLACE:
+        copy |= r[name][order] != r[name][first]
+    return order, new, copy
+
+
+def _copies(r: np.ndarray, order: np.ndarray, new: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    """The copies among records, with the first place of their set."""
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+    out = np.zeros(int(copy.sum()), dtype=_COPY)
+    for name, _ in _PLACE:
+        out[name], out["by"][name] = r[name][order[copy]], r[name][first[copy]]
+    return out
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _lines(docs: DataFrame, rarity: np.ndarray, n_lines: int, similarity: float) -> DataFrame:
+    """Each line with words: where it is, and the first line with an equal set (``by``) if that is another place.
+    One line of each set, the first, is its class's ``head`` and has its features; ``id`` names the class.
+
+    Lines that a task finds to be copies don't meet the others again.
+    """
+    featured = _featured(rarity, similarity)
+    buckets = 1 + n_lines // BUCKET_RECORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in text_steps(batches):
-            lines = _Lines(b.column(1))
-            if not len(lines.line):
-                continue
-            digest = lines.digests()
-            rarest = rank[(digest[:, 0] & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-            # ties in rarity go by digest, alike everywhere
-            line, word, size = lines.sets(np.argsort(np.argsort(rarest << np.uint64(48) | digest[:, 0] >> np.uint64(16), kind="stable"), kind="stable"))
-            starts = np.cumsum(size) - size
-            place = np.arange(len(line)) - starts[line]
-            sent = np.where(size >= smallest, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 2, 0)
-            skipped = np.bincount(line[(place < sent[line] - 1) & (rarest[word] <= once)], minlength=len(size))
-            in_prefix = (place < sent[line]) & (place >= skipped[line])
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[in_prefix], minlength=len(size)))])
-            codes = (digest[word[in_prefix], 0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (digest[word, 1] & np.uint64(63)), starts)
-            keys = (np.add.reduceat(digest[word, k], starts).view(np.int64) for k in range(2))
-            least = [np.minimum.reduceat((digest[word, 1] * m) >> np.uint64(32), starts) for m in _MIX]
-            least = np.column_stack(least).astype(np.uint32).view(np.int32).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), *map(pa.array, keys),
-                    pa.array(size.astype(np.int32)), pa.array(bits.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(size) + 1, 2, dtype=np.int32)), pa.array(least)), pa.array(skipped.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes)),
-                ],
-                names=names,
-            )
+            held.append(featured(b))
+            n += len(held[-1][0])
+            if n >= STEP_LINES:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        r, codes = (np.concatenate(x) for x in zip(*held))
+        order, new, copy = _classed(r)
+        copies, own = _copies(r, order, new, copy), np.sort(order[~copy])
+        starts = np.cumsum(r["sent"], dtype=np.int64) - r["sent"]
+        own, records = _cut(r, own, r["k1"][own], buckets)
+        n = r["sent"][own].astype(np.int64)
+        ends = np.append(0, np.cumsum(n))[np.frombuffer(records.buffers()[1], dtype=np.int32)[: buckets + 1] // _LINE.itemsize]
+        words = _binary(codes[_ranges(starts[own], n)], ends)
+        _, copied = _cut(copies, np.arange(len(copies)), copies["doc"] * 61 + copies["line"], buckets)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), records, words, copied], names=["bucket", "records", "words", "copies"])
+
+    def meet(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
+        r, codes, copies = (np.frombuffer(b"".join(dealt[k].to_pylist()), dtype=kind) for k, kind in (("records", _LINE), ("words", "<u4"), ("copies", _COPY)))
+        order, new, copy = _classed(r)
+        starts = np.cumsum(r["sent"], dtype=np.int64) - r["sent"]
+        ids = (key[0].as_py() << 40) + np.cumsum(new) - 1
+        heads, twins = order[new], order[~new & ~copy]
+        n = r["sent"][heads].astype(np.int64)
+        prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(codes[_ranges(starts[heads], n)].view(np.int32)))
+        told = {k: pa.array(r[k][heads].astype(_LINE[k].str.replace("u", "i"))) for k in ("k1", "size", "s1", "s2", "least", "skipped")}
+        rows = [
+            pa.table({"id": ids[new], **_placed(r[heads]), "head": np.ones(len(heads), dtype=bool), **told, "prefix": prefix}),
+            pa.table({"id": ids[~new & ~copy], **_placed(r[twins])}),
+        ]
+        for found in (copies, _copies(r, order, new, copy)):
+            by = _placed(found["by"])
+            rows.append(pa.table({**_placed(found), "by": pa.StructArray.from_arrays([by["doc_id"], by["line"]], names=["doc_id", "line"])}))
+        rows = pa.concat_tables(rows, promote_options="default")
+        return rows.select([f.split()[0] for f in _LINES.split(", ")])
+
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, records binary, words binary, copies binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, _LINES)
+
+
+def _placed(r: np.ndarray) -> dict[str, pa.Array]:
+    return {"doc_id": pa.array(r["doc"], mask=r["none"]), "line": pa.array(r["line"])}
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``data`` cut at these places into binary values."""
+    offsets = (ends * data.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _cut(r: np.ndarray, rows: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, pa.Array]:
+    """These rows by the bucket of their keys, and their records as one binary value a bucket."""
+    bucket = (_mixed(key.astype(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return rows[order], _binary(r[rows[order]], np.searchsorted(bucket[order], np.arange(buckets + 1)))
+
+
+def _parts(line: np.ndarray) -> list[slice]:
+    """Where each 65536 lines begin and end, of ascending line numbers."""
+    cuts = np.searchsorted(line, np.arange(0, int(line[-1]) + (1 << 16) + 1, 1 << 16))
+    return [slice(*x) for x in zip(cuts[:-1], cuts[1:])]
+
+
+def _dealt(rows: DataFrame, records: Callable[[pa.RecordBatch], np.ndarray], key: str, buckets: int) -> DataFrame:
+    """(bucket, records): the records of ``rows``, packed by the bucket of their ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(records(b))
+            n += len(held[-1])
+            if n >= STEP_RECORDS:
+                yield packed(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield packed(np.concatenate(held))
+
+    def packed(found: np.ndarray) -> pa.RecordBatch:
+        _, data = _cut(found, np.arange(len(found)), found[key], buckets)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), data], names=["bucket", "records"])
+
+    return rows.mapInArrow(run, "bucket int, records binary")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _LINES)
 
+def _met(dealt: DataFrame, kind: np.dtype, meet: Callable[[np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """What ``meet`` makes of the records of each bucket."""
 
-def _near(similarity: float, positions: bool = True) -> Column:
-    """Whether the sizes, bitmaps, and places of the shared word, of x and y let them reach the similarity."""
+    def run(batch: pa.Table) -> pa.Table:
+        return meet(np.frombuffer(b"".join(batch["records"].to_pylist()), dtype=kind))
+
+    return dealt.groupBy("bucket").applyInArrow(run, schema)
+
+
+def _least_overlaps(size: np.ndarray, similarity: float) -> np.ndarray:
+    """``least_overlap`` of two sets by the sum of their sizes, up to twice the largest of ``size``."""
+    sums = np.arange(2 * int(size.max(initial=0)) + 1)
+    return np.ceil(similarity / (1 + similarity) * sums - 1e-9).astype(np.int64)
+
+
+def _differ(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of records differ: no more than the words that only one of both sets has."""
+    return np.bitwise_count(r["s1"][x] ^ r["s1"][y]) + np.bitwise_count(r["s2"][x] ^ r["s2"][y])
+
+
+def _later(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the place of x comes after that of y; null ids come first."""
+    a, b = ~r["none"][x], ~r["none"][y]
+    doc, other = r["doc"][x], r["doc"][y]
+    return (a & ~b) | ((a == b) & ((doc > other) | ((doc == other) & (r["line"][x] > r["line"][y]))))
+
+
+def _under_heads(similarity: float) -> Callable[[np.ndarray], pa.Table]:
+    """Pairs of records, later one first, with the earliest record that has their least word. In large groups other
+    records lead too, each unlike the leaders before it, and one meets the likest of those before it."""
+
+    def meet(found: np.ndarray) -> pa.Table:
+        order = np.lexsort((found["id"], found["line"], found["doc"], ~found["none"], found["least"]))
+        r = {k: found[k][order] for k in _LEAST.names}
+        need = _least_overlaps(r["size"], similarity)
+        size = r["size"].astype(np.int64)
+
+        def room(x, y):  # how far parities are from proving x and y unlike
+            sums = size[x] + size[y]
+            return np.where(np.minimum(size[x], size[y]) >= need[sums], sums - 2 * need[sums] - _differ(r, x, y), -1)
+
+        starts = np.flatnonzero(np.append(True, r["least"][1:] != r["least"][:-1]))
+        ends = np.append(starts[1:], len(order))
+        head = np.repeat(starts, ends - starts)
+        x = np.arange(len(order))
+        best = room(x, head)
+        large = ends - starts > LARGE_GROUP
+        for a, b in zip(starts[large], ends[large]):
+            leads, idle = np.arange(a, b) == a, 0
+            for _ in range(LEADERS):
+                unlike = np.flatnonzero(~leads & (best[a:b] < size[a:b] // 9))  # half of the room that equal sets have, at 0.8
+                if not len(unlike) or idle == IDLE_LEADERS:
+                    break
+                leads[unlike[0]], leader = True, a + unlike[0]
+                after = np.arange(leader + 1, b)
+                near = room(after, np.full(len(after), leader))
+                after, near = after[near > best[after]], near[near > best[after]]
+                best[after], head[after] = near, leader
+                idle = 0 if (near >= 0).any() else idle + 1
+        x = np.flatnonzero((best >= 0) & (head != x))
+        return pa.table({"x": r["id"][x], "y": r["id"][head[x]]})
+
+    return meet
+
+
+def _under_words(similarity: float, hot_word: int) -> Callable[[np.ndarray], pa.Table]:
+    """Pairs of postings of one word, the later one first; of words that make too many pairs, the postings (x, word).
+
+    A later one that is done needs no more pairs.
+    """
+
+    def meet(found: np.ndarray) -> pa.Table:
+        # words and sizes in one number, ascending; where they are equal, ids decide
+        key = found["word"].astype(np.uint64) << np.uint64(32) | found["size"]
+        order = np.argsort(key, kind="stable")
+        r = {k: found[k][order] for k in _POSTING.names}
+        key, size, at, done = key[order], r["size"].astype(np.int64), r["at"].astype(np.int64), r["done"]
+        word = key & ~np.uint64(0xFFFFFFFF)
+        need = _least_overlaps(r["size"], similarity)
+        room = np.arange(len(need)) - 2 * need
+        short = size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-9).astype(np.int64) + 1
+        least = word | np.minimum(np.ceil(similarity * size - 1e-9), size).astype(np.uint64)
+        group = np.cumsum(np.append(True, word[1:] != word[:-1])) - 1
+        runs = []
+        for y_done in (False, True):
+            y = np.flatnonzero((at < short) & (done == y_done))
+            x = np.flatnonzero(~done) if y_done else np.arange(len(key))
+            lo = np.searchsorted(key[y], least[x])
+            runs.append((x, y, lo, np.searchsorted(key[y], key[x], "right") - lo))
+        made = sum(np.bincount(group[x], weights=n, minlength=group[-1] + 1) for x, _, _, n in runs)
+        hot = (made > hot_word * np.bincount(group))[group]
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        for x, y, lo, n in runs:
+            n = np.where(hot[x], 0, n)
+            ends = np.cumsum(n)
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, n.sum(), STEP_PAIRS), "right"), len(n)))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                left = np.repeat(np.arange(a, b), n[a:b])
+                i, j = x[left], y[lo[left] + np.arange(len(left)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])]
+                near = np.flatnonzero(_differ(r, i, j) <= room[size[i] + size[j]])
+                i, j = i[near], j[near]
+                overlap = need[size[i] + size[j]] - np.minimum(at[i], at[j])
+                fits = (np.minimum(size[i] - at[i], size[j] - at[j]) >= overlap) & ((size[i] > size[j]) | (r["id"][i] > r["id"][j]))
+                i, j = i[fits], j[fits]
+                for i, j in ((i, j), (j, i)):
+                    wanted = _later(r, i, j) & ~done[i]
+                    pairs.append(np.column_stack([r["id"][i[wanted]], r["id"][j[wanted]]]))
+        met = np.unique(np.concatenate(pairs), axis=0)
+        many = np.flatnonzero(hot)
+        return pa.table({
+            "x": pa.array(np.append(met[:, 0], r["id"][many])), "y": pa.concat_arrays([pa.array(met[:, 1]), pa.nulls(len(many), pa.int64())]),
+            "word": pa.concat_arrays([pa.nulls(len(met), pa.int32()), pa.array(r["word"][many].view(np.int32))]),
+            "done": pa.concat_arrays([pa.nulls(len(met), pa.bool_()), pa.array(done[many])]),
+        })
+
+    return meet
+
+
+def _near(similarity: float) -> Column:
+    """Whether the sizes and parities of x and y let them reach the similarity."""
     sizes = F.col("x.size") + F.col("y.size")
     need = F.ceil(F.lit(similarity / (1 + similarity)) * sizes - 1e-9)
-    fits = F.least("x.size", "y.size") >= need
-    if positions:
-        fits &= F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= need - F.least("x.at", "y.at")
-    return fits & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= sizes - 2 * need)
+    differ = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("s1", "s2"))
+    return (F.least("x.size", "y.size") >= need) & (differ <= sizes - 2 * need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -193,13 +495,22 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             ids = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             held = may.of(ids)
             b, ids = b.filter(pa.array(held)), ids[held]
-            lines = _Lines(b.column(1), lambda text, number, ids=ids: lines_too.of(ids[text] * 61 + number))
+            split = pc.split_pattern(b.column(1).fill_null(""), "\n")
+            counts = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(len(counts)), counts)
+            number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+            wanted = np.flatnonzero(lines_too.of(ids[text] * 61 + number))
+            if not len(wanted):
+                continue
+            flat = split.flatten().take(pa.array(wanted))
+            lines = _Lines(flat)
             if not len(lines.line):
                 continue
-            line, word, size = lines.sets(np.arange(len(lines.words)))
-            key = np.add.reduceat(lines.digests()[word, 0], np.cumsum(size) - size).view(np.int64)
+            _, word, size = lines.sets()
+            key = _names(word, np.cumsum(size) - size)[0]
+            at, row = wanted[lines.text], pa.array(lines.text)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(lines.text)), pa.array(lines.number.astype(np.int32)), pa.array(key), lines.lines.cast(pa.string())],
+                [b.column(0).take(pa.array(text[at])), pa.array(number[at].astype(np.int32)), pa.array(key), flat.take(row).cast(pa.string())],
                 names=["d", "n", "key", "words"],
             )
 
@@ -213,11 +524,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches):
             n = b.num_rows
-            both = _Lines(pc.replace_substring(pa.concat_arrays([b.column(4), b.column(5)]), "\n", " "))
-            line, word, size = both.sets(np.arange(len(both.words)))
-            row, width = both.text[line] % n, max(len(both.words), 1)
-            joint = np.sort(row * width + word)
-            shared = np.bincount(joint[1:][joint[1:] == joint[:-1]] // width, minlength=n)
+            both = _Lines(pa.concat_arrays([b.column(4), b.column(5)]))
+            # distinct words of each line, then of both lines of a pair
+            order = np.lexsort((both.word, both.line))
+            line, word = both.line[order], both.word[order]
+            new = np.append(True, (line[1:] != line[:-1]) | (word[1:] != word[:-1]))
+            row, word = both.text[line[new]] % n, word[new]
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+            shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (word[1:] == word[:-1])], minlength=n)
             sizes = np.bincount(row, minlength=n)
             yield b.select([0, 1, 2, 3]).filter(pa.array(shared >= np.ceil(similarity / (1 + similarity) * sizes - 1e-9)))
 
@@ -245,73 +560,67 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
     A line is removed if an earlier line, by (doc_id, line), has a similar set of
     words; the match is one such line.
     """
-    rarity = rarity_table(docs.select(F.col("text").cast("string")))
-    lines = save(_lines(docs, rarity, similarity), "lines")
-    at = F.struct("doc_id", "line")
-    features = ("size", "bits", "least", "skipped", "prefix")
-    classes = save(
-        lines.groupBy("k1", "k2")
-        .agg(F.min(F.struct("doc_id", "line", *features)).alias("c"), F.count(F.lit(1)).alias("n_lines"))
-        .select(
-            F.monotonically_increasing_id().alias("id"), "k1", "k2", "n_lines", F.struct("c.doc_id", "c.line").alias("first"),
-            *(f"c.{f}" for f in features),
-        ),
-        "line-classes",
-    )
+    rarity, n_lines = rarity_table(docs.select(F.col("text").cast("string")))
+    lines = save(_lines(docs, rarity, n_lines, similarity), "lines")
+    classes = lines.where("head").withColumn("first", F.struct("doc_id", "line"))
     indexed = classes.where(F.size("prefix") > 0)
-
-    leasts = indexed.select("id", "first", "size", "bits", F.posexplode("least").alias("f", "least"))
-    heads = leasts.groupBy("f", "least").agg(F.min(F.struct("first", "id", "size", "bits")).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    headed = leasts.join(heads, ["f", "least"]).select(F.struct("id", "size", "bits").alias("x"), "y")
-    to_heads = headed.where((F.col("x.id") != F.col("y.id")) & _near(similarity, positions=False))
-    settled = _settle(to_heads.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), classes, docs, similarity, "line-settled")
-
-    # the last word sent belongs to the longer prefix only
-    own = F.size("prefix") - 1
-    flagged = indexed.join(settled.select(F.col("x").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    flagged = save(flagged.select("id", "size", "bits", "done", "skipped", "prefix"), "line-asking")
-    short = F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9).cast("int") + 1 - F.col("skipped")
-
-    def posted(words: Column) -> DataFrame:
-        out = flagged.select("id", "size", "bits", "done", "skipped", F.posexplode(F.slice("prefix", F.lit(1), F.greatest(words, F.lit(0)))).alias("place", "word"))
-        return out.select("word", "id", F.struct("size", (F.col("place") + F.col("skipped")).cast("short").alias("at"), "done").alias("p"), "bits")
-
-    index = posted(F.least(short, own))
-    hot = save(index.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_word).select("word"), "line-hot")
-    probes = posted(own)
-    x, y = (side.join(hot, "word", "left_anti").select("word", "id", "p.size", "p.at", "p.done", "bits").alias(name) for side, name in ((probes, "x"), (index, "y")))
-    smaller = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") > F.col("y.id")))
-    cold = x.join(y, (F.col("x.word") == F.col("y.word")) & smaller & ~(F.col("x.done") & F.col("y.done")) & _near(similarity))
-    cold = cold.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-
-    hot_classes = probes.join(hot, "word").groupBy("id").agg(F.collect_set("word").alias("hot"))  # words of one prefix
-    two = flagged.join(hot_classes, "id").select("id", "size", "bits", "done", F.explode("hot").alias("word"), "prefix")
-    two = two.select("id", "size", "bits", "done", "word", F.explode("prefix").alias("other")).where("word <> other")
+    counts = indexed.agg(F.count(F.lit(1)), F.sum(F.size("prefix"))).first()
+
+    record = ("size", "first.line", "id", "s1", "s2", "first.doc_id")
+
+    def put(out: np.ndarray, b: pa.RecordBatch, row=slice(None)) -> np.ndarray:
+        for k, name in enumerate(("size", "line", "id", "s1", "s2")):
+            out[name] = b.column(k).to_numpy().astype(out.dtype[name])[row]
+        out["none"], out["doc"] = (x[row] for x in _ids(b.column(5)))
+        return out
+
+    def leasts(b: pa.RecordBatch) -> np.ndarray:
+        out = put(np.zeros((2, b.num_rows), dtype=_LEAST), b)
+        least = b.column(6).to_numpy().view(np.uint64)
+        for f, x in enumerate((least >> np.uint64(32), least & np.uint64(0xFFFFFFFF))):
+            out["least"][f] = x | np.uint64(f << 32)
+        return out.ravel()
+
+    to_heads = _dealt(indexed.select(*record, "least"), leasts, "least", 1 + 2 * counts[0] // BUCKET_RECORDS)
+    to_heads = _met(to_heads, _LEAST, _under_heads(similarity), "x long, y long")
+    settled = _settle(to_heads, classes, docs, similarity, "line-settled")
+
+    def postings(b: pa.RecordBatch) -> np.ndarray:
+        skipped = b.column(6).to_numpy().astype(np.int64)
+        sent = b.column(7).value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(b.num_rows), sent)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sent) - sent, sent)
+        own = place < sent[row] - 1  # the last word sent belongs to the longer prefix only
+        row, place = row[own], place[own]
+        out = put(np.zeros(len(row), dtype=_POSTING), b, row)
+        out["word"] = b.column(7).flatten().to_numpy().view(np.uint32)[own]
+        out["at"] = place + skipped[row]
+        out["done"] = b.column(8).to_numpy(zero_copy_only=False)[row]
+        return out
+
+    done = settled.select(F.col("x").alias("id"), F.lit(True).alias("done"))
+    flagged = indexed.select("id", "size", "s1", "s2", "first", "skipped", "prefix").join(done, "id", "left").select(*record, "skipped", "prefix", F.coalesce("done", F.lit(False)))
+    met = _dealt(flagged, postings, "word", 1 + (counts[1] or 0) // BUCKET_RECORDS)
+    met = save(_met(met, _POSTING, _under_words(similarity, hot_word), "x long, y long, word int, done boolean"), "line-met")
+    cold = met.where("word IS NULL").select("x", "y")
+
+    hot_classes = met.where("word IS NOT NULL").groupBy(F.col("x").alias("id")).agg(F.collect_set("word").alias("hot"), F.max("done").alias("done"))  # words of one prefix
+    two = indexed.select("id", "first", "size", "s1", "s2", "prefix").join(hot_classes, "id").withColumn("word", F.explode("hot"))
+    two = two.select("id", "first", "size", "s1", "s2", "done", "word", F.explode("prefix").alias("other")).where("word <> other")
     shared = two.groupBy("word", "other").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     two = save(two.join(shared, ["word", "other"]).withColumn("blocks", F.ceil(F.col("m") / hot_word).cast("int")), "line-twos")
     asking = two.where("not done").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     asked = two.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    warm = _meet(
-        asking, asked, ["word", "other", "block"],
-        ((F.col("x.id") > F.col("y.id")) | (F.col("y.done") & (F.col("x.id") != F.col("y.id")))) & _near(similarity, positions=False),
-    )
-    every = cold.unionByName(warm).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    warm = _meet(asking, asked, ["word", "other", "block"], (F.col("x.first") > F.col("y.first")) & _near(similarity))
+    every = cold.unionByName(warm)
     late = _settle(every, classes, docs, similarity, "line-late")
 
     matched = settled.unionByName(late).groupBy("x").agg(F.min("match").alias("match")).withColumnRenamed("x", "id")
-    by_class = classes.where("n_lines > 1").select("id", "k1", "k2", "first").join(matched, "id", "left")
-    # lines alone in their class are answered by their place, which a row of the class tells
-    single = classes.where("n_lines = 1").select("id", "first").join(matched, "id", "left").select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("match").isNotNull().alias("removed"), "match"
-    )
-    by_class = by_class.select("k1", "k2", "first", "match")
-    copy = at != F.col("first")
-    several = lines.select("doc_id", "line", "k1", "k2").join(by_class, ["k1", "k2"]).select(
-        "doc_id", "line",
-        (copy | F.col("match").isNotNull()).alias("removed"),
-        F.when(copy, F.col("first")).otherwise(F.col("match")).alias("match"),
-    )
-    return single.unionByName(several)
+    # copies need no match; lines at the place of their class's first share its match
+    heads = lines.where("by IS NULL").select("id", "doc_id", "line").join(matched, "id", "left")
+    return heads.select("doc_id", "line", F.col("match").isNotNull().alias("removed"), "match").unionByName(
+        lines.where("by IS NOT NULL").select("doc_id", "line", F.lit(True).alias("removed"), F.col("by").alias("match"))
+    )
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int = HOT_WORD) -> DataFrame:

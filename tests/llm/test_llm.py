@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -447,6 +448,37 @@ def test_four_word_lines_meet_five_word_lines(spark):
     assert want[2] == want[4] == [0] and all(got[i] == want[i] for i, _ in rows)
 
 
+def test_near_copies_of_one_line_make_few_pairs(spark, words, monkeypatch):
+    rng = random.Random(4)
+    base, rows = text_of(words, 60, 3).split(), []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    made, settle = [], line_dedup._settle
+    monkeypatch.setattr(line_dedup, "_settle", lambda pairs, *rest: made.append(pairs.distinct().count()) or settle(pairs, *rest))
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    want = removed_by_hand(rows)
+    assert all(got[i] == want[i] for i, _ in rows)
+    assert sum(made) < 5 * len(rows)
+
+
+def test_line_words_and_places():
+    texts = ["A b\x0bB\tc\n\n  \nÉtÉ é" + "x" * 40, "", None, "q" * 600 + " " + "q" * 601 + "\n\x00 \x00\x00 " + "q" * 600, "\r\n", "a B  c"]
+    lines = line_dedup._Lines(pa.array(texts))
+    by_hand = [(t, n, sorted(line_dedup.line_words(x))) for t, text in enumerate(texts) for n, x in enumerate((text or "").split("\n")) if line_dedup.line_words(x)]
+    assert list(zip(lines.text.tolist(), lines.number.tolist())) == [(t, n) for t, n, _ in by_hand]
+    _, _, size = lines.sets()
+    assert size.tolist() == [len(w) for _, _, w in by_hand]
+    names = {}
+    for k, (_, _, w) in enumerate(by_hand):
+        for digest in set(lines.word[lines.line == k].tolist()):
+            names.setdefault(digest, set()).update([k])
+    assert len(names) == len({x for _, _, w in by_hand for x in w})
+    assert lines.word[lines.line == 0].tolist()[0] == lines.word[lines.line == len(by_hand) - 1].tolist()[0]
+
+
 def test_line_dedup_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(odd).collect()}
     assert len(rows) == 7 and rows[1]["n_lines"] == 0 and rows[7]["n_removed"] == 0
