@@ -30,16 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import MayHold, join_decisions, save, text_steps
+from lorekeep.llm.packed import BUCKET_RECORDS, MIX, binary, cut, dealt, met, mixed
 
 SIMILARITY = 0.8
 #: Counters of the rarity table.
 COUNTERS = 1 << 20
 #: Pairs that a posting of a word makes on average beyond which a second word must be shared, and classes under a pair of words beyond which they are dealt into blocks.
 HOT_WORD = 200
-#: Records that are packed at once, about how many one bucket of them holds, and pairs that are looked at at once.
-STEP_RECORDS, BUCKET_RECORDS, STEP_PAIRS = 1 << 20, 1 << 17, 1 << 18
-#: Lines that are packed at once.
-STEP_LINES = 1 << 18
+#: Lines that are packed at once, and pairs that are looked at at once.
+STEP_LINES, STEP_PAIRS = 1 << 18, 1 << 18
 #: Records under one least word beyond which others than the earliest lead too, how many may, and how many in a row that none is like.
 LARGE_GROUP, LEADERS, IDLE_LEADERS = 16, 64, 4
 
@@ -47,8 +46,6 @@ _LINES = (
     "id long, doc_id long, line int, by struct<doc_id:bigint,line:int>, head boolean, k1 long, "
     "size int, s1 long, s2 long, least long, skipped int, prefix array<int>"
 )
-#: Odd multipliers of the hash functions of words.
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: The first bytes of eight.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bytes of a word beyond which it is hashed by itself.
@@ -77,14 +74,6 @@ def _smallest(t: float) -> int:
     return math.ceil(t / (1 - t) - 1e-9) if t < 1 else 1 << 31
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    h = h * _MIX[k]
-    h ^= h >> np.uint64(32)
-    h *= _MIX[k - 1]
-    h ^= h >> np.uint64(29)
-    return h
-
-
 class _Lines:
     """The lines with words of some texts.
 
@@ -117,12 +106,12 @@ class _Lines:
         padded = np.append(raw, np.zeros(8, dtype=np.uint8))
         eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
         left = end - start
-        h = _mixed(eights[start] & _FIRST[np.minimum(left, 8)] ^ left.astype(np.uint64) * _MIX[2], 1)
+        h = mixed(eights[start] & _FIRST[np.minimum(left, 8)] ^ left.astype(np.uint64) * MIX[2], 1)
         long = np.flatnonzero(left > _LONG_WORD)
         more = np.flatnonzero((left > 8) & (left <= _LONG_WORD))
         at = 8
         while len(more):
-            h[more] = _mixed(h[more] ^ eights[start[more] + at] & _FIRST[np.minimum(left[more] - at, 8)], 1)
+            h[more] = mixed(h[more] ^ eights[start[more] + at] & _FIRST[np.minimum(left[more] - at, 8)], 1)
             at += 8
             more = more[left[more] > at]
         for w in long:
@@ -148,7 +137,7 @@ def _counter(word: np.ndarray) -> np.ndarray:
 
 def _names(word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of the names of sets: sums over their words."""
-    return tuple(np.add.reduceat(_mixed(word, k), starts).view(np.int64) for k in (2, 3))
+    return tuple(np.add.reduceat(mixed(word, k), starts).view(np.int64) for k in (2, 3))
 
 
 def _rank(n):
@@ -203,12 +192,12 @@ def _featured(rarity: np.ndarray, similarity: float) -> Callable[[pa.RecordBatch
         out["none"], out["doc"] = _ids(b.column(0).take(pa.array(lines.text)))
         out["line"], out["size"] = lines.number, size
         out["k1"], out["k2"] = _names(word, starts)
-        spread = _mixed(word, 1)
+        spread = mixed(word, 1)
         bit = np.uint64(1) << (spread & np.uint64(63))
         second = (spread & np.uint64(64)) > 0
         for k, name in enumerate(("s1", "s2")):
             out[name] = np.bitwise_xor.reduceat(np.where(second == bool(k), bit, np.uint64(0)), starts)
-        least = [np.minimum.reduceat(spread * m >> np.uint64(32), starts) for m in _MIX[2:]]
+        least = [np.minimum.reduceat(spread * m >> np.uint64(32), starts) for m in MIX[2:]]
         out["least"] = (least[0] << np.uint64(32) | least[1]).view(np.int64)
         # ties in rarity go by code, alike everywhere
         rarest = rank[_counter(word)].astype(np.uint64) << np.uint64(32) | word >> np.uint64(16)
@@ -278,15 +267,15 @@ def _lines(docs: DataFrame, rarity: np.ndarray, n_lines: int, similarity: float)
         order, new, copy = _classed(r)
         copies, own = _copies(r, order, new, copy), np.sort(order[~copy])
         starts = np.cumsum(r["sent"], dtype=np.int64) - r["sent"]
-        own, records = _cut(r, own, r["k1"][own], buckets)
+        own, records = cut(r, own, r["k1"][own], buckets)
         n = r["sent"][own].astype(np.int64)
         ends = np.append(0, np.cumsum(n))[np.frombuffer(records.buffers()[1], dtype=np.int32)[: buckets + 1] // _LINE.itemsize]
-        words = _binary(codes[_ranges(starts[own], n)], ends)
-        _, copied = _cut(copies, np.arange(len(copies)), copies["doc"] * 61 + copies["line"], buckets)
+        words = binary(codes[_ranges(starts[own], n)], ends)
+        _, copied = cut(copies, np.arange(len(copies)), copies["doc"] * 61 + copies["line"], buckets)
         return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), records, words, copied], names=["bucket", "records", "words", "copies"])
 
-    def meet(key: tuple[pa.Scalar, ...], dealt: pa.Table) -> pa.Table:
-        r, codes, copies = (np.frombuffer(b"".join(dealt[k].to_pylist()), dtype=kind) for k, kind in (("records", _LINE), ("words", "<u4"), ("copies", _COPY)))
+    def meet(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        r, codes, copies = (np.frombuffer(b"".join(found[k].to_pylist()), dtype=kind) for k, kind in (("records", _LINE), ("words", "<u4"), ("copies", _COPY)))
         order, new, copy = _classed(r)
         starts = np.cumsum(r["sent"], dtype=np.int64) - r["sent"]
         ids = (key[0].as_py() << 40) + np.cumsum(new) - 1
@@ -298,69 +287,26 @@ def _lines(docs: DataFrame, rarity: np.ndarray, n_lines: int, similarity: float)
             pa.table({"id": ids[new], **_placed(r[heads]), "head": np.ones(len(heads), dtype=bool), **told, "prefix": prefix}),
             pa.table({"id": ids[~new & ~copy], **_placed(r[twins])}),
         ]
-        for found in (copies, _copies(r, order, new, copy)):
-            by = _placed(found["by"])
-            rows.append(pa.table({**_placed(found), "by": pa.StructArray.from_arrays([by["doc_id"], by["line"]], names=["doc_id", "line"])}))
+        for x in (copies, _copies(r, order, new, copy)):
+            by = _placed(x["by"])
+            rows.append(pa.table({**_placed(x), "by": pa.StructArray.from_arrays([by["doc_id"], by["line"]], names=["doc_id", "line"])}))
         rows = pa.concat_tables(rows, promote_options="default")
         return rows.select([f.split()[0] for f in _LINES.split(", ")])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, records binary, words binary, copies binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, _LINES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, records binary, words binary, copies binary")
+    return rows.groupBy("bucket").applyInArrow(meet, _LINES)
 
 
 def _placed(r: np.ndarray) -> dict[str, pa.Array]:
     return {"doc_id": pa.array(r["doc"], mask=r["none"]), "line": pa.array(r["line"])}
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """``data`` cut at these places into binary values."""
-    offsets = (ends * data.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def _cut(r: np.ndarray, rows: np.ndarray, key: np.ndarray, buckets: int) -> tuple[np.ndarray, pa.Array]:
-    """These rows by the bucket of their keys, and their records as one binary value a bucket."""
-    bucket = (_mixed(key.astype(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return rows[order], _binary(r[rows[order]], np.searchsorted(bucket[order], np.arange(buckets + 1)))
-
-
 def _parts(line: np.ndarray) -> list[slice]:
     """Where each 65536 lines begin and end, of ascending line numbers."""
     cuts = np.searchsorted(line, np.arange(0, int(line[-1]) + (1 << 16) + 1, 1 << 16))
     return [slice(*x) for x in zip(cuts[:-1], cuts[1:])]
 
 
-def _dealt(rows: DataFrame, records: Callable[[pa.RecordBatch], np.ndarray], key: str, buckets: int) -> DataFrame:
-    """(bucket, records): the records of ``rows``, packed by the bucket of their ``key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(records(b))
-            n += len(held[-1])
-            if n >= STEP_RECORDS:
-                yield packed(np.concatenate(held))
-                held, n = [], 0
-        if n:
-            yield packed(np.concatenate(held))
-
-    def packed(found: np.ndarray) -> pa.RecordBatch:
-        _, data = _cut(found, np.arange(len(found)), found[key], buckets)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), data], names=["bucket", "records"])
-
-    return rows.mapInArrow(run, "bucket int, records binary")
-
-
-def _met(dealt: DataFrame, kind: np.dtype, meet: Callable[[np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """What ``meet`` makes of the records of each bucket."""
-
-    def run(batch: pa.Table) -> pa.Table:
-        return meet(np.frombuffer(b"".join(batch["records"].to_pylist()), dtype=kind))
-
-    return dealt.groupBy("bucket").applyInArrow(run, schema)
-
-
 def _least_overlaps(size: np.ndarray, similarity: float) -> np.ndarray:
     """``least_overlap`` of two sets by the sum of their sizes, up to twice the largest of ``size``."""
     sums = np.arange(2 * int(size.max(initial=0)) + 1)
@@ -459,12 +405,12 @@ def _under_words(similarity: float, hot_word: int) -> Callable[[np.ndarray], pa.
                 for i, j in ((i, j), (j, i)):
                     wanted = _later(r, i, j) & ~done[i]
                     pairs.append(np.column_stack([r["id"][i[wanted]], r["id"][j[wanted]]]))
-        met = np.unique(np.concatenate(pairs), axis=0)
+        pairs = np.unique(np.concatenate(pairs), axis=0)
         many = np.flatnonzero(hot)
         return pa.table({
-            "x": pa.array(np.append(met[:, 0], r["id"][many])), "y": pa.concat_arrays([pa.array(met[:, 1]), pa.nulls(len(many), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(met), pa.int32()), pa.array(r["word"][many].view(np.int32))]),
-            "done": pa.concat_arrays([pa.nulls(len(met), pa.bool_()), pa.array(done[many])]),
+            "x": pa.array(np.append(pairs[:, 0], r["id"][many])), "y": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(many), pa.int64())]),
+            "word": pa.concat_arrays([pa.nulls(len(pairs), pa.int32()), pa.array(r["word"][many].view(np.int32))]),
+            "done": pa.concat_arrays([pa.nulls(len(pairs), pa.bool_()), pa.array(done[many])]),
         })
 
     return meet
@@ -519,7 +465,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     words = save(lines.join(asked, same).select("id", F.struct("doc_id", "line").alias("first"), "words"), "line-words")
     x = words.select(F.col("id").alias("x"), F.col("first").alias("xf"), F.col("words").alias("xw"))
     y = words.select(F.col("id").alias("y"), F.col("first").alias("yf"), F.col("words").alias("yw"))
-    met = pairs.join(x, "x").join(y, "y").where(F.col("xf") != F.col("yf")).select("x", "y", "xf", "yf", "xw", "yw")
+    both = pairs.join(x, "x").join(y, "y").where(F.col("xf") != F.col("yf")).select("x", "y", "xf", "yf", "xw", "yw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches):
@@ -537,7 +483,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
             yield b.select([0, 1, 2, 3]).filter(pa.array(shared >= np.ceil(similarity / (1 + similarity) * sizes - 1e-9)))
 
     place = "struct<doc_id:bigint,line:int>"
-    found = met.mapInArrow(compare, f"x long, y long, xf {place}, yf {place}")
+    found = both.mapInArrow(compare, f"x long, y long, xf {place}, yf {place}")
     later = F.col("xf") > F.col("yf")
     return found.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(later, F.col("yf")).otherwise(F.col("xf")).alias("match"))
 
@@ -581,8 +527,8 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
             out["least"][f] = x | np.uint64(f << 32)
         return out.ravel()
 
-    to_heads = _dealt(indexed.select(*record, "least"), leasts, "least", 1 + 2 * counts[0] // BUCKET_RECORDS)
-    to_heads = _met(to_heads, _LEAST, _under_heads(similarity), "x long, y long")
+    to_heads = dealt(indexed.select(*record, "least"), leasts, "least", 1 + 2 * counts[0] // BUCKET_RECORDS)
+    to_heads = met(to_heads, _LEAST, _under_heads(similarity), "x long, y long")
     settled = _settle(to_heads, classes, docs, similarity, "line-settled")
 
     def postings(b: pa.RecordBatch) -> np.ndarray:
@@ -600,11 +546,11 @@ def line_matches(docs: DataFrame, similarity: float = SIMILARITY, hot_word: int
 
     done = settled.select(F.col("x").alias("id"), F.lit(True).alias("done"))
     flagged = indexed.select("id", "size", "s1", "s2", "first", "skipped", "prefix").join(done, "id", "left").select(*record, "skipped", "prefix", F.coalesce("done", F.lit(False)))
-    met = _dealt(flagged, postings, "word", 1 + (counts[1] or 0) // BUCKET_RECORDS)
-    met = save(_met(met, _POSTING, _under_words(similarity, hot_word), "x long, y long, word int, done boolean"), "line-met")
-    cold = met.where("word IS NULL").select("x", "y")
+    postings_met = dealt(flagged, postings, "word", 1 + (counts[1] or 0) // BUCKET_RECORDS)
+    postings_met = save(met(postings_met, _POSTING, _under_words(similarity, hot_word), "x long, y long, word int, done boolean"), "line-met")
+    cold = postings_met.where("word IS NULL").select("x", "y")
 
-    hot_classes = met.where("word IS NOT NULL").groupBy(F.col("x").alias("id")).agg(F.collect_set("word").alias("hot"), F.max("done").alias("done"))  # words of one prefix
+    hot_classes = postings_met.where("word IS NOT NULL").groupBy(F.col("x").alias("id")).agg(F.collect_set("word").alias("hot"), F.max("done").alias("done"))  # words of one prefix
     two = indexed.select("id", "first", "size", "s1", "s2", "prefix").join(hot_classes, "id").withColumn("word", F.explode("hot"))
     two = two.select("id", "first", "size", "s1", "s2", "done", "word", F.explode("prefix").alias("other")).where("word <> other")
     shared = two.groupBy("word", "other").agg(F.count(F.lit(1)).alias("m")).where("m > 1")

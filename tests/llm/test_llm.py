@@ -498,6 +498,35 @@ def test_compact_windows_cover_every_passage_once():
             assert own == [i + int(h[i : j + 1].argmin())]
 
 
+def test_shingles_of_many_texts_at_once(words):
+    texts = [text_of(words, n, n) for n in (0, 3, 4, 5, 60, 400)] + [None, "", " É\tß 重\x0bA b\nC " + "x" * 31 + " " + "y" * 32 + " \x00 " + "Z" * 700]
+    found = compact_windows.shingle_lists(pa.array(texts))
+    for text, got in zip(texts, found):
+        one = [xxhash.xxh64_intdigest(w) for w in (text or "").encode().lower().split()]
+        want = []
+        for k in range(len(one) - compact_windows.WORDS + 1):
+            h = one[k]
+            for w in one[k + 1 : k + compact_windows.WORDS]:
+                h = (h * int(compact_windows._BASE) + w) % 2**64
+            want.append(h ^ h >> 29)
+        assert got.tolist() == want
+    assert sum(map(len, found)) > 450
+    text, sig = compact_windows.signatures(*compact_windows.shingled(pa.array(texts)))
+    for k, s in enumerate(found):
+        alone = compact_windows.signatures(s, np.array([0]), np.array([len(s)]))[1] if len(s) else s
+        assert set(sig[text == k].tolist()) == set(alone.tolist())
+
+
+def test_signatures_are_not_shuffled_row_by_row(spark, words, monkeypatch):
+    """Before, each signature of each text was a row of a table and of a shuffle."""
+    saved = {}
+    monkeypatch.setattr(compact_windows, "save", lambda df, label, save=compact_windows.save: saved.setdefault(label, save(df, label)))
+    rows = [(i, text_of(words, 300, i)) for i in range(40)] + [(99, text_of(words, 300, 3) + " end")]
+    got = {r["doc_id"]: r["class_id"] for r in compact_windows.substring_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i for i in range(40)} | {99: 3}
+    assert "windows" not in saved and {r["id"] for r in saved["window-texts"].collect()} == {3, 99}
+
+
 @pytest.mark.parametrize("small", [1, 12])
 def test_shared_passages(spark, words, small):
     passage, other = text_of(words, 60, 1), text_of(words, 70, 2)
